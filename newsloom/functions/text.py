@@ -95,8 +95,8 @@ def jaccard(a: Column, b: Column) -> Column:
 def jaccard_at_least(a: Column, b: Column, percent: int) -> Column:
     """Exact integer form of ``jaccard(a, b) >= percent / 100``."""
     both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return (union > 0) & (both * 100 >= union * percent)
+    sizes = F.size(a) + F.size(b)
+    return (sizes > 0) & (both * (100 + percent) >= sizes * percent)
 
 
 def contains_any(text: Column, words) -> Column:

@@ -475,9 +475,7 @@ ORACLE["deduped_signal_counts"] = sql(counts("left_over", DIMS), "left_over", re
 cte("close_vectors", f"""
     SELECT b.vec_id AS id, a.vec_id AS other
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-    WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding),
-            lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))
-          < {VECTOR_THRESHOLD}""")
+    WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < sqrt({VECTOR_THRESHOLD})""")
 greedy("close_vectors")
 ORACLE["vector_dedup_kept"] = sql(
     "SELECT vec_id, vec_id NOT IN (SELECT id FROM dropped) AS kept FROM embeddings",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,29 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def _scratch(spark: SparkSession) -> str:
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to the checkpoint folder and go on from the written table.
+
+    Unlike a plain checkpoint the table is columnar, and its size is known to
+    the planner, which then picks join strategies by real sizes.
+    """
+    spark = df.sparkSession
+    path = _scratch(spark)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(conf).delete(path, True)
