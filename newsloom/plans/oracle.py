@@ -119,7 +119,11 @@ def sql(body: str, *needs: str, recursive: bool = False) -> str:
     if not order:
         return body
     word = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{word} " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + "\n" + body
+    # The recursion reads "late" in each of its steps: compute it once.
+    kind = {"late": "AS MATERIALIZED"}
+    return f"{word} " + ",\n".join(
+        f"{n} {kind.get(n, 'AS')} ({CTE[n][1]})" for n in order
+    ) + "\n" + body
 
 
 # --- samples -------------------------------------------------------------------
@@ -433,15 +437,13 @@ FROM p"""
 
 # Greedy dedup: rows that have an earlier match are taken one by one, in order,
 # against the list of rows kept so far; the others are kept from the start.
-cte("words", "SELECT doc_id, unnest(fp) AS w FROM docwords", "docwords")
-cte("sizes", "SELECT doc_id, len(fp) AS n FROM docwords", "docwords")
+cte("words", "SELECT doc_id, len(fp) AS n, unnest(fp) AS w FROM docwords", "docwords")
 cte("near", """
     SELECT b.doc_id AS id, a.doc_id AS other
     FROM words a JOIN words b ON a.w = b.w AND a.doc_id < b.doc_id
-    JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
-    WHERE least(sa.n, sb.n) * 100 >= greatest(sa.n, sb.n) * 82
-    GROUP BY 1, 2, sa.n, sb.n
-    HAVING count(*) * 100 >= 82 * (sa.n + sb.n - count(*))""", "words", "sizes")
+      AND b.n * 100 >= a.n * 82 AND a.n * 100 >= b.n * 82
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING count(*) * 182 >= 82 * (a.n + b.n)""", "words")
 
 
 def greedy(pairs: str) -> None:
