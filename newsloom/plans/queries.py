@@ -660,7 +660,7 @@ def _run_folder(spark) -> str:
 def stream_signals(spark, sf):
     """Signals of the documents as a stream: new ids only, batch by batch."""
     folder = _run_folder(spark)
-    store = tables.Store(spark, folder).create()
+    store = tables.Store(spark, folder).create("signals", "news_keys")
 
     def each(batch, number):
         batch_id = f"stream-{number}"

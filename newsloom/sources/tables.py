@@ -135,9 +135,9 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def create(self) -> Store:
-        """Create missing tables, empty."""
-        for name in self.TABLES:
+    def create(self, *names: str) -> Store:
+        """Create missing tables (all, or the named ones), empty."""
+        for name in names or self.TABLES:
             if not self._exists(name):
                 self._empty(name)
         return self
@@ -173,13 +173,20 @@ class Store:
         return rows
 
     def write(self, name: str, rows: DataFrame, batch_id: str | None = None) -> None:
-        """Write a run's rows; partitions named by the rows are replaced."""
+        """Write a run's rows; partitions named by the rows are replaced.
+
+        Rows are rebalanced by day or bucket, so that a partition gets few files,
+        yet one that holds most rows is split over tasks.
+        """
         schema, parts = self.TABLES[name]
         if batch_id is not None:
             rows = rows.withColumn("batch_id", F.lit(batch_id))
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        spread = [p for p in parts if p != "batch_id"]
+        if spread:
+            rows = rows.hint("rebalance", *spread)
         (
-            rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts).parquet(self.path(name))
         )
@@ -189,7 +196,7 @@ class Store:
 
     def add_keys(self, ids: DataFrame, batch_id: str) -> None:
         rows = ids.select("news_id", self.bucket_of(F.col("news_id")).alias("id_bucket"))
-        self.write("news_keys", rows.repartition("id_bucket"), batch_id)
+        self.write("news_keys", rows, batch_id)
 
     def known_keys(self, ids: DataFrame, batch_id: str) -> DataFrame:
         """Stored ids that could equal one of ``ids``: only their buckets are
