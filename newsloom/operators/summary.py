@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from newsloom import lexicon as lx
 from newsloom.functions import values as vl
-from newsloom.operators.feed import priority_rank  # noqa: F401  (re-exported)
 
 SERVER_DIMENSIONS = {
     "suggestions": "suggestion", "sentiments": "sentiment", "event_types": "event_type",

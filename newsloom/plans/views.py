@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from newsloom.operators import alerts, feed, ingest, prices, summary
 from newsloom.sources.tables import Store
@@ -50,7 +49,3 @@ def facets(store: Store) -> DataFrame:
 def export(store: Store, path: str, filters: dict | None = None) -> None:
     """Write the served signals as JSON lines."""
     signals(store, filters).write.mode("overwrite").json(path)
-
-
-def now() -> Column:
-    return F.current_timestamp()

@@ -105,12 +105,11 @@ def test_alert_rule_and_channels(rows):
 
 
 def test_notification_defaults(rows):
-    names = [f.name for f in schemas.SIGNALS.fields]
     df = rows("headline string, source string, url string, published_at string, fetched_at string",
               [("<H>", "S", "", None, None)])
     df = tables.evolve(df, schemas.SIGNALS).withColumn("url", F.lit("http://x?a&b"))
     text = df.select(alerts.notification_html()).head()[0].split("\n")
-    assert len(text) == 17 and names
+    assert len(text) == 17
     assert text[1] == "<b>Headline:</b> &lt;H&gt;" and text[3] == "<b>Published:</b> "
     assert text[4].endswith("No tradable ticker") and text[9].endswith("MEDIUM")
     assert text[11].endswith("0.00") and text[15] == "- No extra confidence notes"
