@@ -145,7 +145,7 @@ def _runs(place: np.ndarray, suffix: np.ndarray, bench: Benchmark, owner: np.nda
     new[1:] = ~((place[1:] == place[:-1] + 1) & (start[1:] == start[:-1] + 1)
                 & (item[1:] == item[:-1]) & (owner[1:] == owner[:-1]))
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(place)) - 1
+    last = np.append(at, len(place))[1:] - 1
     return owner[at], item[at], place[at], place[last] + size[last]
 
 
