@@ -3,3 +3,62 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+_SPACE = r"[\x20\x09-\x0D]"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE["op9_quality_rules"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') || CASE WHEN source IS NULL THEN '?' ELSE '!' END AS host,
+         coalesce(text, '') AS body
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS word,
+         generate_subscripts(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+'), 1) AS pos
+  FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY doc_id
+), run AS (
+  SELECT a.doc_id, a.pos, a.word || ' ' || b.word || ' ' || c.word AS three
+  FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN w c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2
+), again AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, three) AS c
+                          FROM run WHERE three IS NOT NULL) WHERE c > 1
+), repeated AS (
+  SELECT doc_id, count(*) AS n_repeat_words
+  FROM (SELECT DISTINCT doc_id, pos + k AS pos FROM again, (VALUES (0), (1), (2)) AS o(k)) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, host, body, unnest(string_split(body, chr(10))) AS raw FROM d
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM line
+  WHERE regexp_matches(raw, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), norm AS (
+  SELECT doc_id, host, body,
+         trim(regexp_replace(translate(raw, '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line
+  FROM line
+), texts AS (
+  SELECT host, count(DISTINCT body) AS texts FROM d GROUP BY host
+), common AS (
+  SELECT host, line FROM (
+    SELECT host, line, count(DISTINCT body) AS n_docs FROM norm WHERE line <> '' GROUP BY host, line
+  ) JOIN texts USING (host)
+  WHERE n_docs > greatest(10, floor(texts / 1000))
+), lost AS (
+  SELECT doc_id, sum(len(string_split(line, ' '))) AS removed_words
+  FROM norm JOIN common USING (host, line) GROUP BY doc_id
+), figures AS (
+  SELECT d.doc_id, coalesce(n.n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(removed_words, 0) AS removed_words
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN dup USING (doc_id)
+  LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND removed_words * 100 <= n_words * 50 AS kept,
+       removed_words::BIGINT AS removed_words
+FROM figures
+"""

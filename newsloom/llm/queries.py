@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, mixing, sharding
+from newsloom.llm import decontamination, mixing, quality_rules, sharding
 from newsloom.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.judge(rows, items).withColumnRenamed("row_id", "doc_id")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return quality_rules.judge(rows).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "removed_words")
