@@ -62,3 +62,20 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        removed_words::BIGINT AS removed_words
 FROM figures
 """
+
+ORACLE["op3_line_dedup"] = f"""
+WITH line AS (
+  SELECT doc_id, pos, lines[pos] AS line,
+         translate(regexp_replace(lines[pos], '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
+               unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos
+        FROM documents)
+), shared AS (
+  SELECT k, max(doc_id) AS head FROM line WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT doc_id, pos, line, head IS NOT NULL AND doc_id <> head AS dropped FROM line LEFT JOIN shared USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
