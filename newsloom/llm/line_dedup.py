@@ -1,12 +1,10 @@
 """Lines that many documents share, dropped from all but one of them.
 
 Hashes of all long enough lines are range-partitioned by hash and document and
-sorted by hash, document and position. One pass over each partition streams
-the runs of equal hashes and decides them; only the first and last run of a
-partition may go on in its neighbours, so their rows come back undecided and
-are settled by totals over those few hashes. A hot line is thus spread over as
-many partitions as its rows need. Results are compressed bitmaps of the lines
-that stay, one per document that loses any; texts are not shuffled for that.
+sorted by hash, document and position; one pass streams the first occurrences
+(see ``runs``), and a hot line is spread over as many partitions as its rows
+need. Results are compressed bitmaps of the lines that stay, one per document
+that loses any; texts are not shuffled for that.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import words as wd
-from newsloom.session import cut
+from newsloom.llm.runs import others
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -31,7 +29,6 @@ LOWEST = -(1 << 63)
 _LOWER = bytes(wd.LOWER)
 
 LINES = "h1 long, h2 long, doc long, pos int, n_lines int"
-RUNS = LINES + ", first boolean, decided boolean"
 
 
 def _lines(min_chars: int):
@@ -56,66 +53,6 @@ def _lines(min_chars: int):
     return run
 
 
-def _marked(rows: pa.RecordBatch, first: np.ndarray, decided: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [*rows.columns, pa.array(first), pa.array(np.full(rows.num_rows, decided))],
-        [*rows.schema.names, "first", "decided"])
-
-
-def _settle(run: list[tuple[pa.RecordBatch, np.ndarray]], min_documents: int) -> Iterator[pa.RecordBatch]:
-    """The rows to drop of one complete run, which may come in pieces."""
-    if sum(int(first.sum()) for _, first in run) >= min_documents:
-        head = run[0][0].column("doc")[0].as_py()
-        for rows, first in run:
-            drop = rows.column("doc").to_numpy() != head
-            yield _marked(rows.filter(pa.array(drop)), first[drop], True)
-
-
-def _stream(min_documents: int):
-    """Decide runs of equal hashes: rows to drop, and all rows of the two outer runs, undecided.
-
-    A run that goes on over batches is held until it ends; it is never longer
-    than the partition, whose size the range partitioning keeps even.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outer, last, held = True, None, []
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            h1, h2, doc = (batch.column(c).to_numpy() for c in ("h1", "h2", "doc"))
-            new = np.ones(n, bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            new[0] = last is None or (h1[0], h2[0]) != last[:2]
-            first = new.copy()
-            first[1:] |= doc[1:] != doc[:-1]
-            first[0] = new[0] or doc[0] != last[2]
-            last = (h1[-1], h2[-1], doc[-1])
-            starts = np.flatnonzero(new)
-            lead = int(starts[0]) if len(starts) else n
-            if lead:
-                held.append((batch.slice(0, lead), first[:lead]))
-            if not len(starts):
-                continue
-            if held:
-                yield from [_marked(*x, False) for x in held] if outer else _settle(held, min_documents)
-                outer = False
-            begin, end = int(starts[0]), int(starts[-1])
-            if outer and len(starts) > 1:
-                yield _marked(batch.slice(0, int(starts[1])), first[:starts[1]], False)
-                begin, outer = int(starts[1]), False
-            if begin < end:
-                mine = slice(begin, end)
-                number = np.cumsum(new[mine]) - 1
-                n_docs = np.bincount(number, weights=first[mine])
-                heads = doc[mine][new[mine]]
-                drop = (n_docs[number] >= min_documents) & (doc[mine] != heads[number])
-                yield _marked(batch.slice(begin, end - begin).filter(pa.array(drop)), first[mine][drop], True)
-            held = [(batch.slice(end, n - end), first[end:])]
-        yield from [_marked(*x, False) for x in held]
-    return run
-
-
 BITMAP = "doc long, n_lines int, bitmap binary"
 
 
@@ -153,15 +90,7 @@ def bitmaps(documents: DataFrame, key: str = "doc_id", text: str = "text",
     wd.small_batches(documents.sparkSession)
     rows = documents.select(_doc(key).alias("doc"), F.col(f"`{text}`").alias("text"))
     lines = rows.mapInArrow(_lines(min_chars), LINES)
-    ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions(
-        "h1", "h2", F.col("doc").desc(), "pos")
-    runs = cut(ordered.mapInArrow(_stream(min_documents), RUNS))
-    open_ = runs.filter("not decided")
-    totals = open_.groupBy("h1", "h2").agg(
-        F.sum(F.col("first").cast("int")).alias("n_docs"), F.max("doc").alias("head"))
-    # At most two hashes per partition, so this side stays small whatever the rows are.
-    late = open_.join(totals.filter(F.col("n_docs") >= min_documents), ["h1", "h2"]).filter("doc <> head")
-    drops = runs.filter("decided").select("doc", "pos", "n_lines").unionByName(late.select("doc", "pos", "n_lines"))
+    drops = others(lines, min_documents, keep="largest").select("doc", "pos", "n_lines")
     grouped = drops.groupBy("doc").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("drops"))
     return grouped.mapInArrow(_pack, BITMAP)
 
