@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, license_scan, line_dedup, mixing, quality_rules, sharding, substring_dedup
+from newsloom.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, quality_rules, sharding, substring_dedup
 from newsloom.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedupe(documents(spark, sf_dir)).drop("kept")
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir))
