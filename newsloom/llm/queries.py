@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, quality_rules, sharding, substring_dedup
+from newsloom.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, quality_lm, quality_rules, sharding, substring_dedup
 from newsloom.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(documents(spark, sf_dir))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query
+def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify(documents(spark, sf_dir), trusted(spark, sf_dir)).select(
+        "doc_id", "lang", "n_words", "perplexity", "score", "low", "high", "kept")
