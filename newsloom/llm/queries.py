@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, quality_lm, quality_rules, sharding, substring_dedup
+from newsloom.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, sharding, substring_dedup
 from newsloom.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,13 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.classify(documents(spark, sf_dir), trusted(spark, sf_dir)).select(
         "doc_id", "lang", "n_words", "perplexity", "score", "low", "high", "kept")
+
+
+# A real key comes from the caller's key store; this one makes reruns agree.
+PII_KEY = "registered query"
+
+
+@query
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "text")
