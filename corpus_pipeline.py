@@ -6,12 +6,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import decontamination, mixing, sharding
+from newsloom.llm import decontamination, mixing, ngram_join, quality_lm, sharding
 from newsloom.session import pin, use_checkpoint_dir
 
 SHARDS = 16
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under trusted text lies within their language's bounds."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_lm.keep(docs, labels.filter("quality = 1 and toxic = 0").select("doc_id"))
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover less than a twentieth."""
     return decontamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -28,6 +39,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", join_near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix),
     ("sharding", shard),
