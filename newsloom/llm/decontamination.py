@@ -259,9 +259,10 @@ def remove(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     blocks = list(_blocks(items, BLOCK_WORDS))
     if len(blocks) == 1:
         return documents.mapInArrow(_keep(Benchmark(blocks[0], window)), documents.schema)
-    rows = cut(documents.withColumn("row_id", F.monotonically_increasing_id()))
-    bad = judge(rows, items, window).filter("contaminated").select("row_id")
-    return rows.join(bad, "row_id", "left_anti").select(documents.columns)
+    rows = cut(documents.withColumn("__llm_row", F.monotonically_increasing_id()))
+    verdict = judge(rows.select(F.col("__llm_row").alias("row_id"), "text"), items, window)
+    bad = verdict.filter("contaminated").select(F.col("row_id").alias("__llm_row"))
+    return rows.join(bad, "__llm_row", "left_anti").select([F.col(f"`{c}`") for c in documents.columns])
 
 
 def _keep(bench: Benchmark):

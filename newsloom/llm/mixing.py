@@ -46,19 +46,19 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     before = Window.orderBy(ratio, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     rows = sizes.withColumns({
-        "_full": F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0)),
-        "_done": F.coalesce(F.sum("weight").over(before), F.lit(0)),
-        "_all": F.sum("source_size").over(every),
-        "_weights": F.sum("weight").over(every),
+        "__llm_full": F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0)),
+        "__llm_done": F.coalesce(F.sum("weight").over(before), F.lit(0)),
+        "__llm_all": F.sum("source_size").over(every),
+        "__llm_weights": F.sum("weight").over(every),
     })
-    level = (F.col("_all") - F.col("_full")) / (F.col("_weights") - F.col("_done"))
+    level = (F.col("__llm_all") - F.col("__llm_full")) / (F.col("__llm_weights") - F.col("__llm_done"))
     open_ = F.col("source_size") * cap > level * F.col("weight")
-    rows = rows.withColumns({"_level": level, "_open": open_})
-    cut_at = F.min(F.when(F.col("_open"), F.struct(ratio, "_level"))).over(every)
-    rows = rows.withColumn("_final", cut_at["_level"])
-    share = F.least(F.col("_final") * F.col("weight"), (F.col("source_size") * cap).cast("double"))
+    rows = rows.withColumns({"__llm_level": level, "__llm_open": open_})
+    cut_at = F.min(F.when(F.col("__llm_open"), F.struct(ratio, "__llm_level"))).over(every)
+    rows = rows.withColumn("__llm_final", cut_at["__llm_level"])
+    share = F.least(F.col("__llm_final") * F.col("weight"), (F.col("source_size") * cap).cast("double"))
     return rows.select("source", "source_size", "weight",
-                       F.when(F.col("_final").isNull(), (F.col("source_size") * cap).cast("double"))
+                       F.when(F.col("__llm_final").isNull(), (F.col("source_size") * cap).cast("double"))
                        .otherwise(share).alias("target"))
 
 
@@ -147,16 +147,16 @@ def plan(documents: DataFrame, key: str = "doc_id", source: str = "source", text
     goal = cut(targets(weigh(sizes, weights), cap))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     open_ = (
-        rows.filter("size > 0").join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_part", share - F.floor(share))
+        rows.filter("size > 0").join(goal.withColumnRenamed("source", "__llm_s"), F.col("source").eqNullSafe(F.col("__llm_s")))
+        .withColumn("__llm_part", share - F.floor(share))
         .select("source", "row", (F.col("size") * UNITS).alias("full"),
-                F.floor(F.col("_part") * F.col("size") * UNITS).cast("long").alias("mass"))
+                F.floor(F.col("__llm_part") * F.col("size") * UNITS).cast("long").alias("mass"))
         .filter("mass > 0 and mass < full")
     )
     extra = _rounded(open_, seed, block_rows)
     whole = F.when(F.col("size") > 0, F.floor(share)).otherwise(0).cast("long")
     return (
-        rows.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        rows.join(goal.withColumnRenamed("source", "__llm_s"), F.col("source").eqNullSafe(F.col("__llm_s")))
         .join(extra, "row", "left")
         .withColumn("copies", whole + F.coalesce("extra", F.lit(0)))
         .select("doc_id", "source", "size", "source_size", "target", "copies",
@@ -167,16 +167,16 @@ def plan(documents: DataFrame, key: str = "doc_id", source: str = "source", text
 def apply(documents: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as the plan takes it."""
     copies = plan(documents, key, source, **options).groupBy("doc_id", "source", "size").agg(
-        F.count("*").alias("_rows"), F.sum("copies").alias("_total"))
+        F.count("*").alias("__llm_rows"), F.sum("copies").alias("__llm_total"))
     size = n_words(F.col("`%s`" % options.get("text", "text")))
-    same = (F.col(f"`{key}`").eqNullSafe(F.col("_doc")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("_source"))
-            & (size == F.col("_size")))
-    joined = documents.join(copies.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"),
-                                          F.col("size").alias("_size"), "_rows", "_total"), same)
+    same = (F.col(f"`{key}`").eqNullSafe(F.col("__llm_doc")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__llm_source"))
+            & (size == F.col("__llm_size")))
+    joined = documents.join(copies.select(F.col("doc_id").alias("__llm_doc"), F.col("source").alias("__llm_source"),
+                                          F.col("size").alias("__llm_size"), "__llm_rows", "__llm_total"), same)
     # Repeated rows share their copies out: the first ones take one more.
-    one = Window.partitionBy("_doc", "_source", "_size").orderBy(F.lit(1))
-    number = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(one))
-    n = F.floor(F.col("_total") / F.col("_rows")) + (number <= F.col("_total") % F.col("_rows")).cast("long")
-    return (joined.withColumn("_n", n).filter("_n > 0")
-            .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    one = Window.partitionBy("__llm_doc", "__llm_source", "__llm_size").orderBy(F.lit(1))
+    number = F.when(F.col("__llm_rows") == 1, F.lit(1)).otherwise(F.row_number().over(one))
+    n = F.floor(F.col("__llm_total") / F.col("__llm_rows")) + (number <= F.col("__llm_total") % F.col("__llm_rows")).cast("long")
+    return (joined.withColumn("__llm_n", n).filter("__llm_n > 0")
+            .withColumn("__llm_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__llm_n"))))
             .select(*[F.col(f"`{c}`") for c in documents.columns]))

@@ -320,13 +320,16 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: in
     shingles of ``n`` words, of fewer words the whole sequence; nulls and texts
     without words have none and link with nothing. Links need a Jaccard
     similarity of 0.8. Rows with one key are one document and must have one
-    text; a null key is a document below all others (its component is null if it is the
-    smallest); an empty table gives no rows; other columns are ignored.
+    text; a row with a null key links with nothing and has no component; an
+    empty table gives no rows; other columns are ignored.
     """
     wd.small_batches(documents.sparkSession)
     rows = documents.select(_doc(key).alias("doc"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    every = cut(rows.mapInArrow(_units(n, frequencies(rows, n)), UNITS))
+    nameless = rows.filter(F.col("doc") == LOWEST)
+    rows = rows.filter(F.col("doc") != LOWEST)
+    table = frequencies(rows, n)
+    every = cut(rows.mapInArrow(_units(n, table), UNITS))
     units = every.filter("link is null and n > 0")
     near = verify(rows, head_pairs(units), n)
     copies = every.filter("link is not null and link <> doc").select(F.col("doc").alias("a"), F.col("link").alias("b"))
@@ -340,12 +343,14 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: in
     merged = components(joined).select(F.col("doc").alias("root"), F.col("root").alias("last"))
     whole = _with_root(every.select("doc", "n"), roots).join(merged, "root", "left").withColumn(
         "component", F.coalesce("last", "root"))
-    show = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    return whole.select(show("doc").alias("doc_id"), F.col("n").alias("n_shingles"), show("component").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return whole.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(
+        nameless.mapInArrow(_units(n, table), UNITS).select(
+            none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id")))
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """One document of each component: the one with the smallest key. All columns stay."""
     found = classes(documents, key, text, n)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col(f"`{key}`").cast("long") == F.col("_gone"), "left_anti")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_gone")).distinct()
+    return documents.join(gone, F.col(f"`{key}`").cast("long") == F.col("__llm_gone"), "left_anti")

@@ -178,7 +178,7 @@ def _changed(h: Column, key: Column, back: bool) -> Column:
 
 
 def _count(kind: str) -> Column:
-    return F.coalesce(F.size(F.filter("_new", lambda n: n["kind"] == kind)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.filter("__llm_new", lambda n: n["kind"] == kind)), F.lit(0)).cast("long")
 
 
 def pseudonymize(rows: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
@@ -191,12 +191,12 @@ def pseudonymize(rows: DataFrame, key: str, text: str = "text", back: bool = Fal
     """
     body = F.col(f"`{text}`")
     names = [f"n_{kind}" for kind in KINDS]
-    found = compute_once(rows.drop(*names), _hits=F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    some = F.size("_hits") > 0
+    found = compute_once(rows.drop(*names), __llm_hits=F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    some = F.size("__llm_hits") > 0
     secret = F.lit(key)
-    found = compute_once(found, _new=F.when(some, F.transform("_hits", lambda h: _changed(h, secret, back))))
+    found = compute_once(found, __llm_new=F.when(some, F.transform("__llm_hits", lambda h: _changed(h, secret, back))))
     between = F.split(body, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, "_new", lambda t, n: F.array(t, F.coalesce(n["new"], F.lit(""))))), "")
+    joined = F.array_join(F.flatten(F.zip_with(between, "__llm_new", lambda t, n: F.array(t, F.coalesce(n["new"], F.lit(""))))), "")
     counts = [_count(kind).alias(f"n_{kind}") for kind in KINDS]
     plain = [F.when(some, joined).otherwise(body).alias(text) if c == text else F.col(f"`{c}`")
              for c in rows.columns if c not in names]

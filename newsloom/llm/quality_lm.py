@@ -257,13 +257,13 @@ def scores(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     if not 1 <= vocabulary_size <= VOCABULARY:
         raise ValueError(f"vocabulary_size must be from 1 to {VOCABULARY}")
     wd.small_batches(documents.sparkSession)
-    ids = cut(trusted.select(F.col(trusted.columns[0]).cast("long").alias("_id")).filter("_id is not null").distinct())
+    ids = cut(trusted.select(F.col(trusted.columns[0]).cast("long").alias("__llm_id")).filter("__llm_id is not null").distinct())
     # A measured size decides how the labels meet the texts; the result is the same.
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     rows = documents.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
         F.col(f"`{text}`").alias("text"), _key(key, text).alias("key"))
-    rows = rows.join(side, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.col("_id").isNotNull()).drop("_id")
+    rows = rows.join(side, F.col("doc_id") == F.col("__llm_id"), "left").withColumn("trusted", F.col("__llm_id").isNotNull()).drop("__llm_id")
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
     known, others = vocabulary(rows.filter("trusted"), vocabulary_size)
@@ -294,20 +294,20 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     """
     rows = cut(scores(documents, trusted, key, text, lang, **options))
     sample = rows.filter("trusted and n > 0").withColumn("mean", -F.col("log_p") / F.col("n"))
-    named = lambda df: df.withColumn("_lang", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("null")))
-    means = named(sample).groupBy("_lang").agg(F.avg("mean").alias("own_mean"), F.count("*").alias("own_n"))
+    named = lambda df: df.withColumn("__llm_lang", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("null")))
+    means = named(sample).groupBy("__llm_lang").agg(F.avg("mean").alias("own_mean"), F.count("*").alias("own_n"))
     overall = sample.agg(F.avg("mean").alias("all_mean"))
-    centred = named(rows).join(means, "_lang", "left").join(F.broadcast(overall)).withColumn(
+    centred = named(rows).join(means, "__llm_lang", "left").join(F.broadcast(overall)).withColumn(
         "centre", F.when(F.col("own_n") >= min_trusted, F.col("own_mean")).otherwise(F.col("all_mean")))
     centre = F.coalesce("centre", F.lit(0.0))
     scored = cut(centred.withColumn("score", F.when(
         F.col("n") > 0, (centre * prior - F.col("log_p")) / (F.col("n") + prior))))
     judged = scored.filter("trusted and n > 0")
     bounds = lambda names: [F.percentile_approx("score", float(q), 10_000).alias(c) for q, c in zip(quantiles, names)]
-    own = judged.groupBy("_lang").agg(*bounds(("own_low", "own_high")))
+    own = judged.groupBy("__llm_lang").agg(*bounds(("own_low", "own_high")))
     whole = judged.agg(*bounds(("all_low", "all_high")))
     enough = F.col("own_n") >= min_trusted
-    done = scored.join(own, "_lang", "left").join(F.broadcast(whole)).withColumns({
+    done = scored.join(own, "__llm_lang", "left").join(F.broadcast(whole)).withColumns({
         "low": F.when(enough, F.col("own_low")).otherwise(F.col("all_low")),
         "high": F.when(enough, F.col("own_high")).otherwise(F.col("all_high")),
     })
@@ -321,5 +321,5 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
 def keep(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
          **options) -> DataFrame:
     """The kept documents with all their columns."""
-    good = classify(documents, trusted, key, text, lang, **options).filter("kept").select(F.col("key").alias("_good")).distinct()
-    return documents.join(good, _key(key, text) == F.col("_good"), "left_semi")
+    good = classify(documents, trusted, key, text, lang, **options).filter("kept").select(F.col("key").alias("__llm_good")).distinct()
+    return documents.join(good, _key(key, text) == F.col("__llm_good"), "left_semi")

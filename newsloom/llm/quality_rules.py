@@ -41,8 +41,8 @@ def figures(rows: DataFrame, text: str = "text") -> DataFrame:
     their words; their places are sorted within the row only where a run repeats.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = compute_once(rows, _words=split_words(body))
-    w = F.col("_words")
+    rows = compute_once(rows, __llm_words=split_words(body))
+    w = F.col("__llm_words")
     runs = F.when(F.size(w) >= 3, F.transform(
         F.arrays_zip(F.slice(w, 1, F.size(w) - 2).alias("a"), F.slice(w, 2, F.size(w) - 2).alias("b"),
                      F.slice(w, 3, F.size(w) - 2).alias("c")), lambda x: F.xxhash64(x))
@@ -50,23 +50,23 @@ def figures(rows: DataFrame, text: str = "text") -> DataFrame:
     with_word = F.filter(F.split(body, "\n"), lambda x: _without(x, SPACES) != "")
     rows = compute_once(
         rows.withColumn("n_words", F.size(w).cast("long")),
-        _runs=runs, _lines=F.transform(with_word, lambda x: F.xxhash64(x)),
+        __llm_runs=runs, __llm_lines=F.transform(with_word, lambda x: F.xxhash64(x)),
         word_chars=F.length(_without(body, SPACES)).cast("long"),
         n_symbols=(F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
-    ).drop("_words")
+    ).drop("__llm_words")
     # Runs in order of hash and place, only where some run repeats.
-    repeats = F.size(F.array_distinct("_runs")) < F.size("_runs")
-    placed = F.sort_array(F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = compute_once(rows, _placed=F.when(repeats, placed),
-                        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_runs", "_lines")
-    s = F.col("_placed")
+    repeats = F.size(F.array_distinct("__llm_runs")) < F.size("__llm_runs")
+    placed = F.sort_array(F.transform("__llm_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = compute_once(rows, __llm_placed=F.when(repeats, placed),
+                        n_dup_lines=(F.size("__llm_lines") - F.size(F.array_distinct("__llm_lines"))).cast("long")).drop("__llm_runs", "__llm_lines")
+    s = F.col("__llm_placed")
     again = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False))
                      | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-    rows = compute_once(rows, _at=F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_placed")
-    p = F.col("_at")
+    rows = compute_once(rows, __llm_at=F.sort_array(F.transform(again, lambda x: x["i"]))).drop("__llm_placed")
+    p = F.col("__llm_at")
     gaps = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__llm_at")
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     return rows.withColumn("base_failed", failed)
@@ -85,23 +85,23 @@ def shared_lines(rows: DataFrame, host: str = "source", text: str = "text",
     """Lines of each distinct text (``_host, _text, _line, _words``) and those above their
     host's limit (``_host, _line, n_docs``).
 
-    ``_words`` sums over all rows with that host and text; a line without a
+    ``__llm_words`` sums over all rows with that host and text; a line without a
     word is no line. Exact copies are one document, so a text is not taken for
     boilerplate because it was crawled often.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    named = rows.select(_host(host).alias("_host"), F.xxhash64(body).alias("_text"),
-                        F.explode(F.split(body, "\n")).alias("_raw"))
-    lines = compute_once(named, _norm=normalised(F.col("_raw"))).filter("_norm != ''").select(
-        "_host", "_text", F.xxhash64("_norm").alias("_line"),
-        (F.length("_norm") - F.length(F.translate("_norm", " ", "")) + 1).cast("long").alias("_n"))
-    table = cut(lines.groupBy("_host", "_text", "_line").agg(F.sum("_n").alias("_words")))
-    hosts = rows.select(_host(host).alias("_host"), F.xxhash64(body).alias("_text")).groupBy("_host", "_text").agg(
-        F.lit(1)).groupBy("_host").agg(F.count("*").alias("_texts"))
-    limit = F.greatest(F.lit(min_documents), F.floor(F.col("_texts") * per_mille / F.lit(1000)))
-    common = table.groupBy("_host", "_line").agg(F.count("*").alias("n_docs")).filter(
-        F.col("n_docs") > min_documents).join(hosts, "_host").filter(F.col("n_docs") > limit)
-    return table, common.select("_host", "_line", "n_docs")
+    named = rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text"),
+                        F.explode(F.split(body, "\n")).alias("__llm_raw"))
+    lines = compute_once(named, __llm_norm=normalised(F.col("__llm_raw"))).filter("__llm_norm != ''").select(
+        "__llm_host", "__llm_text", F.xxhash64("__llm_norm").alias("__llm_line"),
+        (F.length("__llm_norm") - F.length(F.translate("__llm_norm", " ", "")) + 1).cast("long").alias("__llm_n"))
+    table = cut(lines.groupBy("__llm_host", "__llm_text", "__llm_line").agg(F.sum("__llm_n").alias("__llm_words")))
+    hosts = rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text")).groupBy("__llm_host", "__llm_text").agg(
+        F.lit(1)).groupBy("__llm_host").agg(F.count("*").alias("__llm_texts"))
+    limit = F.greatest(F.lit(min_documents), F.floor(F.col("__llm_texts") * per_mille / F.lit(1000)))
+    common = table.groupBy("__llm_host", "__llm_line").agg(F.count("*").alias("n_docs")).filter(
+        F.col("n_docs") > min_documents).join(hosts, "__llm_host").filter(F.col("n_docs") > limit)
+    return table, common.select("__llm_host", "__llm_line", "n_docs")
 
 
 def judge(rows: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
@@ -116,17 +116,17 @@ def judge(rows: DataFrame, host: str = "source", text: str = "text", **limits) -
                "base_failed", "removed_words", "kept"]
     plain = rows.drop(*results)
     table, common = shared_lines(plain, host, text, **limits)
-    lost = table.join(common, ["_host", "_line"]).groupBy("_host", "_text").agg(F.sum("_words").alias("_lost"))
+    lost = table.join(common, ["__llm_host", "__llm_line"]).groupBy("__llm_host", "__llm_text").agg(F.sum("__llm_words").alias("__llm_lost"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    copies = plain.select(_host(host).alias("_host"), F.xxhash64(body).alias("_text")).groupBy(
-        "_host", "_text").agg(F.count("*").alias("_copies"))
-    lost = lost.join(copies, ["_host", "_text"]).select(
-        "_host", "_text", F.expr("_lost div _copies").alias("removed_words"))
-    keyed = figures(plain.withColumns({"_host": _host(host), "_text": F.xxhash64(body)}), text).drop(text)
+    copies = plain.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text")).groupBy(
+        "__llm_host", "__llm_text").agg(F.count("*").alias("__llm_copies"))
+    lost = lost.join(copies, ["__llm_host", "__llm_text"]).select(
+        "__llm_host", "__llm_text", F.expr("__llm_lost div __llm_copies").alias("removed_words"))
+    keyed = figures(plain.withColumns({"__llm_host": _host(host), "__llm_text": F.xxhash64(body)}), text).drop(text)
     share = F.col("removed_words") * 100 <= F.col("n_words") * MAX_REMOVED_PERCENT
     return (
-        keyed.join(lost, ["_host", "_text"], "left")
+        keyed.join(lost, ["__llm_host", "__llm_text"], "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & share)
-        .drop("_host", "_text")
+        .drop("__llm_host", "__llm_text")
     )

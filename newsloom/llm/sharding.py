@@ -24,16 +24,16 @@ SPAN = 1 << 40
 def _ranked(rows: DataFrame, group: list[str], at: Column, order: list, buckets: int,
             rank: str) -> DataFrame:
     """``rank`` (from 0) in ``order`` within ``group``; ``at`` in 0..SPAN-1 rises with the order."""
-    rows = rows.withColumn("_bucket", F.floor(at * F.lit(buckets) / F.lit(SPAN)).cast("long"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")).withColumn(
-        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    rows = rows.withColumn("__llm_bucket", F.floor(at * F.lit(buckets) / F.lit(SPAN)).cast("long"))
+    before = Window.partitionBy(*group).orderBy("__llm_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*group, "__llm_bucket").agg(F.count("*").alias("__llm_n")).withColumn(
+        "__llm_offset", F.coalesce(F.sum("__llm_n").over(before), F.lit(0)))
+    inside = Window.partitionBy(*group, "__llm_bucket").orderBy(*order)
     return (
-        rows.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(offsets.drop("_n"), [*group, "_bucket"])
-        .withColumn(rank, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
+        rows.withColumn("__llm_inside", F.row_number().over(inside) - 1)
+        .join(offsets.drop("__llm_n"), [*group, "__llm_bucket"])
+        .withColumn(rank, F.col("__llm_offset") + F.col("__llm_inside"))
+        .drop("__llm_bucket", "__llm_inside", "__llm_offset")
     )
 
 
@@ -53,23 +53,23 @@ def interleave(rows: DataFrame, shards: int, key: str = "doc_id", source: str =
              if f.dataType.typeName() in ("long", "integer", "string", "double", "boolean", "short", "byte", "date", "timestamp")]
     source_of = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("null"))
     keyed = rows.withColumns({
-        "_source": source_of,
-        "_tie": F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0),
-    }).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`"), "_tie"), F.lit(SPAN)))
-    counts = keyed.groupBy("_source").agg(F.count("*").alias("_size"))
+        "__llm_source": source_of,
+        "__llm_tie": F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0),
+    }).withColumn("__llm_u", F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`"), "__llm_tie"), F.lit(SPAN)))
+    counts = keyed.groupBy("__llm_source").agg(F.count("*").alias("__llm_size"))
     total = keyed.count()
     buckets = total // bucket_rows + 1
-    order = ["_u", "_tie"]
-    ranked = _ranked(keyed, ["_source"], F.col("_u"), order, buckets, "_rank").join(counts, "_source")
+    order = ["__llm_u", "__llm_tie"]
+    ranked = _ranked(keyed, ["__llm_source"], F.col("__llm_u"), order, buckets, "__llm_rank").join(counts, "__llm_source")
     # A start of its own for each source spreads the single rows of small sources.
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), "_source"), F.lit(SPAN)) / F.lit(float(SPAN))
-    place = F.least(F.floor((F.col("_rank") + start) / F.col("_size") * SPAN), F.lit(SPAN - 1))
-    placed = ranked.withColumn("_place", place.cast("long")).drop("_size", "_rank")
-    done = _ranked(placed, [], F.col("_place"), ["_place", "_source", "_u", "_tie"], buckets, "_rank")
-    shard = F.floor(F.col("_rank") * shards / F.lit(total))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "__llm_source"), F.lit(SPAN)) / F.lit(float(SPAN))
+    place = F.least(F.floor((F.col("__llm_rank") + start) / F.col("__llm_size") * SPAN), F.lit(SPAN - 1))
+    placed = ranked.withColumn("__llm_place", place.cast("long")).drop("__llm_size", "__llm_rank")
+    done = _ranked(placed, [], F.col("__llm_place"), ["__llm_place", "__llm_source", "__llm_u", "__llm_tie"], buckets, "__llm_rank")
+    shard = F.floor(F.col("__llm_rank") * shards / F.lit(total))
     first = F.ceil(F.col("shard") * total / F.lit(shards))
     return (
         done.withColumn("shard", shard.cast("int"))
-        .withColumn("slot", (F.col("_rank") - first).cast("long"))
-        .drop("_source", "_tie", "_u", "_place", "_rank")
+        .withColumn("slot", (F.col("__llm_rank") - first).cast("long"))
+        .drop("__llm_source", "__llm_tie", "__llm_u", "__llm_place", "__llm_rank")
     )

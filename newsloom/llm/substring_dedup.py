@@ -188,8 +188,9 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist()):
             words = _cut_words(text)
             n.append(len(words))
-            sha.append(None if hits else _sha(words))
-            texts.append(text if hits else None)
+            open_ = bool(hits and words)
+            sha.append(None if open_ else _sha(words))
+            texts.append(text if open_ else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(sha, pa.string()),
              pa.array(texts, pa.string()), batch.column("hits")],
