@@ -97,5 +97,6 @@ def others(rows: DataFrame, min_documents: int, keep: str) -> DataFrame:
         F.sum(F.col("first").cast("int")).alias("n_docs"),
         (F.max("doc") if largest else F.min("doc")).alias("head"))
     # At most two keys per partition, so this side stays small whatever the rows are.
-    late = open_.join(F.broadcast(totals.filter(F.col("n_docs") >= min_documents)), KEYS).filter("doc <> head")
-    return done.filter("decided").select(rows.columns).unionByName(late.select(rows.columns))
+    settled = done.join(F.broadcast(totals), KEYS, "left")
+    gone = F.col("decided") | ((F.col("n_docs") >= min_documents) & (F.col("doc") != F.col("head")))
+    return settled.filter(gone).select(rows.columns)
