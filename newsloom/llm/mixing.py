@@ -54,8 +54,8 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
     level = (F.col("__llm_all") - F.col("__llm_full")) / (F.col("__llm_weights") - F.col("__llm_done"))
     open_ = F.col("source_size") * cap > level * F.col("weight")
     rows = rows.withColumns({"__llm_level": level, "__llm_open": open_})
-    cut_at = F.min(F.when(F.col("__llm_open"), F.struct(ratio, "__llm_level"))).over(every)
-    rows = rows.withColumn("__llm_final", cut_at["__llm_level"])
+    # The level rises while sources are full and falls behind the first open one.
+    rows = rows.withColumn("__llm_final", F.max(F.when(F.col("__llm_open"), F.col("__llm_level"))).over(every))
     share = F.least(F.col("__llm_final") * F.col("weight"), (F.col("source_size") * cap).cast("double"))
     return rows.select("source", "source_size", "weight",
                        F.when(F.col("__llm_final").isNull(), (F.col("source_size") * cap).cast("double"))
