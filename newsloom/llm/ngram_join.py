@@ -30,7 +30,7 @@ from newsloom.session import cut
 
 N = 5
 LOWEST = -(1 << 63)
-CELL_BITS, BLOCK_BITS = 18, 12       # frequency cells; cells in one row of the table
+CELL_BITS, BLOCK_BITS = 22, 16       # frequency cells; cells in one row of the table
 MATCHES = (1, 2, 4, 8)               # the m to choose from
 VERIFY_COST = 20                     # of a candidate, in postings
 HEAD_TOKENS, SKETCH = 4, 16
@@ -59,20 +59,31 @@ def shingles(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray, np.n
     return owner, h, np.searchsorted(owner, np.arange(len(text.counts) + 1))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes: the high bytes of small numbers become zeros for Spark's compression."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
 # --- frequency table ----------------------------------------------------------
 
 def _cells(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros(1 << CELL_BITS, np.int32)
         for batch in wd.slices(batches):
             text = wd.Words(batch.column("text"), wd.NOT_SPACE, lower=True)
             at, _ = text.windows(n)
             h = wd.mix(wd.chain(text.hashes(), n)[at] + np.uint64(n))
-            total += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+            np.add.at(total, (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         parts = total.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([parts[b].tobytes() for b in used], pa.binary())], ["block", "counts"])
+            [pa.array(used.astype(np.int32)), pa.array([_planes(parts[b]) for b in used], pa.binary())],
+            ["block", "counts"])
     return run
 
 
@@ -80,7 +91,8 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     total = np.zeros(1 << BLOCK_BITS, np.int64)
     for batch in batches:
         for counts in batch.column("counts").to_pylist():
-            total += np.frombuffer(counts, np.int64)
+            total += _values(counts, np.int32)
+    total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["block", "counts"])
 
 
@@ -91,9 +103,9 @@ def frequencies(rows: DataFrame, n: int = N) -> np.ndarray:
     """
     summed = rows.select("text").mapInArrow(_cells(n), "block int, counts binary").groupBy("block").applyInArrow(
         _add, "block int, counts binary")
-    total = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
+    total = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int32)
     for row in summed.collect():          # a fixed number of rows
-        total[row["block"]] = np.frombuffer(row["counts"], np.int64)
+        total[row["block"]] = np.frombuffer(row["counts"], np.int32)
     return total.ravel()
 
 
@@ -108,7 +120,7 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
 
 
 def _units(n_words: int, table: np.ndarray):
-    floor = int(table.sum() // len(table))
+    floor = int(table.sum(dtype=np.int64) // len(table))
     cost = np.maximum(table - floor, 0)
 
     def lists(values: np.ndarray, bounds: np.ndarray, most: np.ndarray, kind) -> pa.Array:
@@ -215,7 +227,7 @@ def head_pairs(units: DataFrame) -> DataFrame:
         F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b")).distinct()
 
 
-PACKED = "bucket int, keys binary, owners binary, docs binary, roots binary, sizes binary, needs binary"
+PACKED = "bucket int, keys binary, owners binary, places binary, docs binary, roots binary, sizes binary, needs binary"
 
 
 def _pack(buckets: int):
@@ -223,7 +235,9 @@ def _pack(buckets: int):
         for batch in batches:
             prefix = batch.column("prefix").to_pylist()
             h = np.frombuffer(b"".join(prefix), np.uint64)
-            owner = np.repeat(np.arange(len(prefix)), [len(p) // 8 for p in prefix])
+            length = np.array([len(p) // 8 for p in prefix], np.int64)
+            owner = np.repeat(np.arange(len(prefix)), length)
+            place = (np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint32)
             doc, root, n, need = (batch.column(c).to_numpy() for c in ("doc", "root", "n", "need"))
             bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
@@ -232,34 +246,40 @@ def _pack(buckets: int):
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[b]:cuts[b + 1]]
                 own, number = np.unique(owner[mine], return_inverse=True)
-                rows.append((int(b), keys[mine].tobytes(), number.astype(np.uint16).tobytes(), doc[own].tobytes(),
+                rows.append((int(b), keys[mine].tobytes(), number.astype(np.uint16).tobytes(), _planes(place[mine]), doc[own].tobytes(),
                              root[own].tobytes(), n[own].astype(np.uint32).tobytes(), need[own].astype(np.uint8).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))],
-                    ["bucket", "keys", "owners", "docs", "roots", "sizes", "needs"])
+                    ["bucket", "keys", "owners", "places", "docs", "roots", "sizes", "needs"])
     return run
 
 
 def _meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that share prefix shingles, are in different components and near in size."""
-    parts = {c: [] for c in ("keys", "docs", "roots", "sizes", "needs")}
+    """Pairs of a bucket that share prefix shingles, are in different components and near in size.
+
+    A shared shingle counts where it stands in the prefixes that the sizes of
+    this very pair ask for, which are shorter than those that any partner asks for.
+    """
+    parts = {c: [] for c in ("keys", "places", "docs", "roots", "sizes", "needs")}
     kinds = {"docs": np.int64, "roots": np.int64, "sizes": np.uint32, "needs": np.uint8}
     for batch in batches:
         columns = {c: batch.column(c).to_pylist() for c in (*parts, "owners")}
         for i in range(batch.num_rows):
             owner = np.frombuffer(columns["owners"][i], np.uint16)
             parts["keys"].append(np.frombuffer(columns["keys"][i], np.uint32))
+            parts["places"].append(_values(columns["places"][i], np.uint32))
             for c, kind in kinds.items():
                 parts[c].append(np.frombuffer(columns[c][i], kind)[owner])
-    keys, doc, root, n, need = (np.concatenate(parts[c]) for c in ("keys", "docs", "roots", "sizes", "needs"))
+    keys, place, doc, root, n, need = (np.concatenate(parts[c]) for c in parts)
     order = np.argsort(keys, kind="stable")
-    keys, doc, root, n, need = keys[order], doc[order], root[order], n[order].astype(np.int64), need[order]
+    keys, place, doc, root, n, need = (x[order] for x in (keys, place, doc, root, n, need))
+    n, need, after = n.astype(np.int64), need.astype(np.int64), n.astype(np.int64) - place - 1
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
     several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     use = several[run_of]
-    doc, root, n, need, run_of = doc[use], root[use], n[use], need[use], run_of[use]
+    doc, root, n, need, after, run_of = doc[use], root[use], n[use], need[use], after[use], run_of[use]
     ends = np.searchsorted(run_of, run_of, side="right")
     names, number = np.unique(doc, return_inverse=True)
     found, held = [], 0
@@ -276,7 +296,9 @@ def _meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     at, step = np.arange(len(doc)), 1
     while len(at := at[at + step < ends[at]]):
         to = at + step
-        good = (root[at] != root[to]) & (5 * np.minimum(n[at], n[to]) >= 4 * np.maximum(n[at], n[to])) & (doc[at] != doc[to])
+        overlap = (4 * (n[at] + n[to]) + 8) // 9
+        good = (root[at] != root[to]) & (doc[at] != doc[to]) & (
+            np.minimum(need[at], need[to]) + np.minimum(after[at], after[to]) >= overlap)
         if good.any():
             x, y = number[at[good]], number[to[good]]
             found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
