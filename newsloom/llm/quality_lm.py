@@ -29,7 +29,9 @@ from newsloom.session import cut
 VOCABULARY = 65_534
 BEGIN, UNKNOWN, FIRST = 0, 1, 2          # word numbers
 WORDS = VOCABULARY + FIRST
-SHARD_BYTES = 64 << 20                   # text whose bigrams make one shard
+SHARD_BIGRAMS = 4_000_000                # distinct bigrams of one shard of the model, about
+MIN_SHARDS = 8
+STREAM_BYTES = 256 << 20                 # text whose bigrams one task looks up in a shard
 QUANTILES = (0.002, 0.998)
 MIN_COUNT = 3                            # of a word of the vocabulary in trusted text
 PRIOR_WORDS = 20                         # words at the language's mean that every score starts with
@@ -252,7 +254,8 @@ def _key(key: str, text: str) -> Column:
 
 
 def scores(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-           vocabulary_size: int = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+           vocabulary_size: int = VOCABULARY, shard_bigrams: int = SHARD_BIGRAMS,
+           stream_bytes: int = STREAM_BYTES) -> DataFrame:
     """``key, doc_id, lang, trusted, log_p, n``: one row per document; without words ``n`` is 0."""
     if not 1 <= vocabulary_size <= VOCABULARY:
         raise ValueError(f"vocabulary_size must be from 1 to {VOCABULARY}")
@@ -264,17 +267,23 @@ def scores(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
         F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
         F.col(f"`{text}`").alias("text"), _key(key, text).alias("key"))
     rows = rows.join(side, F.col("doc_id") == F.col("__llm_id"), "left").withColumn("trusted", F.col("__llm_id").isNotNull()).drop("__llm_id")
-    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = int(size // shard_bytes) + 1
+    length = F.octet_length("text")
+    size, learnt = (x or 0 for x in rows.agg(F.sum(length), F.sum(F.when(F.col("trusted"), length))).first())
+    # As many shards as the model needs, which its vocabulary bounds; a shard's look-ups are spread
+    # over as many tasks as the input needs, each with a copy of the shard.
+    shards = max(MIN_SHARDS, int(min(learnt // 6, vocabulary_size**2) // shard_bigrams) + 1)
+    tasks = int(size // (shards * stream_bytes)) + 1
     known, others = vocabulary(rows.filter("trusted"), vocabulary_size)
     packed = lambda part: part.select("key", "trusted", "text").mapInArrow(_pack(known, shards), PACKED)
     model = cut(packed(rows.filter("trusted")).filter("trains").select("shard", "n", "data").groupBy("shard").applyInArrow(_merge, MODEL))
     facts = model.select("n", "data").mapInArrow(_facts, FACTS).groupBy("kind", "word").agg(F.sum("value").alias("value"))
     tables = Model(facts.toArrow(), others)                          # a fixed number of rows
-    probes = packed(rows).filter("not trains").select("shard", F.lit(False).alias("model"), "n", "data", "docs")
-    both = model.select("shard", F.lit(True).alias("model"), F.col("n").cast("int").alias("n"), "data",
-                        F.lit(b"").alias("docs")).unionByName(probes)
-    met = both.repartition("shard").sortWithinPartitions("shard", F.col("model").desc()).mapInArrow(_score(tables), SCORES)
+    probes = packed(rows).filter("not trains").select(
+        "shard", F.pmod(F.xxhash64("data"), F.lit(tasks)).alias("task"), F.lit(False).alias("model"), "n", "data", "docs")
+    copies = model.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("task"),
+                          F.lit(True).alias("model"), F.col("n").cast("int").alias("n"), "data", F.lit(b"").alias("docs"))
+    met = copies.unionByName(probes).repartition("shard", "task").sortWithinPartitions(
+        "shard", "task", F.col("model").desc()).mapInArrow(_score(tables), SCORES)
     sums = met.groupBy("key").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
     return rows.drop("text").join(sums, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -295,7 +304,8 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     rows = cut(scores(documents, trusted, key, text, lang, **options))
     sample = rows.filter("trusted and n > 0").withColumn("mean", -F.col("log_p") / F.col("n"))
     named = lambda df: df.withColumn("__llm_lang", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("null")))
-    means = named(sample).groupBy("__llm_lang").agg(F.avg("mean").alias("own_mean"), F.count("*").alias("own_n"))
+    # Written tables have known sizes, so those of a few languages are broadcast and long ones are not.
+    means = cut(named(sample).groupBy("__llm_lang").agg(F.avg("mean").alias("own_mean"), F.count("*").alias("own_n")))
     overall = sample.agg(F.avg("mean").alias("all_mean"))
     centred = named(rows).join(means, "__llm_lang", "left").join(F.broadcast(overall)).withColumn(
         "centre", F.when(F.col("own_n") >= min_trusted, F.col("own_mean")).otherwise(F.col("all_mean")))
@@ -304,7 +314,7 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
         F.col("n") > 0, (centre * prior - F.col("log_p")) / (F.col("n") + prior))))
     judged = scored.filter("trusted and n > 0")
     bounds = lambda names: [F.percentile_approx("score", float(q), 10_000).alias(c) for q, c in zip(quantiles, names)]
-    own = judged.groupBy("__llm_lang").agg(*bounds(("own_low", "own_high")))
+    own = cut(judged.groupBy("__llm_lang").agg(*bounds(("own_low", "own_high"))))
     whole = judged.agg(*bounds(("all_low", "all_high")))
     enough = F.col("own_n") >= min_trusted
     done = scored.join(own, "__llm_lang", "left").join(F.broadcast(whole)).withColumns({

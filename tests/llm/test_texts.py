@@ -233,14 +233,14 @@ def model_texts():
     return texts + [(200, "zz qq vv " * 30, "en"), (201, None, "en"), (202, "", None), (203, "w1", "en"), (204, "x" * 5000, "en"), (0, prose(0, 60, 50), "en")]
 
 
-@pytest.mark.parametrize("size,shard_bytes", [(65_534, 1 << 30), (20, 300)])
-def test_log_probabilities(rows, size, shard_bytes):
+@pytest.mark.parametrize("size,shard,stream", [(65_534, 1 << 30, 1 << 30), (20, 9, 40)])
+def test_log_probabilities(rows, size, shard, stream):
     """Against the textbook formulas on counts in dictionaries."""
     from collections import Counter
     table, good = model_texts(), list(range(30))
     docs = rows("doc_id long, text string, lang string", table)
     got = {r["doc_id"]: r for r in quality_lm.scores(
-        docs, rows("id long", [(i,) for i in good]), vocabulary_size=size, shard_bytes=shard_bytes).collect()}
+        docs, rows("id long", [(i,) for i in good]), vocabulary_size=size, shard_bigrams=shard, stream_bytes=stream).collect()}
     token = lambda t: [w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w for w in (t or "").lower().split()]
     trained = [t for i, t, _ in table if i in good]
     freq = Counter(w for t in trained for w in token(t))
