@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.lexicon import ENTITIES
-
 _HIDDEN = ("script", "style", "template")
-_NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{0,31};?)"
+
+
+# What numbers 0x80 to 0x9F mean; those that windows-1252 leaves open stay as they are.
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
 
 
 def squeeze(col: Column) -> Column:
@@ -18,29 +22,53 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
-def _code_point(entity: Column) -> Column:
-    """The character of one numeric entity; a bad number gives U+FFFD."""
-    digits = F.regexp_extract(entity, r"&#[xX]?([0-9a-fA-F]+);", 1)
-    is_hex = F.lower(F.substring(entity, 3, 1)) == "x"
-    point = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-    valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-    point = F.when(valid, point).otherwise(F.lit(0xFFFD))
+def _character(point: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
 
-def decode_entities(col: Column) -> Column:
-    named = reduce(
-        lambda c, item: F.replace(c, F.lit(f"&{item[0]};"), F.lit(item[1])),
-        ENTITIES.items(),
-        col,
+def _code_point(reference: Column) -> Column:
+    """The character of a numeric reference, by the rules of HTML: numbers of the C1 range
+    mean windows-1252, impossible ones give U+FFFD, control and non-characters nothing."""
+    is_hex = F.lower(F.substring(reference, 3, 1)) == "x"
+    digits = F.regexp_extract(reference, r"&#[xX]?0*([0-9a-fA-F]*)", 1)
+    point = F.when(F.length(digits) > 8, F.lit(0x7FFFFFFF)).when(
+        digits == "", F.lit(0)).when(is_hex, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    c1 = F.substring(F.lit(_WINDOWS), (point - 0x7F).cast("int"), F.lit(1))
+    control = (
+        point.between(1, 8) | (point == 0x0B) | point.between(0x0E, 0x1F) | point.between(0x7F, 0x9F)
+        | point.between(0xFDD0, 0xFDEF) | (F.pmod(point, F.lit(0x10000)) >= 0xFFFE)
     )
-    numeric = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(named, F.lit(_NUMERIC_ENTITY), F.lit(0))),
-        named,
-        lambda text, entity: F.replace(text, entity, _code_point(entity)),
+    return (
+        F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\ufffd"))
+        .when(point == 0x0D, F.lit("\r"))
+        .when(point.between(0x80, 0x9F), c1)
+        .when(control, F.lit(""))
+        .otherwise(_character(point))
     )
-    decoded = F.when(F.contains(named, F.lit("&#")), numeric).otherwise(named)
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+
+
+def _named(reference: Column, names: Column) -> Column:
+    """The text of a named reference; of one without an end the longest known beginning counts."""
+    name = F.substring(reference, F.lit(2), F.length(reference))
+    known = F.filter(
+        F.transform(F.sequence(F.length(name), F.lit(1), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n)),
+        lambda part: F.map_contains_key(names, part))
+    best = F.get(known, 0)
+    rest = F.substring(name, F.length(best) + 1, F.length(name))
+    return F.when(best.isNull(), reference).otherwise(F.concat(F.try_element_at(names, best), rest))
+
+
+def decode_entities(col: Column) -> Column:
+    """Character references decoded once, by the table of HTML 5 (of the standard library).
+
+    References are taken out of the text, decoded, and put back between its
+    other parts; texts without an ampersand are left alone.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    found = F.regexp_extract_all(col, F.lit(_REFERENCE), F.lit(0))
+    decoded = F.transform(found, lambda r: F.when(F.startswith(r, F.lit("&#")), _code_point(r)).otherwise(_named(r, names)))
+    parts = F.zip_with(F.split(col, _REFERENCE, -1), decoded, lambda t, d: F.concat(t, F.coalesce(d, F.lit(""))))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(parts, "")).otherwise(col)
 
 
 def clean_html(col: Column) -> Column:

@@ -37,11 +37,14 @@ def stable_id(source: Column, link: Column, entry_id: Column, title: Column) ->
 
 # --- times -------------------------------------------------------------------
 
-# Zone names of RFC 822 as offsets.
+# Zone names of RFC 822, and common others, as offsets.
 _ZONES = {
     "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "IST": "+0530",
     "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
     "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+    "BST": "+0100", "CET": "+0100", "CEST": "+0200", "EET": "+0200", "EEST": "+0300",
+    "MSK": "+0300", "SGT": "+0800", "HKT": "+0800", "JST": "+0900",
+    "AEST": "+1000", "AEDT": "+1100", "NZST": "+1200", "NZDT": "+1300",
 }
 
 
@@ -51,11 +54,13 @@ def parse_iso(col: Column) -> Column:
 
 
 def _parse_feed_time(col: Column) -> Column:
+    """Mail-style date, or ISO text; a zone name that is not listed counts as UTC."""
     text = F.trim(F.regexp_replace(col, r"^\s*[A-Za-z]{3,9},\s*", ""))
-    zone = F.regexp_extract(text, r" ([A-Z]{1,3})$", 1)
+    zone = F.regexp_extract(text, r" ([A-Z]{1,5})$", 1)
     names = F.create_map(*[F.lit(x) for pair in _ZONES.items() for x in pair])
     text = F.when(
-        zone != "", F.concat(F.regexp_replace(text, r"[A-Z]{1,3}$", ""), F.element_at(names, zone))
+        zone != "", F.concat(F.regexp_replace(text, r"[A-Z]{1,5}$", ""),
+                            F.coalesce(F.try_element_at(names, zone), F.lit("+0000")))
     ).otherwise(text)
     return F.coalesce(
         F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")),

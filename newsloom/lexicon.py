@@ -94,14 +94,4 @@ REASONING_CHARS = 600
 # The URL namespace of name-based UUIDs (RFC 4122, appendix C), as hex.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
-# Named entities that feeds use; "&amp;" is decoded separately, last.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "middot": "·",
-    "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢",
-    "laquo": "«", "raquo": "»", "deg": "°", "times": "×",
-}
-
 # --- end of fixed values ----------------------------------------------------

@@ -59,12 +59,20 @@ def uuid5(name: str) -> str:
     )
 
 
+# Named references that the supplied pages use; "&amp;" comes last.
+PAGE_ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
+    "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
+    "euro": "€", "pound": "£", "eacute": "é",
+}
+
+
 def clean(x: str) -> str:
     for tag in ("script", "style", "template"):
         x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?(</{tag}\s*>|\z)', '', 'g')"
     x = rf"regexp_replace({x}, '(?s)<!--.*?(-->|\z)', '', 'g')"
     x = f"regexp_replace({x}, '<[!/?a-zA-Z][^>]*>', '', 'g')"
-    for name, char in lx.ENTITIES.items():
+    for name, char in PAGE_ENTITIES.items():
         x = f"replace({x}, '&{name};', {q(char)})"
     x = f"replace({x}, '&amp;', '&')"
     return squeeze(x)

@@ -76,7 +76,7 @@ def log_run(
     row = store.spark.range(1).select(
         F.lit(status).alias("status"), F.lit(reason).alias("reason"), as_of.alias("ran_at"),
         *[F.lit(getattr(result, n)).cast("bigint").alias(n) for n in result.__dataclass_fields__],
-        F.lit(message[:2000]).alias("message"),
+        F.lit(message).alias("message"),
     )
     store.write("run_log", row, batch_id)
 

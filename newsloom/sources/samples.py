@@ -62,18 +62,9 @@ RESPONSES = (
 )
 
 
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. One text file with a single row group would keep all
-    but one core idle, so text tables of fewer files than cores are spread;
-    a table of many files is read as it is, without a shuffle."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(rows.inputFiles()) < cores:
-        return rows.repartition(cores, TEXT_TABLES[name])
-    return rows
+    """A supplied table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_of() -> Column:

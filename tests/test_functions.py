@@ -176,3 +176,24 @@ def test_numeric_detail(values):
         "in q4": True, "q5": False, "fy25": True, "fy2": False, "ten crore": True, "xcrore": False,
     }
     assert values(X.rlike(scoring.NUMERIC_DETAIL), list(cases)) == list(cases.values())
+
+
+def test_character_references_follow_html(values):
+    """Every named reference, with and without end, and all kinds of numbers."""
+    import html
+    from html.entities import html5
+    texts = [f"x&{name}y z" for name in html5] + [f"&{name.rstrip(';')}" for name in html5]
+    numbers = [*range(0, 0x110), 0x2019, 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE,
+               0x10FFFF, 0x110000, 10**9, 10**30]
+    texts += [f"a&#{n};b" for n in numbers] + [f"a&#x{n:X}b" for n in numbers] + [f"&#X{n:x};" for n in numbers]
+    texts += ["&#0000000039;", "&#x000000000027;", "AT&ampT", "&lt3", "&notit;", "&amp;lt;", "&lt;&amp;&lt;", "&;", "& b", "&#;", "&#x;",
+              "&unknown;", "a && b &", "&&lt;", "", "no reference", "&ampamp;", "&Eacute;&eacute"]
+    got = values(tx.decode_entities(F.col("x")), texts)
+    wrong = [(t, g, html.unescape(t)) for t, g in zip(texts, got) if g != html.unescape(t)]
+    assert wrong == []
+
+
+def test_time_zones_by_name(values):
+    got = values(vl.entry_time(F.col("x"), F.lit(None).cast("string")), [
+        "Mon, 01 Jan 2024 10:00:00 CEST", "Mon, 01 Jan 2024 10:00:00 AEST", "Mon, 01 Jan 2024 10:00:00 XYZT"])
+    assert got == ["2024-01-01T08:00:00+00:00", "2024-01-01T00:00:00+00:00", "2024-01-01T10:00:00+00:00"]
