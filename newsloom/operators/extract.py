@@ -190,22 +190,38 @@ def settle_tickers(extracted: DataFrame) -> DataFrame:
     )
 
 
+def _each_alone(call: Callable[[pd.Series], pd.Series], texts: pd.Series) -> tuple[pd.Series, pd.Series]:
+    """Results of a hook and error texts: a batch that fails is tried again row by row."""
+    none = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+    try:
+        return call(texts), none
+    except Exception:
+        answers, errors = none.copy(), none
+        for i in texts.index:
+            try:
+                answers[i] = call(texts.loc[[i]]).iloc[0]
+            except Exception as error:
+                errors[i] = f"{type(error).__name__}: {error}"
+        return answers, errors
+
+
 def add_responses(
-    news: DataFrame, call: Callable[[pd.Series], pd.Series], raw: str = "raw_response"
+    news: DataFrame, call: Callable[[pd.Series], pd.Series], raw: str = "raw_response",
+    error: str | None = None,
 ) -> DataFrame:
     """Extraction hook: ``call`` maps a batch of texts to response texts.
 
-    A batch whose call fails gets null responses, so the rules apply to it.
+    A text whose call fails gets a null response, so the rules apply to it;
+    with ``error`` the reason goes to a column of that name.
     """
-    schema = StructType([*news.schema.fields, StructField(raw, StringType())])
+    extra = [StructField(name, StringType()) for name in (raw, error) if name]
+    schema = StructType([*news.schema.fields, *extra])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                answers = call(batch["full_text"])
-            except Exception:
-                answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            yield batch.assign(**{raw: answers})
+            answers, errors = _each_alone(call, batch["full_text"])
+            batch = batch.assign(**{raw: answers})
+            yield batch.assign(**{error: errors}) if error else batch
 
     return news.mapInPandas(run, schema)
 
@@ -213,12 +229,14 @@ def add_responses(
 def add_embeddings(
     news: DataFrame, encode: Callable[[pd.Series], pd.Series], name: str = "embedding"
 ) -> DataFrame:
-    """Embedding hook: ``encode`` maps a batch of texts to vectors."""
-    schema = StructType.fromDDL(f"news_id string, text string, {name} array<float>")
+    """Embedding hook: ``encode`` maps a batch of texts to vectors. A text whose
+    call fails gets a null vector and the reason in ``error``."""
+    schema = StructType.fromDDL(f"news_id string, text string, {name} array<float>, error string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(**{name: encode(batch["text"])})
+            vectors, errors = _each_alone(encode, batch["text"])
+            yield batch.assign(**{name: vectors, "error": errors})
 
     return news.select("news_id", F.col("full_text").alias("text")).mapInPandas(run, schema)
 

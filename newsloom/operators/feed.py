@@ -88,7 +88,7 @@ def load_signals(
         .limit(limit)
         .drop("source", "published_at", "fetched_at")
     )
-    rows = news.select(*NEWS_COLUMNS).join(F.broadcast(top), "news_id")
+    rows = news.select(*NEWS_COLUMNS).join(top, "news_id")
     return with_defaults(rows).select(*SIGNAL_VIEW).orderBy(*newest_first())
 
 

@@ -9,13 +9,16 @@ from newsloom import lexicon as lx
 from newsloom.functions import values as vl
 
 
-def recent_bars(prices: DataFrame, as_of: Column, days: int = 5) -> DataFrame:
-    """The last ``days`` bars per ticker up to ``as_of``; ``n`` is 1 for the
-    latest. The day filter reaches the scan; rows past ``days`` are dropped in
-    each task before the shuffle."""
+HISTORY_DAYS = 7          # five trading days
+
+
+def recent_bars(prices: DataFrame, as_of: Column, days: int = 5, history_days: int = HISTORY_DAYS) -> DataFrame:
+    """The last ``days`` bars per ticker of the ``history_days`` up to ``as_of``; ``n`` is 1 for
+    the latest. A ticker with older bars only has none. Both bounds reach the
+    scan; rows past ``days`` are dropped in each task before the shuffle."""
     newest = Window.partitionBy("ticker").orderBy(F.desc("day"))
     return (
-        prices.filter(F.col("day") <= F.to_date(as_of))
+        prices.filter((F.col("day") <= F.to_date(as_of)) & (F.col("day") > F.date_sub(F.to_date(as_of), history_days)))
         .withColumn("n", F.row_number().over(newest))
         .filter(F.col("n") <= days)
     )

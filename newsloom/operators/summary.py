@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import lexicon as lx
 from newsloom.functions import values as vl
+from newsloom.session import cut
 
 SERVER_DIMENSIONS = {
     "suggestions": "suggestion", "sentiments": "sentiment", "event_types": "event_type",
@@ -179,29 +180,38 @@ def shown_of_total(feed: DataFrame, keep: Column) -> DataFrame:
     return feed.agg(F.count_if(keep).alias("shown"), F.count("*").alias("total"))
 
 
-def result_document(feed: DataFrame) -> DataFrame:
-    """One JSON text ``{signals, summary}`` of a loaded (limited) feed."""
+def result_document(feed: DataFrame, as_of: Column, ticker: str | None = None) -> DataFrame:
+    """One JSON text ``{signals, summary}`` of a loaded (limited) feed, for one ticker
+    with its name. The feed is evaluated once; every part reads its written rows."""
+    feed = cut(feed)
     order = [F.col("feed_pos")]
-    rows = feed.agg(
-        F.array_sort(F.collect_list(F.struct("feed_pos", *[
-            c for c in feed.columns if c != "feed_pos"
-        ]))).alias("signals")
-    )
-    counts = dimension_counts(feed).groupBy().agg(
-        F.array_sort(F.collect_list(F.struct("dimension", "value", "n"))).alias("counts")
-    )
-    stocks = top_stocks(feed, order).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "ticker", "n"))).alias("top_stocks")
-    )
-    queue = action_queue(feed, order).agg(
-        F.collect_list("news_id").alias("action_queue")
-    )
-    one = F.lit(1).alias("_one")
-    parts = [p.withColumn("_one", one) for p in (rows, kpis(feed), counts, stocks, queue)]
+    signal = F.struct(*[c for c in feed.columns if c != "feed_pos"])
+
+    def in_order(rows: DataFrame, place: Column, value: Column, name: str) -> DataFrame:
+        pair = F.struct(place, value.alias("value"))
+        return rows.agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["value"]).alias(name))
+
+    counts = dimension_counts(feed).groupBy().agg(*[
+        F.map_from_entries(F.array_sort(F.collect_list(
+            F.when(F.col("dimension") == name, F.struct("value", "n"))))).alias(name)
+        for name in SERVER_DIMENSIONS
+    ])
+    queue = action_queue(feed, order)
+    strength = F.struct(
+        (F.coalesce(F.col("priority"), F.lit("")) != "HIGH").alias("o0"), (-F.abs("signal_score")).alias("o1"),
+        (-F.col("confidence")).alias("o2"), F.col("feed_pos").alias("o3")).alias("place")
+    parts = [
+        in_order(feed, F.col("feed_pos").alias("place"), signal, "signals"),
+        kpis(feed), counts,
+        in_order(top_stocks(feed, order), F.col("rank").alias("place"), F.struct("ticker", "n"), "top_stocks"),
+        in_order(queue, strength, signal, "action_queue"),
+    ]
     joined = parts[0]
     for part in parts[1:]:
-        joined = joined.join(part, "_one")
-    summary = F.struct(*[
-        c for p in parts[1:] for c in p.columns if c != "_one"
-    ]).alias("summary")
-    return joined.select(F.to_json(F.struct("signals", summary)).alias("document"))
+        joined = joined.join(part, how="cross")          # one row each
+    summary = F.struct(
+        *[c for p in parts[1:] for c in p.columns],
+        F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
+    ).alias("summary")
+    head = [F.lit(ticker.upper()).alias("ticker")] if ticker else []
+    return joined.select(F.to_json(F.struct(*head, "signals", summary)).alias("document"))

@@ -183,7 +183,7 @@ cte("bars", f"""
 cte("recent", """
     SELECT ticker, day, close, volume,
       row_number() OVER (PARTITION BY ticker ORDER BY day DESC) AS n
-    FROM bars WHERE day <= DATE '2024-01-31'""", "bars")
+    FROM bars WHERE day <= DATE '2024-01-31' AND day > DATE '2024-01-24'""", "bars")
 cte("quotes", """
     SELECT ticker, c / 100.0 AS close,
       CASE WHEN c >= p THEN 1 ELSE -1 END
@@ -618,9 +618,9 @@ ORACLE["client_quote_tickers"] = sql(
     """SELECT ticker, row_number() OVER (ORDER BY first_seen) AS pos
     FROM rmentions WHERE ticker LIKE '%.NS' ORDER BY first_seen LIMIT 12""", "rmentions")
 ORACLE["action_queue"] = sql(
-    f"""SELECT {BRIEF} FROM signals WHERE suggestion IN ('BUY', 'SELL')
+    f"""SELECT {BRIEF} FROM rsignals WHERE suggestion IN ('BUY', 'SELL')
     ORDER BY priority = 'HIGH' DESC, abs(signal_score) DESC, confidence DESC, {NEWEST}
-    LIMIT 6""", "signals")
+    LIMIT 6""", "rsignals")
 ORACLE["action_queue_client"] = sql(
     f"""SELECT {BRIEF} FROM shown WHERE suggestion IN ('BUY', 'SELL')
     ORDER BY abs(signal_score) DESC, signal_time, feed_pos LIMIT 6""", "shown")
@@ -669,13 +669,14 @@ cte("log", f"""
     SELECT news_id, 'local' AS channel, 'recorded' AS status, 'earlier: ' || headline AS message,
       strftime({AS_OF} - to_seconds(doc_id % 86400), '%Y-%m-%d %H:%M:%S') AS sent_at
     FROM news JOIN labels USING (doc_id) WHERE quality = 1""", "news")
-cte("due", """SELECT * FROM signals WHERE priority = 'HIGH' AND suggestion IN ('BUY', 'SELL')
-    AND abs(signal_score) >= 80""", "signals")
+cte("due", """SELECT * FROM rsignals WHERE priority = 'HIGH' AND suggestion IN ('BUY', 'SELL')
+    AND abs(signal_score) >= 80""", "rsignals")
 MESSAGE = """suggestion || ' ' || array_to_string(stocks, ', ') || ' score ' || signal_score
   || ' confidence ' || confidence::DOUBLE || ': ' || headline AS message"""
 ORACLE["alerts_new"] = sql(
     """SELECT news_id, 'local' AS channel, 'recorded' AS status FROM due
-    WHERE news_id NOT IN (SELECT news_id FROM log)""", "due", "log")
+    WHERE news_id NOT IN (SELECT news_id FROM log)
+    UNION ALL SELECT news_id, 'webhook', 'recorded' FROM due""", "due", "log")
 ORACLE["alert_messages"] = sql(
     f"""SELECT news_id, 'local' AS channel, 'recorded' AS status, {MESSAGE},
       '{samples.AS_OF}' AS sent_at FROM due""", "due")

@@ -465,7 +465,7 @@ def client_quote_tickers(spark, sf):
 
 @query
 def action_queue(spark, sf):
-    rows = rule_signals(spark, sf)
+    rows = response_signals(spark, sf)
     return brief(summary.action_queue(rows, summary.feed_order_values()))
 
 
@@ -477,7 +477,13 @@ def action_queue_client(spark, sf):
 
 @query
 def result_document(spark, sf):
-    return summary.result_document(positioned_feed(spark, sf))
+    return summary.result_document(positioned_feed(spark, sf), samples.as_of())
+
+
+@query
+def stock_document(spark, sf):
+    rows = feed.with_position(loaded_feed(spark, sf, {"stock": "TCS.NS"}))
+    return summary.result_document(rows, samples.as_of(), "TCS.NS")
 
 
 # --- prices ------------------------------------------------------------------------
@@ -592,14 +598,16 @@ def _log_rows(rows):
 
 @query
 def alerts_new(spark, sf):
-    rows = alerts.new_alerts(rule_signals(spark, sf), _alert_log(spark, sf), samples.as_of())
-    return rows.select("news_id", "channel", "status")
+    """Due on two channels, of which the log knows one."""
+    due, log = response_signals(spark, sf), _alert_log(spark, sf)
+    rows = [alerts.new_alerts(due, log, samples.as_of(), channel) for channel in ("local", "webhook")]
+    return rows[0].unionByName(rows[1]).select("news_id", "channel", "status")
 
 
 @query
 def alert_messages(spark, sf):
     none = spark.createDataFrame([], schemas.ALERTS)
-    return _log_rows(alerts.new_alerts(rule_signals(spark, sf), none, samples.as_of()))
+    return _log_rows(alerts.new_alerts(response_signals(spark, sf), none, samples.as_of()))
 
 
 @query
@@ -689,12 +697,11 @@ def stream_signals(spark, sf):
 def stream_alerts_once(spark, sf):
     """Streaming alert rule with each id announced a single time."""
     folder = _run_folder(spark)
-    rows = scoring.score_signals(
-        extract.settle_tickers(
-            extract.extract_by_rules(samples.news_of(_documents_stream(spark, sf)))
-        ),
-        samples.as_of(),
-    )
-    once = refresh.announce_once(rows).select("news_id", alerts.alert_message().alias("message"))
+    news = samples.with_response(samples.news_of(_documents_stream(spark, sf), "doc_id"))
+    rows = extract.normalize_responses(news).drop("raw_response", "origin", "doc_id")
+    rows = scoring.score_signals(extract.settle_tickers(rows), samples.as_of(), "responses")
+    time = F.coalesce(vl.feed_time(F.col("published_at"), F.col("fetched_at")), samples.as_of())
+    once = refresh.announce_once(rows.withColumn("seen_at", time), "seen_at", "60 days").select(
+        "news_id", alerts.alert_message().alias("message"))
     refresh.to_files(once, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
     return spark.read.schema("news_id string, message string").parquet(f"{folder}/out")

@@ -2,8 +2,8 @@
 
 Every step reads what the step before has written to the store, so nothing is
 computed twice, lineage stays short and a lost executor costs one task. All
-writes go to partitions of ``batch_id``; running the same batch again gives
-the same tables.
+writes replace what ``batch_id`` has in a table, and a batch keeps the time it
+first ran at, so running it again gives the same tables.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from newsloom import lexicon as lx
 from newsloom.functions import text as tx
 from newsloom.operators import alerts, dedup, extract, feed, ingest, prices, scoring
-from newsloom.session import cut
+from newsloom.session import cut, release
 from newsloom.sources.tables import Deliver, Store, news_day
 
 DEDUP_MODES = ("id", "lexical", "semantic")
@@ -59,7 +59,11 @@ def run_batch(
     batch_id: str,
     reason: str = "manual",
 ) -> Result:
-    """Process ``entries`` and log the run; a failure is logged and raised."""
+    """Process ``entries`` and log the run; a failure is logged and raised.
+
+    ``as_of`` is evaluated once, when the batch id is first seen.
+    """
+    as_of = F.lit(store.pin_time(batch_id, as_of)).cast("timestamp")
     try:
         result = _run(spark, store, entries, settings, as_of, batch_id)
     except Exception as error:
@@ -101,21 +105,23 @@ def _run(spark, store, entries, settings, as_of, batch_id) -> Result:
     if entries.schema["pos"].dataType.simpleString() != "string":
         pos = F.lpad(pos.cast("string"), 20, "0")
 
+    unreadable = None
+    if "corrupt" in entries.columns:
+        unreadable = entries.filter(F.col("corrupt").isNotNull())
+        entries = entries.filter(F.col("corrupt").isNull()).drop("corrupt")
+
     # Entries -> items, staged once.
     items = ingest.news_items(entries.withColumn("pos", pos), stamp, settings.limit)
     store.write("items", items.join(feed_no, "source", "left"), batch_id)
     items = store.read("items", batch_id)
-    health = ingest.source_health(settings.feeds, entries, as_of)
-    store.write("source_health", health)
+    _write_health(store, settings, entries, as_of)
 
     # Rows that cannot be keyed go to the error table, the others go on.
     bad = items.filter(F.col("news_id").isNull())
-    store.write(
-        "errors",
-        bad.select(F.coalesce("headline", F.lit("")).alias("headline"),
-                   F.lit("source is missing").alias("error")),
-        batch_id,
-    )
+    errors = bad.select(F.coalesce("headline", F.lit("")).alias("headline"), F.lit("source is missing").alias("error"))
+    if unreadable is not None:
+        errors = errors.unionByName(unreadable.select(
+            F.coalesce("title", F.lit("")).alias("headline"), F.concat(F.lit("unreadable item: "), "corrupt").alias("error")))
     good = items.filter(F.col("news_id").isNotNull())
     known = store.known_keys(good, batch_id)
     new = ingest.unseen(ingest.first_per_id(good, "feed_no", "pos"), known)
@@ -125,9 +131,12 @@ def _run(spark, store, entries, settings, as_of, batch_id) -> Result:
     # Similar news keep their raw row, but give no signal.
     raw = store.read("news_raw", batch_id)
     order = items.select("news_id", "feed_no", "pos")
-    fresh = _drop_similar(store, settings, raw, order, batch_id)
-
-    extracted = _extract(fresh, settings)
+    fresh, failed = _drop_similar(store, settings, raw, order, batch_id)
+    extracted, asked = _extract(fresh, settings)
+    for part in (failed, asked):
+        if part is not None:
+            errors = errors.unionByName(part)
+    store.write("errors", errors, batch_id)
     scored = scoring.score_signals(extract.settle_tickers(extracted), as_of, settings.model_name)
     priced = prices.price_signals(scored, settings.bars, as_of)
     store.write("signals", priced, batch_id)
@@ -135,54 +144,82 @@ def _run(spark, store, entries, settings, as_of, batch_id) -> Result:
     _alert(store, settings, as_of, batch_id)
     store.add_keys(raw, batch_id)
 
-    n_items, n_errors = items.count(), bad.count()
+    n_items, n_errors = items.count(), store.read("errors", batch_id).count()
+    n_failed = failed.count() if failed is not None else 0
     inserted = fresh.count()
     return Result(
         fetched=n_items,
         inserted=inserted,
-        duplicates=n_items - n_errors - inserted,
+        duplicates=n_items - bad.count() - n_failed - inserted,
         processed=store.read("signals", batch_id).count(),
         errors=n_errors,
     )
 
 
-def _drop_similar(store, settings, raw, order, batch_id) -> DataFrame:
+def _write_health(store, settings, entries, as_of) -> None:
+    """A feed that is absent from this drop keeps the row it has."""
+    health = ingest.source_health(settings.feeds, entries, as_of)
+    known = cut(store.read("source_health").select("source"))
+    absent = health.filter("item_count = 0").join(known, "source", "left_anti")
+    store.write("source_health", health.filter("item_count > 0").unionByName(absent))
+    release(known)
+
+
+def _drop_similar(store, settings, raw, order, batch_id) -> tuple[DataFrame, DataFrame | None]:
+    """News that go on, and errors of those that could not be compared."""
     if settings.dedup == "id":
-        return raw
+        return raw, None
     place = order.groupBy("news_id").agg(F.min(F.struct("feed_no", "pos")).alias("ord"))
     placed = raw.join(place, "news_id")
     if settings.dedup == "lexical":
-        flags = cut(
-            dedup.lexical_dedup(
-                placed, stored=store.read("fingerprints", before=batch_id),
-                order_by_rarity=False,
-            )
-        )
-        kept = raw.join(flags.filter("kept").select("news_id"), "news_id", "left_semi")
-        prints = kept.select("news_id", tx.fingerprint(F.col("full_text")).alias("fp"))
+        flags = dedup.lexical_dedup(
+            placed, stored=store.read("fingerprints", before=batch_id), order_by_rarity=False)
+        prints = raw.join(flags.filter("kept").select("news_id"), "news_id", "left_semi").select(
+            "news_id", tx.fingerprint(F.col("full_text")).alias("fp"))
         store.write("fingerprints", prints, batch_id)
-        return kept
+        kept = store.read("fingerprints", batch_id).select("news_id")
+        return raw.join(kept, "news_id", "left_semi"), None
     if settings.encode is None:
         raise ValueError("semantic dedup needs settings.encode")
     vectors = cut(extract.add_embeddings(raw, settings.encode))
-    flags = cut(
-        dedup.vector_dedup(
-            vectors.join(place, "news_id"),
-            stored=store.read("embeddings", before=batch_id),
-        )
-    )
-    keep = flags.filter("kept").select("news_id")
-    store.write("embeddings", vectors.join(keep, "news_id", "left_semi"), batch_id)
-    return raw.join(keep, "news_id", "left_semi")
+    failed = vectors.filter("error is not null").join(raw.select("news_id", "headline"), "news_id").select("headline", "error")
+    vectors = vectors.filter("error is null").drop("error")
+    flags = dedup.vector_dedup(vectors.join(place, "news_id"), stored=store.read("embeddings", before=batch_id))
+    store.write("embeddings", vectors.join(flags.filter("kept").select("news_id"), "news_id", "left_semi"), batch_id)
+    kept = store.read("embeddings", batch_id).select("news_id")
+    return raw.join(kept, "news_id", "left_semi"), failed
 
 
-def _extract(news: DataFrame, settings: Settings) -> DataFrame:
+def _extract(news: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """Extracted signals, and the errors of the hook; the rules stand in where it failed."""
     if settings.ask is None:
-        return extract.extract_by_rules(news, settings.watchlist)
-    asked = extract.add_responses(news, settings.ask)
-    return extract.normalize_responses(asked, watchlist=settings.watchlist).drop(
+        return extract.extract_by_rules(news, settings.watchlist), None
+    asked = cut(extract.add_responses(news, settings.ask, error="hook_error"))
+    failed = asked.filter("hook_error is not null").select("headline", F.col("hook_error").alias("error"))
+    return extract.normalize_responses(asked.drop("hook_error"), watchlist=settings.watchlist).drop(
         "raw_response", "origin"
-    )
+    ), failed
+
+
+def reprocess(
+    spark: SparkSession, store: Store, settings: Settings, as_of: Column, batch_id: str,
+    news: DataFrame | None = None,
+) -> int:
+    """Extract and score stored news again (all, or those of ``news``): new values replace the
+    stored ones, but a signal keeps its first price, its day and its batch."""
+    as_of = F.lit(store.pin_time(batch_id, as_of)).cast("timestamp")
+    rows = store.read("news_raw")
+    if news is not None:
+        rows = rows.join(news.select("news_id"), "news_id", "left_semi")
+    day = rows.select("news_id", "day")
+    extracted, failed = _extract(rows.drop("day", "batch_id"), settings)
+    scored = scoring.score_signals(extract.settle_tickers(extracted), as_of, settings.model_name)
+    priced = prices.price_signals(scored, settings.bars, as_of).join(day, "news_id")
+    fields = [f.name for f in store.TABLES["signals"][0].fields if f.name != "batch_id"]
+    store.merge_signals(priced.select(fields), batch_id)
+    if failed is not None:
+        store.write("errors", failed, batch_id)
+    return priced.count()
 
 
 def _alert(store, settings, as_of, batch_id) -> None:
@@ -196,6 +233,8 @@ def _alert(store, settings, as_of, batch_id) -> None:
     )
     rows = None
     for channel in settings.channels:
+        if channel != "local" and channel not in settings.deliver:
+            continue                    # not configured: nothing is sent or logged
         log = store.read("alert_log", before=batch_id).filter(F.col("channel") == channel)
         if channel in ("local", "webhook"):
             due = alerts.new_alerts(view, log, as_of, channel)

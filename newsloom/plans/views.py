@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from newsloom.operators import alerts, feed, ingest, prices, summary
 from newsloom.sources.tables import Store
@@ -16,9 +17,16 @@ def stock(store: Store, ticker: str) -> DataFrame:
     return signals(store, {"stock": ticker.upper()})
 
 
-def dashboard(store: Store, filters: dict | None = None) -> DataFrame:
+def dashboard(store: Store, filters: dict | None = None, as_of: Column | None = None) -> DataFrame:
     """The ``{signals, summary}`` document of the newest signals."""
-    return summary.result_document(feed.with_position(signals(store, filters)))
+    as_of = F.current_timestamp() if as_of is None else as_of
+    return summary.result_document(feed.with_position(signals(store, filters)), as_of)
+
+
+def stock_document(store: Store, ticker: str, as_of: Column | None = None) -> DataFrame:
+    """The same of one ticker, with its name."""
+    as_of = F.current_timestamp() if as_of is None else as_of
+    return summary.result_document(feed.with_position(stock(store, ticker)), as_of, ticker)
 
 
 def quote_list(store: Store, bars: DataFrame, as_of: Column, tickers: list[str] | None = None):

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RSS = "title string, link string, guid string, description string, pubDate string"
+_RSS = "title string, link string, guid string, description string, pubDate string, _corrupt string"
 _ATOM = (
     "title string, link struct<_href: string>, id string, summary string, "
-    "published string, updated string"
+    "published string, updated string, _corrupt string"
 )
 
 
@@ -19,6 +19,12 @@ def _source_of(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
 
 
+def _unreadable() -> Column:
+    """The text of a broken item. It names another column too (and takes nothing from it), as
+    Spark does not read files for this column alone."""
+    return F.concat("_corrupt", F.substring(F.coalesce("title", F.lit("")), 1, 0)).alias("corrupt")
+
+
 def _scan(spark: SparkSession, landing: str, tag: str, schema, stream: bool) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return (
@@ -26,6 +32,7 @@ def _scan(spark: SparkSession, landing: str, tag: str, schema, stream: bool) ->
         .option("rowTag", tag)
         .option("recursiveFileLookup", True)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
         .schema(schema)
         .load(landing)
         .withColumn("_file", F.col("_metadata.file_path"))
@@ -34,12 +41,13 @@ def _scan(spark: SparkSession, landing: str, tag: str, schema, stream: bool) ->
 
 
 def scan_rss(spark: SparkSession, landing: str, stream: bool = False) -> DataFrame:
-    """One row per RSS item."""
+    """One row per RSS item; one that cannot be read has its text in ``corrupt``."""
     return _scan(spark, landing, "item", _RSS, stream).select(
         _source_of(F.col("_file")).alias("source"),
         "_file", "_block", "link",
         F.col("guid").alias("id"), "title", F.col("description").alias("summary"),
         F.col("pubDate").alias("published"), F.lit(None).cast("string").alias("updated"),
+        _unreadable(),
     )
 
 
@@ -48,7 +56,7 @@ def scan_atom(spark: SparkSession, landing: str, stream: bool = False) -> DataFr
     return _scan(spark, landing, "entry", _ATOM, stream).select(
         _source_of(F.col("_file")).alias("source"),
         "_file", "_block", F.col("link._href").alias("link"),
-        "id", "title", "summary", "published", "updated",
+        "id", "title", "summary", "published", "updated", _unreadable(),
     )
 
 

@@ -1,24 +1,24 @@
 """Keyed tables on plain Parquet.
 
-Each table is written by partitions, and every write of a run goes to the
-partitions of that run (``batch_id``). A run that is repeated after a failure
-overwrites exactly what it wrote before, so it adds nothing twice, and no
-write ever rewrites the rows of other runs.
-
-table          partitioned by        because
-news_raw       day, batch_id         feeds read the newest days
-signals        day, batch_id         same day as its news
-news_keys      id_bucket, batch_id   a run looks its ids up in their buckets only
-fingerprints   batch_id
-embeddings     batch_id
-alert_log      channel, batch_id     looked up per channel
-source_health  source                one partition is one key: writing is the upsert
-errors, items, run_log  batch_id
+Every write of a run goes to the run's own folder (``batch_id``), inside it by
+further columns. A repeated run replaces the whole folder, whatever days or
+buckets its rows name now, so it adds nothing twice and leaves nothing behind;
+no write ever rewrites the rows of other runs. ``compact`` joins the folders of
+finished runs into one.
+
+table          inside a batch by   because
+news_raw       day                 feeds read the newest days
+signals        day                 same day as its news
+news_keys      id_bucket           a run looks its ids up in their buckets only
+alert_log      channel             looked up per channel
+source_health  (by source, no batch)  one partition is one key: writing is the upsert
+others         -
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from newsloom import schemas
 from newsloom.functions import values as vl
-from newsloom.session import cut
+from newsloom.session import cut, release
 
 ID_BUCKETS = 64
 
@@ -101,11 +101,11 @@ class Store:
         "items": (
             _plus(schemas.NEWS, "feed_no int, pos string, batch_id string"), ("batch_id",)
         ),
-        "news_raw": (_plus(schemas.NEWS, "day date, batch_id string"), ("day", "batch_id")),
-        "signals": (_plus(schemas.SIGNALS, "day date, batch_id string"), ("day", "batch_id")),
+        "news_raw": (_plus(schemas.NEWS, "day date, batch_id string"), ("batch_id", "day")),
+        "signals": (_plus(schemas.SIGNALS, "day date, batch_id string"), ("batch_id", "day")),
         "news_keys": (
             schemas.struct("news_id string, id_bucket int, batch_id string"),
-            ("id_bucket", "batch_id"),
+            ("batch_id", "id_bucket"),
         ),
         "fingerprints": (_plus(schemas.FINGERPRINTS, "batch_id string"), ("batch_id",)),
         "embeddings": (_plus(schemas.EMBEDDINGS, "batch_id string"), ("batch_id",)),
@@ -114,7 +114,7 @@ class Store:
                 [f for f in schemas.ALERTS.fields if f.name != "channel"]
                 + [StructField("channel", StringType()), StructField("batch_id", StringType())]
             ),
-            ("channel", "batch_id"),
+            ("batch_id", "channel"),
         ),
         "source_health": (
             StructType(
@@ -123,6 +123,7 @@ class Store:
             ),
             ("source",),
         ),
+        "batches": (schemas.struct("as_of timestamp, batch_id string"), ("batch_id",)),
         "errors": (_plus(schemas.ERRORS, "batch_id string"), ("batch_id",)),
         "run_log": (_plus(schemas.RUN_LOG, "batch_id string"), ("batch_id",)),
     }
@@ -172,24 +173,61 @@ class Store:
             rows = rows.filter(F.col("batch_id") != before)
         return rows
 
+    def _folder(self, name: str, batch_id: str) -> str:
+        return f"{self.path(name)}/batch_id={quote(batch_id, safe='')}"
+
     def write(self, name: str, rows: DataFrame, batch_id: str | None = None) -> None:
-        """Write a run's rows; partitions named by the rows are replaced.
+        """Write rows: with ``batch_id`` as all the run has in this table, else by
+        replacing the partitions that the rows name.
 
         Rows are rebalanced by day or bucket, so that a partition gets few files,
         yet one that holds most rows is split over tasks.
         """
         schema, parts = self.TABLES[name]
-        if batch_id is not None:
-            rows = rows.withColumn("batch_id", F.lit(batch_id))
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        spread = [p for p in parts if p != "batch_id"]
-        if spread:
-            rows = rows.hint("rebalance", *spread)
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts).parquet(self.path(name))
-        )
+        inner = [p for p in parts if p != "batch_id"]
+        fields = [f for f in schema.fields if batch_id is None or f.name != "batch_id"]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+        if inner:
+            rows = rows.hint("rebalance", *inner)
+        if batch_id is None:
+            writer, path = rows.write.partitionBy(*parts).option("partitionOverwriteMode", "dynamic"), self.path(name)
+        else:
+            writer, path = rows.write.option("partitionOverwriteMode", "static"), self._folder(name, batch_id)
+            writer = writer.partitionBy(*inner) if inner else writer
+        writer.mode("overwrite").parquet(path)
+
+    def pin_time(self, batch_id: str, as_of: Column) -> str:
+        """The run's time, fixed when the batch is first seen and used again by its repeats."""
+        stored = self.read("batches", batch_id).select(F.col("as_of").cast("string")).head()
+        if stored is None:
+            self.write("batches", self.spark.range(1).select(as_of.alias("as_of")), batch_id)
+            stored = self.read("batches", batch_id).select(F.col("as_of").cast("string")).head()
+        return stored[0]
+
+    def compact(self, name: str, batch_ids: list[str], into: str) -> None:
+        """Join the folders of finished batches into one batch ``into`` of the same table.
+
+        The joined folder is complete, under a name that readers skip, before
+        the old ones go; a compaction that broke off is finished by repeating it.
+        """
+        fs, hadoop = self._fs(name)
+        ready = hadoop.Path(f"{self.path(name)}/_compact-{quote(into, safe='')}")
+        done = hadoop.Path(self._folder(name, into))
+        marker = hadoop.Path(ready, "_SUCCESS")
+        if not fs.exists(marker):
+            _, parts = self.TABLES[name]
+            inner = [p for p in parts if p != "batch_id"]
+            rows = self.read(name).filter(F.col("batch_id").isin(batch_ids)).drop("batch_id")
+            rows = rows.hint("rebalance", *inner) if inner else rows
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+            (writer.partitionBy(*inner) if inner else writer).parquet(ready.toString())
+        for batch_id in batch_ids:
+            fs.delete(hadoop.Path(self._folder(name, batch_id)), True)
+        fs.rename(ready, done)
+
+    def _fs(self, name: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        return hadoop.Path(self.path(name)).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
     def bucket_of(self, news_id: Column) -> Column:
         return F.pmod(F.xxhash64(news_id), F.lit(self.id_buckets)).cast("int")
@@ -207,17 +245,17 @@ class Store:
         )
 
     def merge_signals(self, new: DataFrame, batch_id: str) -> None:
-        """Write signals again: only the days they belong to are rewritten.
-        ``new`` has ``day``."""
+        """Write signals again. Stored rows are found by ``news_id``, wherever they lie; a known
+        signal stays on its day and in the run that first wrote it. Only
+        partitions with such signals are rewritten. ``new`` has ``day``."""
         new = cut(new.withColumn("batch_id", F.lit(batch_id)))
-        days = new.select("day").distinct()
         stored = self.read("signals")
-        touched = stored.join(
-            days, stored["day"].eqNullSafe(days["day"]), "left_semi"
-        )
-        # A known signal stays in the run that first wrote it.
-        merged = upsert_signals(touched, new, (*FIRST_KEPT, "day", "batch_id"))
-        self.write("signals", cut(merged))
+        places = stored.join(new.select("news_id"), "news_id", "left_semi").select("batch_id", "day").distinct()
+        same = stored["batch_id"].eqNullSafe(places["batch_id"]) & stored["day"].eqNullSafe(places["day"])
+        touched = stored.join(places, same, "left_semi")
+        merged = cut(upsert_signals(touched, new, (*FIRST_KEPT, "day", "batch_id")))
+        self.write("signals", merged)
+        release(new, merged)
 
     def log_manual(self, row: DataFrame, news_id: str) -> None:
         """Record a manual notification; a later one for the same news replaces

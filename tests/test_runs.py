@@ -56,7 +56,8 @@ def settings(rows):
             ("TCS.NS", "2024-01-01", 100.0, 5), ("TCS.NS", "2024-01-02", 110.0, 7),
             ("SBIN.NS", "2024-01-01", 50.0, 1), ("SBIN.NS", "2024-01-05", 99.0, 1),
         ]).withColumn("day", F.col("day").cast("date")),
-        channels=("local", "telegram"),
+        channels=("local", "telegram", "webhook"),
+        deliver={"telegram": lambda due: due.withColumn("status", F.lit("sent"))},
     )
 
 
@@ -115,7 +116,8 @@ def test_runs_and_repeats(spark, tmp_path, settings, as_of):
     assert health == {"LiveMint": ("ok", 5), "NSEIndia": ("ok", 3), "Quiet": ("error", 0)}
     log = store.read("alert_log")
     assert log.count() == log.select("news_id", "channel").distinct().count()
-    assert log.filter("channel = 'telegram'").count() == 6
+    assert log.filter("channel = 'telegram' and status = 'sent'").count() == 6
+    assert log.filter("channel = 'webhook'").count() == 0        # not configured
     assert run.last_run(store).head()["batch_id"] == "b2"
     assert views.signals(store).count() == 6
     assert [r["stocks"] for r in views.stock(store, "tcs.ns").collect()] == [["TCS.NS"]]
@@ -143,6 +145,18 @@ def test_runs_and_repeats(spark, tmp_path, settings, as_of):
         (110.0, "HOLD", "b1")]
     assert store.read("signals").count() == 6
 
+    # A moved day finds the stored signal all the same.
+    moved = store.read("signals").filter(F.array_contains("stocks", "TCS.NS"))
+    store.merge_signals(moved.withColumn("day", F.lit("2031-05-05").cast("date")), "b4")
+    assert store.read("signals").count() == 6
+    assert run.reprocess(spark, store, settings, as_of, "again") == 6
+    assert store.read("signals").count() == 6
+
+    before = sorted(map(str, store.read("signals").drop("batch_id").collect()))
+    store.compact("signals", ["b1", "b2"], "old")
+    assert sorted(map(str, store.read("signals").drop("batch_id").collect())) == before
+    assert [r[0] for r in store.read("signals").select("batch_id").distinct().collect()] == ["old"]
+
     store.reset()
     assert all(store.read(name).count() == 0 for name in store.TABLES)
 
@@ -196,3 +210,94 @@ def test_stream_equals_batch(spark, tmp_path, settings, as_of):
 
     assert content(one) == content(two) and len(content(one)) == 6
     assert {r["reason"] for r in one.read("run_log").collect()} == {"scheduler"}
+
+
+ENTRY = ("source string, pos int, link string, id string, title string, summary string, "
+         "published string, updated string")
+
+
+def contents(store):
+    return {name: sorted(map(str, store.read(name).collect())) for name in store.TABLES if name != "run_log"}
+
+
+def test_a_repeated_batch_replaces_all_it_wrote(spark, rows, tmp_path, settings):
+    """Across midnight, with fewer rows, and after a crash behind any write."""
+    two = rows(ENTRY, [("LiveMint", 1, "a", "", "RELIANCE upgrade", "", "", ""), ("LiveMint", 2, "b", "", "TCS crash", "", "", "")])
+    late, early = (F.lit(f"2024-01-0{d}").cast("timestamp") for d in ("2 23:59:30", "3 00:00:30"))
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create()
+    run.run_batch(spark, store, two, settings, late, "b/1:x")
+    first = contents(store)
+    assert run.run_batch(spark, store, two, settings, early, "b/1:x").inserted == 2
+    assert contents(store) == first
+    one = run.run_batch(spark, store, two.limit(1), settings, early, "b/1:x")
+    assert (one.inserted, one.duplicates) == (1, 0)
+    assert store.read("news_raw").count() == store.read("signals").count() == store.read("news_keys").count() == 1
+    log = store.read("alert_log")
+    assert log.count() == log.select("news_id", "channel").distinct().count()
+
+    write = store.write
+    for stop in ("items", "news_raw", "errors", "signals", "alert_log"):
+        def failing(name, *args, **kwargs):
+            write(name, *args, **kwargs)
+            if name == stop:
+                raise RuntimeError("lost")
+        store.write = failing
+        with pytest.raises(RuntimeError):
+            run.run_batch(spark, store, two, settings, early, "b/1:x")
+        store.write = write
+        run.run_batch(spark, store, two, settings, early, "b/1:x")
+        assert contents(store) == first, stop
+
+
+def test_broken_items_and_failing_hooks(spark, tmp_path, settings, as_of):
+    landing = f"{tmp_path}/in"
+    rss(landing, "LiveMint", [("RELIANCE upgrade", "u1", "x"), ("poison text", "u2", "x"), ("TCS crash", "u3", "x")])
+    with open(f"{landing}/LiveMint/9.xml", "w") as f:
+        f.write("<rss><channel><item><title>half</title><link>z</item></channel></rss>")
+
+    def ask(texts):
+        if texts.str.contains("poison").any():
+            raise ValueError("cannot read this")
+        return texts.map(lambda t: '{"confidence":0.9,"suggestion":"BUY"}')
+
+    settings.ask = ask
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create()
+    entries = feeds.in_file_order(feeds.scan_rss(spark, landing))
+    result = run.run_batch(spark, store, entries, settings, as_of, "b")
+    assert (result.fetched, result.inserted, result.processed, result.errors) == (3, 3, 3, 2)
+    errors = {r["headline"]: r["error"] for r in store.read("errors").collect()}
+    assert "cannot read this" in errors.pop("poison text")
+    assert [("unreadable item" in e, "half" in e) for e in errors.values()] == [(True, True)]
+    assert views.signals(store).count() == 3
+
+    settings.dedup, settings.ask = "semantic", None
+
+    def encode(texts):
+        if texts.str.contains("poison").any():
+            raise ValueError("no vector")
+        return pd.Series([[1.0, float(i)] for i in range(len(texts))], index=texts.index)
+
+    settings.encode = encode
+    other = tables.Store(spark, f"{tmp_path}/other", 2).create()
+    result = run.run_batch(spark, other, entries, settings, as_of, "b")
+    assert result.errors == 2 and "poison text" not in {r["headline"] for r in views.signals(other).collect()}
+
+
+def test_health_outlives_quiet_drops(spark, tmp_path, settings):
+    landing, store = f"{tmp_path}/in", tables.Store(spark, f"{tmp_path}/db", 2).create()
+    got = []
+    for number, drop in enumerate(DROPS):
+        land(landing, [drop])
+        refresh.refresh(spark, landing, store, settings, f"{tmp_path}/cp", once=True,
+                        as_of=lambda n=number: F.lit(f"2024-01-0{n + 1}").cast("timestamp")).awaitTermination()
+        got.append({r["source"]: (r["status"], r["item_count"], r["checked_at"].day) for r in views.health(store).collect()})
+    assert got[0] == {"LiveMint": ("ok", 3, 1), "NSEIndia": ("error", 0, 1), "Quiet": ("error", 0, 1)}
+    assert got[2] == {"LiveMint": ("ok", 2, 2), "NSEIndia": ("ok", 2, 3), "Quiet": ("error", 0, 1)}
+
+
+def test_old_bars_give_no_price(rows, as_of):
+    from newsloom.operators import prices
+    bars = rows("ticker string, day string, close double, volume bigint", [
+        ("OLD.NS", "2015-01-01", 9.0, 1), ("NEW.NS", "2023-12-28", 5.0, 1), ("NEW.NS", "2023-12-27", 4.0, 1)]
+    ).withColumn("day", F.col("day").cast("date"))
+    assert [r["ticker"] for r in prices.quotes(bars, as_of).collect()] == ["NEW.NS"]
