@@ -34,6 +34,7 @@ CELL_BITS, BLOCK_BITS = 22, 16       # frequency cells; cells in one row of the
 MATCHES = (1, 2, 4, 8)               # the m to choose from
 VERIFY_COST = 20                     # of a candidate, in postings
 HEAD_TOKENS, SKETCH = 4, 16
+FEW, MORE_HEADS = 16, 10              # documents of a hash, and heads of one with more
 BUCKET_BYTES = 48 << 20              # text whose prefixes make one bucket
 PAIRS_AT_ONCE = 4_000_000
 
@@ -204,10 +205,14 @@ def _verify(n: int):
 
 
 def verify(rows: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
-    """Those of ``pairs`` (``a, b``, documents of ``rows``) that are similar enough."""
+    """Those of ``pairs`` (``a, b``, documents of ``rows``) that are similar enough.
+
+    Packed texts are dealt by document once, at any size of the input; then
+    only those of documents in pairs go on.
+    """
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    packed = cut(rows.mapInArrow(_pack_text, "doc long, packed binary").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
+    packed = cut(rows.mapInArrow(_pack_text, "doc long, packed binary").join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
     side = lambda one, name: packed.select(F.col("doc").alias(one), F.col("packed").alias(name))
     return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
         _verify(n), "a long, b long")
@@ -216,14 +221,26 @@ def verify(rows: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
 # --- candidates -----------------------------------------------------------------
 
 def head_pairs(units: DataFrame) -> DataFrame:
-    """Each document with the heads of its smallest hashes, where sketches look alike."""
+    """Each document with the heads of its smallest hashes, where sketches look alike.
+
+    A hash of a few documents has one head. One of many has ``MORE_HEADS`` of
+    them, so that a document of a large group that is too far from one head is near another.
+    """
     each = units.select("doc", "n", "sketch", F.explode("tokens").alias("token"))
-    heads = each.groupBy("token").agg(
-        F.min_by(F.struct("doc", "n", "sketch"), F.xxhash64("token", "doc")).alias("head"), F.count("*").alias("c")
-    ).filter("c > 1").drop("c")
+
+    def head(seed: int) -> Column:
+        return F.min_by(F.struct("doc", "n", "sketch"), F.xxhash64(F.lit(seed), "token", "doc"))
+
+    heads = each.groupBy("token").agg(head(0).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    met = cut(each.join(heads, "token"))
+    many = met.filter(F.col("c") > FEW).select("token", "doc", "n", "sketch")
+    more = many.groupBy("token").agg(F.array_distinct(F.array(*[head(s) for s in range(1, MORE_HEADS)])).alias("heads"))
     small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
     alike = F.size(F.array_intersect("sketch", "head.sketch")) * 2 >= F.least(F.lit(SKETCH), small)
-    return each.join(heads, "token").filter("doc <> head.doc").filter((small * 5 >= large * 4) & alike).select(
+    columns = ("doc", "n", "sketch", "head")
+    pairs = met.select(*columns).unionByName(
+        many.join(more, "token").withColumn("head", F.explode("heads")).select(*columns))
+    return pairs.filter("doc <> head.doc").filter((small * 5 >= large * 4) & alike).select(
         F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b")).distinct()
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = 7
 SPAN = 1 << 40
 
