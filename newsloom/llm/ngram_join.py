@@ -272,75 +272,83 @@ def _pack(buckets: int):
     return run
 
 
-def _meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(buckets: int):
     """Pairs of a bucket that share prefix shingles, are in different components and near in size.
 
     A shared shingle counts where it stands in the prefixes that the sizes of
     this very pair ask for, which are shorter than those that any partner asks for.
+    A pair that shares enough over all ``buckets`` has its part of that in one of
+    them at least, so a bucket with less than that part says nothing.
     """
-    parts = {c: [] for c in ("keys", "places", "docs", "roots", "sizes", "needs")}
-    kinds = {"docs": np.int64, "roots": np.int64, "sizes": np.uint32, "needs": np.uint8}
-    for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in (*parts, "owners")}
-        for i in range(batch.num_rows):
-            owner = np.frombuffer(columns["owners"][i], np.uint16)
-            parts["keys"].append(np.frombuffer(columns["keys"][i], np.uint32))
-            parts["places"].append(_values(columns["places"][i], np.uint32))
-            for c, kind in kinds.items():
-                parts[c].append(np.frombuffer(columns[c][i], kind)[owner])
-    keys, place, doc, root, n, need = (np.concatenate(parts[c]) for c in parts)
-    order = np.argsort(keys, kind="stable")
-    keys, place, doc, root, n, need = (x[order] for x in (keys, place, doc, root, n, need))
-    n, need, after = n.astype(np.int64), need.astype(np.int64), n.astype(np.int64) - place - 1
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
-    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    use = several[run_of]
-    doc, root, n, need, after, run_of = doc[use], root[use], n[use], need[use], after[use], run_of[use]
-    ends = np.searchsorted(run_of, run_of, side="right")
-    names, number = np.unique(doc, return_inverse=True)
-    found, held = [], 0
-
-    total: dict[str, np.ndarray] = {"codes": np.zeros(0, np.int64), "counts": np.zeros(0, np.int64)}
-
-    def fold():
-        codes = np.concatenate([total["codes"], *found])
-        counts = np.concatenate([total["counts"], np.ones(len(codes) - len(total["codes"]), np.int64)])
-        total["codes"], at = np.unique(codes, return_inverse=True)
-        total["counts"] = np.bincount(at, weights=counts, minlength=len(total["codes"])).astype(np.int64)
-        found.clear()
-
-    at, step = np.arange(len(doc)), 1
-    while len(at := at[at + step < ends[at]]):
-        to = at + step
-        overlap = (4 * (n[at] + n[to]) + 8) // 9
-        good = (root[at] != root[to]) & (doc[at] != doc[to]) & (
-            np.minimum(need[at], need[to]) + np.minimum(after[at], after[to]) >= overlap)
-        if good.any():
-            x, y = number[at[good]], number[to[good]]
-            found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
-            held += len(x)
-            if held > PAIRS_AT_ONCE:
-                fold()
-                held = 0
-        step += 1
-    if found:
-        fold()
-    codes = total["codes"]
-    x, y = codes // max(len(names), 1), codes % max(len(names), 1)
-    needs = np.zeros(len(names), np.int32)
-    needs[number] = need
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names[x]), pa.array(names[y]), pa.array(total["counts"]), pa.array(np.minimum(needs[x], needs[y]))],
-        ["a", "b", "shared", "need"])
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = {c: [] for c in ("keys", "places", "docs", "roots", "sizes", "needs")}
+        kinds = {"docs": np.int64, "roots": np.int64, "sizes": np.uint32, "needs": np.uint8}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in (*parts, "owners")}
+            for i in range(batch.num_rows):
+                owner = np.frombuffer(columns["owners"][i], np.uint16)
+                parts["keys"].append(np.frombuffer(columns["keys"][i], np.uint32))
+                parts["places"].append(_values(columns["places"][i], np.uint32))
+                for c, kind in kinds.items():
+                    parts[c].append(np.frombuffer(columns[c][i], kind)[owner])
+        keys, place, doc, root, n, need = (np.concatenate(parts[c]) for c in parts)
+        order = np.argsort(keys, kind="stable")
+        keys, place, doc, root, n, need = (x[order] for x in (keys, place, doc, root, n, need))
+        n, need, after = n.astype(np.int64), need.astype(np.int64), n.astype(np.int64) - place - 1
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        use = several[run_of]
+        doc, root, n, need, after, run_of = doc[use], root[use], n[use], need[use], after[use], run_of[use]
+        ends = np.searchsorted(run_of, run_of, side="right")
+        names, number = np.unique(doc, return_inverse=True)
+        found, held = [], 0
+
+        total: dict[str, np.ndarray] = {"codes": np.zeros(0, np.int64), "counts": np.zeros(0, np.int64)}
+
+        def fold():
+            codes = np.concatenate([total["codes"], *found])
+            counts = np.concatenate([total["counts"], np.ones(len(codes) - len(total["codes"]), np.int64)])
+            total["codes"], at = np.unique(codes, return_inverse=True)
+            total["counts"] = np.bincount(at, weights=counts, minlength=len(total["codes"])).astype(np.int64)
+            found.clear()
+
+        at, step = np.arange(len(doc)), 1
+        while len(at := at[at + step < ends[at]]):
+            to = at + step
+            overlap = (4 * (n[at] + n[to]) + 8) // 9
+            good = (root[at] != root[to]) & (doc[at] != doc[to]) & (
+                np.minimum(need[at], need[to]) + np.minimum(after[at], after[to]) >= overlap)
+            if good.any():
+                x, y = number[at[good]], number[to[good]]
+                found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+                held += len(x)
+                if held > PAIRS_AT_ONCE:
+                    fold()
+                    held = 0
+            step += 1
+        if found:
+            fold()
+        codes, shared = total["codes"], total["counts"]
+        x, y = codes // max(len(names), 1), codes % max(len(names), 1)
+        needs = np.zeros(len(names), np.int32)
+        needs[number] = need
+        need = np.minimum(needs[x], needs[y])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[x]), pa.array(names[y]), pa.array(shared), pa.array(need)], ["a", "b", "shared", "need"]
+        ).filter(pa.array(shared * buckets >= need))
+    return run
 
 
 def prefix_pairs(units: DataFrame, buckets: int) -> DataFrame:
     """Pairs of different components that share enough prefix shingles; ``units`` with ``root``."""
     met = units.mapInArrow(_pack(buckets), PACKED).groupBy("bucket").applyInArrow(
-        _meet, "a long, b long, shared long, need int")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter(
-        "shared >= need").select("a", "b")
+        _meet(buckets), "a long, b long, shared long, need int")
+    part = F.ceil(F.col("need") / F.lit(buckets))          # buckets that keep silent share less than this
+    most = F.col("shared") + (F.lit(buckets) - F.col("told")) * (part - 1)
+    return met.groupBy("a", "b").agg(
+        F.sum("shared").alias("shared"), F.count("*").alias("told"), F.max("need").alias("need")
+    ).filter(most >= F.col("need")).select("a", "b")
 
 
 def _doc(key: str) -> Column:
