@@ -34,7 +34,7 @@ CELL_BITS, BLOCK_BITS = 22, 16       # frequency cells; cells in one row of the
 MATCHES = (1, 2, 4, 8)               # the m to choose from
 VERIFY_COST = 20                     # of a candidate, in postings
 HEAD_TOKENS, SKETCH = 4, 16
-FEW, MORE_HEADS = 16, 10              # documents of a hash, and heads of one with more
+FEW, MORE_HEADS = 16, 18              # documents of a hash, and heads of one with more
 BUCKET_BYTES = 48 << 20              # text whose prefixes make one bucket
 PAIRS_AT_ONCE = 4_000_000
 
