@@ -1,11 +1,13 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-An interpolated modified Kneser-Ney bigram model over the ``VOCABULARY`` most
-frequent words of trusted documents (others are one unknown word). Its counts
-cover all trusted text. Bigrams are dealt out to shards by hash: a shard merges
-the counts of the trusted text and is joined by the packed bigrams of all
-documents, of which it returns log probabilities summed per document. Only
-tables of the vocabulary's fixed size reach the driver.
+An interpolated modified Kneser-Ney bigram model over all words that occur
+``MIN_COUNT`` times in trusted documents (rarer ones are one unknown word). Its
+counts cover all trusted text, and it grows with it. Bigrams are dealt out to
+shards by hash: a shard merges the counts of the trusted text and is joined by
+the packed bigrams of all documents, of which it returns log probabilities
+summed per document. What is known per word (its hash, and its totals) is a file
+in word order that each machine holds once and its tasks map into memory; the
+driver passes it on in pieces.
 
 A trusted document is scored as if it had not been trained on: its own counts
 are taken off first. Thresholds are quantiles of the trusted documents' scores,
@@ -14,21 +16,24 @@ per language, on both sides, as repeated words are too easy to predict.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import words as wd
 from newsloom.session import cut
 
-VOCABULARY = 65_534
 BEGIN, UNKNOWN, FIRST = 0, 1, 2          # word numbers
-WORDS = VOCABULARY + FIRST
+WORDS = 65_536                           # a word never seen has a share of one in this many, or in all words if they are more
 SHARD_BIGRAMS = 4_000_000                # distinct bigrams of one shard of the model, about
 MIN_SHARDS = 8
 STREAM_BYTES = 256 << 20                 # text whose bigrams one task looks up in a shard
@@ -55,31 +60,66 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY, min_count: int = MIN_COUNT) -> tuple[np.ndarray, int]:
-    """Hashes of the most frequent words, sorted (a word's number is its place plus ``FIRST``),
-    and how many other words there are."""
+def _in_order(columns: list[str]):
+    """A sorted partition as rows of bytes: its number, the place in it, the columns side by side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            if batch.num_rows:
+                rows = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("__llm_part").slice(0, 1), pa.array([i]), pa.array([rows.tobytes()], pa.binary())],
+                                                 ["part", "place", "data"])
+    return run
+
+
+def _file(table: DataFrame, order: str, columns: list[str]) -> str:
+    """A file of ``columns`` (longs) in order, on every machine; the driver holds one partition at a time."""
+    spark = table.sparkSession
+    pieces = cut(table.repartitionByRange(order).sortWithinPartitions(order).withColumn("__llm_part", F.spark_partition_id()).mapInArrow(
+        _in_order(columns), "part int, place long, data binary"))
+    name = f"newsloom-{uuid.uuid4()}"
+    path = os.path.join(tempfile.mkdtemp(dir=SparkFiles.getRootDirectory()), name)
+    with open(path, "wb") as out:
+        for row in pieces.orderBy("part", "place").toLocalIterator():
+            out.write(row["data"])
+    spark.sparkContext.addFile(path)
+    return name
+
+
+def _mapped(name: str, columns: int = 1) -> np.ndarray:
+    path = SparkFiles.get(name)
+    if not os.path.getsize(path):
+        return np.zeros((0, columns), np.int64)
+    return np.memmap(path, np.int64, "r").reshape(-1, columns)
+
+
+def vocabulary(trusted: DataFrame, size: int | None = None, min_count: int = MIN_COUNT) -> tuple[str, int, int]:
+    """File of the hashes of all words (or the ``size`` most frequent), sorted (a word's number is its
+    place plus ``FIRST``), how many they are, and how many other words there are."""
     counts = cut(trusted.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     common = counts.filter(F.col("n") >= min_count)
-    top = common.orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()
-    known = np.sort(top.column("word").to_numpy().view(np.uint64))
-    return known, counts.count() - len(known)
+    if size is not None:
+        common = common.orderBy(F.col("n").desc(), "word").limit(size)
+    common = cut(common.select("word"))
+    n = common.count()
+    return _file(common, "word", ["word"]), n, counts.count() - n
 
 
 def _bigrams(column: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bigram) of all words; the first word of a text follows ``BEGIN``."""
     text, hashes = _tokens(column)
+    distinct, place = np.unique(hashes.view(np.int64), return_inverse=True)
+    word = np.full(len(distinct), UNKNOWN, np.uint64)
     if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        word = np.where(known[at] == hashes, at + FIRST, UNKNOWN).astype(np.uint32)
-    else:
-        word = np.full(len(hashes), UNKNOWN, np.uint32)
-    before = np.concatenate(([BEGIN], word[:-1])).astype(np.uint32)[:len(word)]
+        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+        word = np.where(known[at] == distinct, at + FIRST, UNKNOWN).astype(np.uint64)
+    word = word[place]
+    before = np.concatenate(([BEGIN], word[:-1])).astype(np.uint64)[:len(word)]
     before[text.first[:-1][text.counts > 0]] = BEGIN
-    return text.texts(), (before << np.uint32(16)) | word
+    return text.texts(), (before << np.uint64(32)) | word
 
 
 def _shard_of(bigram: np.ndarray, shards: int) -> np.ndarray:
-    return ((wd.mix(bigram.astype(np.uint64) * _SHARD) >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
+    return ((wd.mix(bigram * _SHARD) >> np.uint64(32)) % np.uint64(shards)).astype(np.uint32)
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
@@ -100,16 +140,18 @@ def _unzip(data: bytes, n: int, *kinds: type) -> list[np.ndarray]:
 PACKED = "shard int, trains boolean, n int, data binary, docs binary"
 
 
-def _pack(known: np.ndarray, shards: int):
+def _pack(words: str, shards: int):
     """Bigram counts per document, packed by shard; of trusted text also as counts to train on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _mapped(words)[:, 0]
         for batch in wd.slices(batches, limit=2 * wd.SLICE_BYTES):
             owner, bigram = _bigrams(batch.column("text"), known)
             if not len(owner):
                 continue
             key, trusted = batch.column("key").to_numpy(), batch.column("trusted").to_numpy(zero_copy_only=False)
-            code, n = np.unique((bigram.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64), return_counts=True)
-            bigram, owner = (code >> np.uint64(32)).astype(np.uint32), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            distinct, place = np.unique(bigram, return_inverse=True)
+            code, n = np.unique((place.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64), return_counts=True)
+            bigram, owner = distinct[code >> np.uint64(32)], (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             shard = _shard_of(bigram, shards)
             order = np.argsort(shard, kind="stable")           # bigrams stay sorted inside a shard
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -118,7 +160,7 @@ def _pack(known: np.ndarray, shards: int):
                 mine = order[cuts[s]:cuts[s + 1]]
                 b, o, c = bigram[mine], owner[mine], n[mine].astype(np.uint32)
                 own, number = np.unique(o, return_inverse=True)
-                steps = np.diff(b, prepend=np.uint32(0))
+                steps = np.diff(b, prepend=np.uint64(0))
                 table = np.where(trusted[own], 1, 0).astype(np.uint8)
                 rows.append((int(s), False, len(b), _zip(steps, number.astype(np.uint32), c),
                              len(own).to_bytes(4, "little") + _zip(key[own], table)))
@@ -127,7 +169,7 @@ def _pack(known: np.ndarray, shards: int):
                     b, c = b[mark], c[mark]
                     new = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
                     sums = np.add.reduceat(c, new).astype(np.uint32)
-                    rows.append((int(s), True, len(new), _zip(np.diff(b[new], prepend=np.uint32(0)), sums), b""))
+                    rows.append((int(s), True, len(new), _zip(np.diff(b[new], prepend=np.uint64(0)), sums), b""))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))],
                 ["shard", "trains", "n", "data", "docs"])
@@ -137,12 +179,14 @@ def _pack(known: np.ndarray, shards: int):
 # --- the model --------------------------------------------------------------------
 
 MODEL = "shard int, n long, data binary"
-FACTS = "kind string, word int, value long"
+TOTALS = ["total", "before", "n1", "n2", "n3"]         # of a word: as context, as follower, kinds of followers by count
+FACTS = "word long, " + ", ".join(f"{c} long" for c in TOTALS)
+TALLY = "kind string, word long, value long"
 
 
 def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All counts of a shard: distinct bigrams only, merged as they come."""
-    bigrams, counts, parts = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+    bigrams, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
     def fold():
         nonlocal bigrams, counts
@@ -154,8 +198,8 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     for batch in batches:
         for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-            steps, c = _unzip(data, n, np.uint32, np.uint32)
-            parts.append((np.cumsum(steps, dtype=np.uint32), c))
+            steps, c = _unzip(data, n, np.uint64, np.uint32)
+            parts.append((np.cumsum(steps, dtype=np.uint64), c))
             if len(parts) >= 32:
                 fold()
     fold()
@@ -165,20 +209,34 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a shard adds to the totals: per word as context and as follower, and counts of counts."""
+    """What a shard adds to the totals of each word."""
     for batch in batches:
         for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-            bigram, c = _unzip(data, n, np.uint32, np.int64)
-            context, word = (bigram >> np.uint32(16)).astype(np.int64), (bigram & np.uint32(0xFFFF)).astype(np.int64)
-            tables = {"total": np.bincount(context, weights=c, minlength=WORDS), "before": np.bincount(word, minlength=WORDS)}
-            for i, mark in enumerate((c == 1, c == 2, c >= 3), 1):
-                tables[f"n{i}"] = np.bincount(context[mark], minlength=WORDS)
-            tables["counts"] = np.bincount(np.minimum(c, 5), minlength=6)
-            for name, table in tables.items():
-                at = np.flatnonzero(table)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int64))],
-                    ["kind", "word", "value"])
+            bigram, c = _unzip(data, n, np.uint64, np.int64)
+            if not n:
+                continue
+            context, word = _halves(bigram)
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))       # bigrams are sorted
+            sums = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c >= 3)]
+            zero = np.zeros(len(first), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (context[first].astype(np.int64), sums[0], zero, *sums[1:])], ["word", *TOTALS])
+            word, before = np.unique(word.astype(np.int64), return_counts=True)
+            zero = np.zeros(len(word), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, zero, before, zero, zero, zero)], ["word", *TOTALS])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bigrams of a shard have each count."""
+    for batch in batches:
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
+            table = np.bincount(np.minimum(_unzip(data, n, np.uint64, np.int64)[1], 5), minlength=6)
+            yield pa.RecordBatch.from_arrays([pa.array(["counts"] * 6), pa.array(np.arange(6)), pa.array(table)], ["kind", "word", "value"])
+
+
+def _halves(bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and word of packed bigrams, of any width."""
+    bits = bigram.dtype.type(4 * bigram.itemsize)
+    return bigram >> bits, bigram & bigram.dtype.type((1 << int(bits)) - 1)
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -190,33 +248,48 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Discounts, context totals and back-off weights, and the lower order: tables of ``WORDS`` entries."""
+    """Discounts, and totals per word from which back-off weights and the lower order follow.
 
-    def __init__(self, facts: pa.Table, others: int):
-        self.others = max(others, 1)
+    ``facts`` lists the totals; with ``totals``, the file that has them in word
+    order, ``facts`` has only how many bigrams (``counts``) and followers
+    (``lower``) have each count, and how many bigrams there are (``kinds``).
+    """
+
+    def __init__(self, facts: pa.Table, others: int, words: int = WORDS, totals: str | None = None):
+        self.others, self.file = max(others, 1), totals
+        self.words = words - 1                              # all but BEGIN
         tables = {}
-        for name in ("total", "before", "n1", "n2", "n3", "counts"):
+        for name in (*TOTALS, "counts", "lower", "kinds"):
             mine = facts.filter(pc.equal(facts.column("kind"), name))
-            tables[name] = np.zeros(max(WORDS, 6), np.int64)
+            tables[name] = np.zeros(6 if totals else max(words, 6), np.int64)
             tables[name][mine.column("word").to_numpy()] = mine.column("value").to_numpy()
-        self.total = tables["total"].astype(np.float64)
         self.discount = _discounts(tables["counts"])
-        left = self.discount[1] * tables["n1"] + self.discount[2] * tables["n2"] + self.discount[3] * tables["n3"]
-        self.back_off = np.where(self.total > 0, left / np.maximum(self.total, 1), 1.0)
-        before = tables["before"]
-        kinds = int(before.sum())
-        low = _discounts(np.bincount(np.minimum(before[before > 0], 5), minlength=6))
-        cut_off = low[np.minimum(before, 3)]
-        words = WORDS - 1                                   # all but BEGIN
-        rest = cut_off.sum() / kinds if kinds else 1.0
-        self.lower = np.maximum(before - cut_off, 0) / max(kinds, 1) + rest / words
+        if totals is None:
+            before = tables["before"]
+            self.table = np.stack([tables[c] for c in TOTALS], axis=1)
+            tables["lower"] = np.bincount(np.minimum(before[before > 0], 5), minlength=6)
+            tables["kinds"][0] = before.sum()
+        self.low, self.kinds = _discounts(tables["lower"]), int(tables["kinds"][0])
+        tally = tables["lower"]
+        cut_off = self.low[1] * tally[1] + self.low[2] * tally[2] + self.low[3] * tally[3:].sum()
+        self.rest = cut_off / self.kinds if self.kinds else 1.0
+
+    def opened(self) -> Model:
+        """The model with its file at hand."""
+        self.table = _mapped(self.file, len(TOTALS))
+        return self
 
     def log_p(self, bigram: np.ndarray, count: np.ndarray) -> np.ndarray:
-        context, word = bigram >> np.uint32(16), bigram & np.uint32(0xFFFF)
-        seen = np.maximum(count - self.discount[np.minimum(count, 3)], 0) / np.maximum(self.total[context], 1)
+        context, word = _halves(bigram)
+        of_context = self.table[context]
+        total, before = of_context[:, 0], self.table[word, 1]
+        left = of_context[:, 2:] @ self.discount[1:]
+        back_off = np.where(total > 0, left / np.maximum(total, 1), 1.0)
+        lower = np.maximum(before - self.low[np.minimum(before, 3)], 0) / max(self.kinds, 1) + self.rest / self.words
+        seen = np.maximum(count - self.discount[np.minimum(count, 3)], 0) / np.maximum(total, 1)
         # The unknown word stands for many; each has an even share of its probability.
         share = np.where(word == UNKNOWN, 1 / self.others, 1.0)
-        return np.log((seen + self.back_off[context] * self.lower[word]) * share)
+        return np.log((seen + back_off * lower) * share)
 
 
 SCORES = "key long, log_p double, n long"
@@ -225,17 +298,18 @@ SCORES = "key long, log_p double, n long"
 def _score(model: Model):
     """A model shard meets the packed bigrams of documents: log probabilities per document."""
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.opened()
         shard, known, counts = None, None, None
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("shard", "model", "n", "data", "docs")]
             for s, is_model, n, data, docs in zip(*columns):
                 if is_model:
-                    shard, (known, counts) = s, _unzip(data, n, np.uint32, np.int64)
+                    shard, (known, counts) = s, _unzip(data, n, np.uint64, np.int64)
                     continue
                 if s != shard:                              # nothing was trained in this shard
-                    shard, known, counts = s, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                steps, number, own = _unzip(data, n, np.uint32, np.uint32, np.uint32)
-                bigram = np.cumsum(steps, dtype=np.uint32)
+                    shard, known, counts = s, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                steps, number, own = _unzip(data, n, np.uint64, np.uint32, np.uint32)
+                bigram = np.cumsum(steps, dtype=np.uint64)
                 size = int.from_bytes(docs[:4], "little")
                 keys, trusted = _unzip(docs[4:], size, np.int64, np.uint8)
                 count = np.zeros(n, np.int64)
@@ -254,11 +328,14 @@ def _key(key: str, text: str) -> Column:
 
 
 def scores(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-           vocabulary_size: int = VOCABULARY, shard_bigrams: int = SHARD_BIGRAMS,
+           vocabulary_size: int | None = None, shard_bigrams: int = SHARD_BIGRAMS,
            stream_bytes: int = STREAM_BYTES) -> DataFrame:
-    """``key, doc_id, lang, trusted, log_p, n``: one row per document; without words ``n`` is 0."""
-    if not 1 <= vocabulary_size <= VOCABULARY:
-        raise ValueError(f"vocabulary_size must be from 1 to {VOCABULARY}")
+    """``key, doc_id, lang, trusted, log_p, n``: one row per document; without words ``n`` is 0.
+
+    A caller may ask for a smaller vocabulary; by default all words are in it.
+    """
+    if vocabulary_size is not None and vocabulary_size < 1:
+        raise ValueError("vocabulary_size must be at least 1")
     wd.small_batches(documents.sparkSession)
     ids = cut(trusted.select(F.col(trusted.columns[0]).cast("long").alias("__llm_id")).filter("__llm_id is not null").distinct())
     # A measured size decides how the labels meet the texts; the result is the same.
@@ -269,15 +346,24 @@ def scores(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     rows = rows.join(side, F.col("doc_id") == F.col("__llm_id"), "left").withColumn("trusted", F.col("__llm_id").isNotNull()).drop("__llm_id")
     length = F.octet_length("text")
     size, learnt = (x or 0 for x in rows.agg(F.sum(length), F.sum(F.when(F.col("trusted"), length))).first())
-    # As many shards as the model needs, which its vocabulary bounds; a shard's look-ups are spread
+    # As many shards as the model needs; a shard's look-ups are spread
     # over as many tasks as the input needs, each with a copy of the shard.
-    shards = max(MIN_SHARDS, int(min(learnt // 6, vocabulary_size**2) // shard_bigrams) + 1)
+    shards = max(MIN_SHARDS, int(min(learnt // 6, vocabulary_size**2 if vocabulary_size else learnt) // shard_bigrams) + 1)
     tasks = int(size // (shards * stream_bytes)) + 1
-    known, others = vocabulary(rows.filter("trusted"), vocabulary_size)
+    known, n_known, others = vocabulary(rows.filter("trusted"), vocabulary_size)
     packed = lambda part: part.select("key", "trusted", "text").mapInArrow(_pack(known, shards), PACKED)
     model = cut(packed(rows.filter("trusted")).filter("trains").select("shard", "n", "data").groupBy("shard").applyInArrow(_merge, MODEL))
-    facts = model.select("n", "data").mapInArrow(_facts, FACTS).groupBy("kind", "word").agg(F.sum("value").alias("value"))
-    tables = Model(facts.toArrow(), others)                          # a fixed number of rows
+    stored = model.select("n", "data")
+    spark = documents.sparkSession
+    # Every word number has a row, so its place in the file is its number.
+    empty = spark.range(n_known + FIRST).select(F.col("id").alias("word"), *[F.lit(0).cast("long").alias(c) for c in TOTALS])
+    totals = cut(stored.mapInArrow(_facts, FACTS).unionByName(empty).groupBy("word").agg(*[F.sum(c).alias(c) for c in TOTALS]))
+    count = F.least("before", F.lit(5)).cast("long")
+    tally = stored.mapInArrow(_tally, TALLY).unionByName(
+        totals.filter("before > 0").select(F.lit("lower").alias("kind"), count.alias("word"), F.lit(1).cast("long").alias("value"))).unionByName(
+        totals.select(F.lit("kinds").alias("kind"), F.lit(0).cast("long").alias("word"), F.col("before").alias("value")))
+    facts = tally.groupBy("kind", "word").agg(F.sum("value").alias("value")).toArrow()      # a dozen rows
+    tables = Model(facts, others, max(WORDS, n_known + FIRST), _file(totals, "word", TOTALS))
     probes = packed(rows).filter("not trains").select(
         "shard", F.pmod(F.xxhash64("data"), F.lit(tasks)).alias("task"), F.lit(False).alias("model"), "n", "data", "docs")
     copies = model.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))).alias("task"),

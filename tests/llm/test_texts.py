@@ -288,6 +288,15 @@ def test_probabilities_sum_to_one(rows):
     assert np.exp(model.log_p(bigram, count)).sum() == pytest.approx(1)
 
 
+def test_every_frequent_word_is_in_the_vocabulary(rows):
+    """70,000 words, each seen three times behind the same word: no text is less likely than another."""
+    texts = [" ".join(f"v{i}" for i in range(n, n + 500)) for n in range(0, 70_000, 500)]
+    table = [(1000 * copy + i, t, "en") for copy in range(4) for i, t in enumerate(texts)]
+    trusted = rows("id long", [(i,) for i, *_ in table if i < 3000])
+    got = [r["log_p"] for r in quality_lm.scores(rows("doc_id long, text string, lang string", table), trusted).filter("not trusted").collect()]
+    assert len(got) == len(texts) and max(got) - min(got) < 1e-6
+
+
 def test_classifier(rows, none):
     table = model_texts()
     docs = rows("doc_id long, text string, lang string", table)
