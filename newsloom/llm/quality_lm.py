@@ -40,7 +40,7 @@ STREAM_BYTES = 256 << 20                 # text whose bigrams one task looks up
 QUANTILES = (0.002, 0.998)
 MIN_COUNT = 3                            # of a word of the vocabulary in trusted text
 PRIOR_WORDS = 20                         # words at the language's mean that every score starts with
-MIN_TRUSTED = 50                         # documents for quantiles of a language's own
+MIN_TRUSTED = 50                         # trusted documents whose own mean and quantiles weigh as much as those of all
 BROADCAST_ROWS = 2_000_000               # labels up to here go to the tasks whole
 _END_MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _SHARD = np.uint64(0x9E3779B97F4A7C15)
@@ -381,8 +381,11 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
 
     ``trusted`` has the ids of trusted documents in its first column. ``score``
     is the mean negative log probability with ``prior`` words at the language's
-    mean mixed in, so a few words say little. A document is kept if its score lies between its language's
-    quantiles; languages with few trusted documents use those of all. Texts
+    mean mixed in, so a few words say little. A document is kept if its score
+    lies between its language's quantiles. With ``n`` trusted documents a
+    language's own mean and quantiles have the weight ``n / (n + min_trusted)``
+    and those of all the rest, at every size; only a language without any
+    trusted document is judged by those of all alone. Texts
     without words are not kept. A null language is a language of its own;
     repeated rows get equal results; without trusted documents nothing can be
     judged and all documents with words are kept; other columns are ignored.
@@ -393,8 +396,9 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     # Written tables have known sizes, so those of a few languages are broadcast and long ones are not.
     means = cut(named(sample).groupBy("__llm_lang").agg(F.avg("mean").alias("own_mean"), F.count("*").alias("own_n")))
     overall = sample.agg(F.avg("mean").alias("all_mean"))
-    centred = named(rows).join(means, "__llm_lang", "left").join(F.broadcast(overall)).withColumn(
-        "centre", F.when(F.col("own_n") >= min_trusted, F.col("own_mean")).otherwise(F.col("all_mean")))
+    weight = F.col("own_n") / (F.col("own_n") + min_trusted)
+    blend = lambda own, whole: F.col(whole) + F.coalesce((F.col(own) - F.col(whole)) * weight, F.lit(0.0))
+    centred = named(rows).join(means, "__llm_lang", "left").join(F.broadcast(overall)).withColumn("centre", blend("own_mean", "all_mean"))
     centre = F.coalesce("centre", F.lit(0.0))
     scored = cut(centred.withColumn("score", F.when(
         F.col("n") > 0, (centre * prior - F.col("log_p")) / (F.col("n") + prior))))
@@ -402,11 +406,8 @@ def classify(documents: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     bounds = lambda names: [F.percentile_approx("score", float(q), 10_000).alias(c) for q, c in zip(quantiles, names)]
     own = cut(judged.groupBy("__llm_lang").agg(*bounds(("own_low", "own_high"))))
     whole = judged.agg(*bounds(("all_low", "all_high")))
-    enough = F.col("own_n") >= min_trusted
     done = scored.join(own, "__llm_lang", "left").join(F.broadcast(whole)).withColumns({
-        "low": F.when(enough, F.col("own_low")).otherwise(F.col("all_low")),
-        "high": F.when(enough, F.col("own_high")).otherwise(F.col("all_high")),
-    })
+        "low": blend("own_low", "all_low"), "high": blend("own_high", "all_high")})
     inside = F.coalesce((F.col("score") >= F.col("low")) & (F.col("score") <= F.col("high")), F.lit(True))
     return done.select(
         "key", "doc_id", "lang", F.col("n").alias("n_words"),

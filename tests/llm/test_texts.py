@@ -297,6 +297,16 @@ def test_every_frequent_word_is_in_the_vocabulary(rows):
     assert len(got) == len(texts) and max(got) - min(got) < 1e-6
 
 
+def test_small_languages_have_their_own_bounds(rows):
+    """Few trusted documents pull the bounds of their language, more of them pull further."""
+    table = [(i, prose(i, 60, 50), "en") for i in range(100)]
+    table += [(1000 + 100 * k + i, " ".join(f"{lang}{j}" for j in range(60)), lang)
+              for k, (lang, n) in enumerate((("de", 5), ("fr", 45))) for i in range(n)] + [(2000, prose(5, 60, 50), "xx")]
+    trusted = rows("id long", [(i,) for i, _, lang in table if lang != "xx"])
+    got = {r["lang"]: r["high"] - r["low"] for r in quality_lm.classify(rows("doc_id long, text string, lang string", table), trusted).collect()}
+    assert got["fr"] < got["de"] < got["xx"]
+
+
 def test_classifier(rows, none):
     table = model_texts()
     docs = rows("doc_id long, text string, lang string", table)
