@@ -130,3 +130,29 @@ def judge(rows: DataFrame, host: str = "source", text: str = "text", **limits) -
         .withColumn("kept", ~F.col("base_failed") & share)
         .drop("__llm_host", "__llm_text")
     )
+
+
+def apply(rows: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The kept rows with all their columns, their texts without the lines above their host's limit.
+
+    The words taken out of a text are the ``removed_words`` of ``judge``. Only
+    places of lines are shuffled; texts without such lines stay as they are.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lines = F.split(body, "\n")
+    _, common = shared_lines(rows, host, text, **limits)
+    named = rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text"), F.posexplode(lines).alias("__llm_pos", "__llm_raw"))
+    placed = compute_once(named, __llm_line=F.xxhash64(normalised(F.col("__llm_raw")))).drop("__llm_raw")
+    out = placed.join(common, ["__llm_host", "__llm_line"]).groupBy("__llm_host", "__llm_text").agg(
+        F.sort_array(F.collect_set("__llm_pos")).alias("__llm_out"))
+    # The verdict drops the text, so the lines go along under another name.
+    carried = rows.withColumns({"__llm_body": F.col(f"`{text}`"), "__llm_row": F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != text])})
+    good = judge(carried, host, text, **limits).filter("kept").select("__llm_row", "__llm_body").withColumns({
+        "__llm_host": F.coalesce(F.concat(F.lit("h"), F.col("__llm_row")[host].cast("string")), F.lit("null")),
+        "__llm_text": F.xxhash64("__llm_body")})
+    split, cuts = F.split("__llm_body", "\n"), F.col("__llm_out")
+    pieces = F.transform(F.concat(F.array(F.lit(-1)), cuts), lambda at, i: F.slice(
+        split, at + 2, F.coalesce(F.get(cuts, i), F.size(split)) - at - 1))
+    cleaned = F.when(cuts.isNull(), F.col("__llm_body")).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    return good.join(out, ["__llm_host", "__llm_text"], "left").select(
+        *[cleaned.alias(c) if c == text else F.col("__llm_row")[c].alias(c) for c in rows.columns])
