@@ -32,8 +32,10 @@ PHONE = (r"(?:\+[0-9]{1,3}[ -])?(?:\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]
          r"|\+[0-9]{1,3} [0-9]{3} [0-9]{3} [0-9]{4}|\+[0-9]{11,13}")
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 CARD = r"[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19}"
-ANY = (rf"(?<![0-9A-Za-z_.+/-])(?:{ISO}|{SLASHED}|{DOTTED}|{SSN}|{PHONE}|{IP}|{CARD})"
-       r"(?![0-9A-Za-z_]|[./-][0-9])")
+# Dates and addresses also stand in timestamps, paths, file names, URLs and before prefix lengths.
+ANY = (rf"(?<![0-9A-Za-z_+]|[^A-Za-z][.-]|^[.-]){ISO}(?=T[0-9]|(?![0-9A-Za-z_]|[.-][0-9]))"
+       rf"|(?<![0-9A-Za-z_.+]|[^A-Za-z]-|^-){IP}(?![0-9A-Za-z_]|[.-][0-9])"
+       rf"|(?<![0-9A-Za-z_.+/-])(?:{SLASHED}|{DOTTED}|{SSN}|{PHONE}|{CARD})(?![0-9A-Za-z_]|[./-][0-9])")
 
 
 def _digits(text: Column) -> Column:

@@ -184,6 +184,17 @@ def test_shared_lines_reject(rows):
     assert all(got[i]["kept"] and got[i]["removed_words"] == 0 for i in (*range(50, 58), 90, 91))
 
 
+def test_shared_lines_are_taken_out(rows):
+    own, shared = [prose(i, 90) for i in range(8)], prose(99, 40)
+    table = [(i, "h", f"{t}\n\n {shared.upper()}\n{own[7 - i]}\n{shared}", "x") for i, t in enumerate(own)]
+    table += [(0, *table[0][1:]), (90, "other", f"{own[1]}\n{shared}", "x"), (91, None, own[2], "x"), (92, "h", f"{own[3]}\n", "x"), (93, "h", shared, "x"), (94, "h", None, "x")]
+    docs = rows("doc_id long, source string, text string, kept string", table)
+    got = quality_rules.apply(docs, min_documents=5)
+    assert got.columns == docs.columns
+    want = [(i, h, f"{own[i]}\n\n{own[7 - i]}" if i < 8 else t, x) for i, h, t, x in table if i < 93]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 # --- pseudonyms ---------------------------------------------------------------------------
 
 def luhn(digits):
@@ -214,6 +225,20 @@ def test_pseudonyms_keep_format_and_go_back(rows):
     assert other[0]["text"] != out[0]
 
 
+def test_pseudonyms_in_timestamps_urls_and_paths(rows):
+    texts = ["2024-01-31T10:00:00Z and 2024-01-31", "http://10.0.0.1/x 10.0.0.1", "10.0.0.1/24 10.0.0.1/2024", "/logs/2024-01-31/a-2024-01-31.txt 2024-01-31/2024-02-01",
+             "ip-10.0.0.1", "2024-01-31Tx 12-2024-01-31 1.2024-01-31 -2024-01-31 1.10.0.0.1 10.0.0.1-5 v.1.2.3.4"]
+    table = rows("id int, text string", list(enumerate(texts)))
+    new = pii.pseudonymize(table, "secret")
+    got = {r["id"]: r for r in new.collect()}
+    assert [(got[i]["n_date"], got[i]["n_ip"]) for i in range(6)] == [(2, 0), (0, 2), (0, 2), (4, 0), (0, 1), (0, 0)]
+    day = re.findall(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", " ".join(got[i]["text"] for i in (0, 3)))
+    assert len(set(day[:-1])) == 1 and day[0] != "2024-01-31" and got[0]["text"].startswith(f"{day[0]}T10:00:00Z")
+    addresses = {a for i in (1, 2, 4) for a in re.findall(r"[0-9]+(?:\.[0-9]+){3}", got[i]["text"])}
+    assert len(addresses) == 1 and addresses != {"10.0.0.1"}
+    assert [r["text"] for r in pii.pseudonymize(new, "secret", back=True).orderBy("id").collect()] == texts
+
+
 def test_feistel_is_a_permutation(spark):
     pair = pii.feistel(F.floor(F.col("id") / 7), F.col("id") % 7, F.lit(11), F.lit(7), F.lit("k"), "t")
     got = {(r["left"], r["right"]) for r in spark.range(77).select(pair.alias("p")).select("p.*").collect()}
