@@ -8,7 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, sharding, substring_dedup
+from newsloom.llm import (
+    decontamination, lexical_search, license_scan, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, sharding,
+    source_audit, substring_dedup, suffix_dedup,
+)
 from newsloom.session import pin
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +102,18 @@ PII_KEY = "registered query"
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "text")
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -94,4 +94,4 @@ def test_op10(ran):
 
 def test_names_and_sql():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE) < set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE) < set(QUERIES)
