@@ -8,15 +8,17 @@ stand in a repeat, and their windows go no further.
 
 Each bucket sorts the suffixes of its segments, takes the Burrows-Wheeler
 transform and expands intervals breadth-first: a backward step takes all
-intervals of strings of ``l`` bytes to those of ``l + 1`` bytes, so the borders
-between suffixes come up by increasing common prefix. It stops at ``WIDTH``:
-suffixes without a border between them share that many bytes at least, and what
-lies above never costs anything. The smallest document of each such interval
-keeps the string, all others lose it.
+intervals of strings of ``l`` bytes to those of ``l + STEP`` bytes, so the
+borders between suffixes come up by increasing common prefix. It stops at
+``WIDTH``: suffixes without a border between them share that many bytes at
+least, and what lies above never costs anything. The smallest document of each
+such interval keeps the string, all others lose it.
 
 Nothing is gathered by value: equal segments of a slice, and then of a bucket,
 are combined to the one of the smallest document (the later ones lie in it
-whole), and equal texts count as one text with its smallest document.
+whole), and equal texts count as one text with its smallest document. Windows
+around a passage that many documents hold share its minimizers but nothing
+else; those with bytes that stand nowhere else in the bucket are not sorted.
 """
 
 from __future__ import annotations
@@ -34,9 +36,13 @@ from newsloom.llm import words as wd
 WIDTH = 50
 GRAM = 16
 LOWEST = -(1 << 63)
+BATCH_BYTES = 8 << 20
 PIECE_BYTES, SLICE_BYTES = 1 << 20, 2 << 20
 KEY_BUCKET_BYTES = 32 << 20      # text whose minimizers make one bucket
 TEXT_BUCKET_BYTES = 4 << 20      # text whose segments make one bucket, if all of them went on
+STEP = 5                         # bytes of one backward step
+PRUNE = 32                       # bytes that a window may not have for itself
+CHUNK_BYTES, FOLD_BYTES = 4 << 20, 64 << 20
 BORDER = 0xFF                    # between segments; no byte of UTF-8
 WHOLE = -1                       # length of a range that means the whole text
 SHARED = 0xFFFFFFFF              # owner of a minimizer that several texts of a slice hold
@@ -262,114 +268,218 @@ def _segments(width: int, gram: int, buckets: int):
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (read in a circle) sorted by their first ``depth`` bytes at least, by doubling."""
+    """Suffixes of ``text`` (read in a circle) sorted by their first ``depth`` bytes at least.
+
+    By doubling: a suffix that is alone with its first bytes has its place, the
+    others are sorted by the places of what follows.
+    """
     n = len(text)
-    key, size = np.zeros(n, np.uint64), 0
-    circle = np.concatenate((text, text[:8] if n >= 8 else np.resize(text, 8)))
-    while size < 8:
-        key = (key << np.uint64(8)) | circle[size:size + n]
-        size += 1
-    while True:
-        order = np.argsort(key, kind="stable")
-        if size >= depth:
-            return order
-        key = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])).astype(np.uint64)
-        key = (rank << np.uint64(32)) | np.roll(rank, -(size % n))
+    circle = np.concatenate((text, np.resize(text, 8)))
+    key = np.zeros(n, np.uint64)
+    for i in range(8):
+        key = (key << np.uint64(8)) | circle[i:i + n]
+    order = np.argsort(key)
+    key, size = key[order], 8
+    new = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    slots = np.arange(n)
+    while size < depth:
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        slots = slots[tied]                       # places whose suffixes are not told apart yet
+        if not len(slots):
+            break
+        at = order[slots]
+        key = (rank[at] << np.uint64(32)) | rank[(at + size) % n]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[slots] = at
+        new = np.append(True, key[1:] != key[:-1])
+        rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
         size *= 2
+    return order
 
 
-def expand(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+def expand(text: np.ndarray, order: np.ndarray, width: int, step: int = STEP) -> np.ndarray:
     """Where a suffix (in ``order``) shares less than ``width`` bytes with the one before it.
 
-    Backward extension of all intervals at once, level by level: of the
-    suffixes with one byte before them, taken in order, two neighbours stay in
-    one interval if their tails were in one. An interval is never extended by
-    the border byte, so no common string crosses it.
+    Backward extension of all intervals at once, level by level. The transform
+    gives for each place the place of the suffix behind its first byte; taken
+    ``step`` times, the one behind ``step`` bytes. Two neighbours that begin with
+    the same bytes stay in one interval if what follows them was in one. An
+    interval is never extended by the border byte, so no common string crosses it.
     """
+    n = len(text)
     before = text[order - 1]                                  # the transform; order 0 wraps round
-    by = np.argsort(before, kind="stable").astype(np.int32)   # suffix at place j comes from the one at by[j]
-    char = before[by]
-    border = np.ones(len(text), bool)
-    border[1:] = (char[1:] != char[:-1]) | (char[1:] == BORDER)
-    cut = np.zeros(len(text), bool)
+    behind = np.argsort(before, kind="stable").astype(np.int32)
+    char = before[behind]
+    one = np.ones(n, bool)                                    # borders between strings of one byte
+    one[1:] = (char[1:] != char[:-1]) | (char[1:] == BORDER)
+
+    def stride(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The place ``k`` bytes on, and the borders between strings of ``k`` bytes."""
+        at, cut, first = np.arange(n, dtype=np.int32), one.copy(), char
+        for _ in range(k - 1):
+            at = behind[at]
+            first = char[at]
+            cut[1:] |= (first[1:] != first[:-1]) | (first[1:] == BORDER)
+        return behind[at], cut
+
+    cut, done = np.zeros(n, bool), 0
     cut[:1] = True
-    for _ in range(width):
-        interval = np.cumsum(cut, dtype=np.int32)[by]
+    jump = None
+    while done < width:
+        k = min(step, width - done)
+        if jump is None or k != step:
+            jump, border = stride(k)
+        interval = np.cumsum(cut, dtype=np.int32)[jump]
         cut = border.copy()
         cut[1:] |= interval[1:] != interval[:-1]
+        done += k
     return cut
 
 
-def _repeats(segments: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of windows that a segment of a smaller document holds too, in order."""
-    border = bytes([BORDER])
-    text = np.frombuffer(border + border.join(segments) + border, np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in segments]))) + 1
-    order = suffix_order(text, width)
-    first = np.flatnonzero(expand(text, order, width))
-    several = np.diff(np.append(first, len(order))) > 1
-    size = np.diff(np.append(first, len(order)))
-    use = np.repeat(several, size)
-    place = order[use]
-    number = np.searchsorted(starts, place, side="right") - 1
-    doc = docs[number]
-    group = np.concatenate(([0], np.cumsum(size[several])[:-1])).astype(np.int64) if several.any() else np.zeros(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(doc, group), size[several]) if len(group) else doc
-    gone = np.sort(place[doc > least])
-    number = np.searchsorted(starts, gone, side="right") - 1
-    return number, gone - starts[number]
+class Segments:
+    """Distinct segments of a bucket, each of its smallest document; the bytes lie one behind the other."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.size = width, [], 0
+
+    def add(self, data: bytes, n: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+        """Take segments in; yields the ranges of those that lie whole in one of a smaller document."""
+        data = np.frombuffer(data, np.uint8)
+        up, down = _Powers.of(len(data))
+        end = np.cumsum(n + self.width - 1)
+        start = end - n - self.width + 1
+        names = []
+        for seed in (0, 1):
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(wd.mix(_BYTE + np.uint64(seed))[data] * up, out=total[1:])
+            names.append(wd.mix((total[end] - total[start]) * down[start] + n.astype(np.uint64)))
+        self.parts.append((data, n, doc, mark, place, *names))
+        self.size += len(data)
+        if self.size > FOLD_BYTES:
+            yield self.fold()
+
+    def fold(self) -> tuple:
+        """Keep each segment of its smallest document, at all places where that document has it."""
+        if len(self.parts) == 0:
+            return tuple([np.zeros(0, np.int64)] * 4)
+        data, n, doc, mark, place, h1, h2 = (np.concatenate(x) for x in zip(*self.parts))
+        end = np.cumsum(n + self.width - 1)
+        order = np.lexsort((place, mark, doc, h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        head = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = order[doc[order] > head]
+        stay = np.sort(order[doc[order] == head])
+        keep = np.zeros(len(n), bool)
+        keep[stay] = True
+        self.parts = [(data[np.repeat(keep, n + self.width - 1)], *(x[keep] for x in (n, doc, mark, place, h1, h2)))]
+        self.size = len(self.parts[0][0])
+        return doc[later], mark[later], place[later], n[later]
+
+    def _chunks(self, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        first, total = 0, np.cumsum(sizes)
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(total, total[first] - sizes[first] + CHUNK_BYTES)))
+            yield first, last
+            first = last
+
+    def pruned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text of what may repeat, with borders; the segment and the place there of each byte.
+
+        A window goes if it holds ``PRUNE`` bytes that stand in no other place of the bucket.
+        """
+        data, n = self.parts[0][0], self.parts[0][1]
+        sizes = n + self.width - 1
+        ends = np.cumsum(sizes)
+        k = min(PRUNE, self.width)
+        cells = min(24, max(10, int(np.ceil(np.log2(len(data) + 1))) + 1))
+        count = np.zeros(1 << cells, np.int64)
+        none = np.zeros(0, np.int64)
+        parts = []
+        for counting in (True, False):
+            for first, last in self._chunks(sizes):
+                base = ends[first] - sizes[first]
+                part, own = data[base:ends[last - 1]], sizes[first:last]
+                if len(part) < k:
+                    continue
+                stop = np.cumsum(own)
+                inside = np.ones(len(part) - k + 1, bool)          # not over the end of a segment
+                over = (stop[:-1, None] - np.arange(1, k)).ravel() if k > 1 else none
+                inside[over[(over >= 0) & (over < len(inside))]] = False
+                h, _ = gram_hashes(part, k)
+                cell = (h >> np.uint64(64 - cells)).astype(np.int64)
+                if counting:
+                    count += np.bincount(cell[inside], minlength=len(count))
+                    continue
+                shared = inside & (count[cell] > 1)
+                windows = _least(shared, self.width - k + 1)
+                keep = wd.covered(np.flatnonzero(windows), self.width, len(part))
+                at = np.flatnonzero(keep)
+                number = np.repeat(np.arange(first, last), own)[at]
+                place = at - (stop - own)[number - first]
+                parts.append((part[at], number, place))
+        if not parts:
+            return np.zeros(0, np.uint8), none, none
+        text, number, place = (np.concatenate(x) for x in zip(*parts))
+        # A border in front of each stretch, and one at the end.
+        gap = np.ones(len(text), bool)
+        gap[1:] = (number[1:] != number[:-1]) | (place[1:] != place[:-1] + 1)
+        where = np.append(np.flatnonzero(gap), len(text))
+        return (np.insert(text, where, BORDER), np.insert(number, where, -1), np.insert(place, where, -1))
+
+    def repeats(self) -> tuple:
+        """Ranges of windows that a segment of a smaller document holds too."""
+        _, _, doc, mark, start, h1, h2 = self.parts[0]
+        text, number, offset = self.pruned()
+        none = tuple([np.zeros(0, np.int64)] * 4)
+        if len(text) <= self.width:
+            return none
+        order = suffix_order(text, self.width)
+        first = np.flatnonzero(expand(text, order, self.width))
+        size = np.diff(np.append(first, len(order)))
+        several = size > 1
+        if not several.any():
+            return none
+        at = order[np.repeat(several, size)]
+        size = size[several]
+        owner = doc[number[at]]
+        least = np.minimum.reduceat(owner, np.cumsum(size) - size)
+        gone = np.sort(at[owner > np.repeat(least, size)])
+        number, offset = number[gone], offset[gone]
+        if not len(gone):
+            return none
+        new = np.append(True, (np.diff(number) != 0) | (np.diff(offset) != 1))
+        n = np.diff(np.append(np.flatnonzero(new), len(number)))
+        number, offset = number[new], offset[new]
+        return doc[number], mark[number], start[number] + offset, n
 
 
 def _find(width: int):
     """Ranges of windows that a smaller document holds as well; one bucket."""
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [()] * 4
+    def answer(ranges: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+            [pa.array(np.asarray(x).astype(t)) for x, t in zip(ranges, (np.int64, np.int64, np.int64, np.int32))],
             ["doc", "mark", "start", "n"])
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, list] = {}       # segment: document, text mark, its places
+        held = Segments(width)
         for batch in batches:
-            out = []
             for data, n, owner, docs, marks, places in zip(*(batch.column(c).to_pylist() for c in ("data", "sizes", "owners", "docs", "marks", "places"))):
-                n, places = np.frombuffer(n, np.uint32).tolist(), np.frombuffer(places, np.int64).tolist()
+                n, place = np.frombuffer(n, np.uint32).astype(np.int64), np.frombuffer(places, np.int64)
                 owner = np.frombuffer(owner, np.uint32)
-                doc, mark = (np.frombuffer(x, np.int64)[owner].tolist() for x in (docs, marks))
+                doc, mark = (np.frombuffer(x, np.int64)[owner] for x in (docs, marks))
                 if not data:
-                    out.extend(zip(doc, mark, places, n))
+                    yield answer((doc, mark, place, n))
                     continue
-                at = 0
-                for d, m, p, k in zip(doc, mark, places, n):
-                    segment = data[at:at + k + width - 1]
-                    at += k + width - 1
-                    held = best.get(segment)
-                    if held is None:
-                        best[segment] = [d, [(m, p)]]
-                    elif d > held[0]:
-                        out.append((d, m, p, k))
-                    elif d == held[0]:
-                        held[1].append((m, p))
-                    else:
-                        out.extend((held[0], m2, p2, k) for m2, p2 in held[1])
-                        best[segment] = [d, [(m, p)]]
-            yield answer(out)
-        if not best:
-            return
-        segments, held = list(best), list(best.values())
-        best.clear()
-        number, offset = _repeats(segments, np.array([h[0] for h in held], np.int64), width)
-        new = np.flatnonzero(np.append(True, (np.diff(number) != 0) | (np.diff(offset) != 1))) if len(number) else []
-        n = np.diff(np.append(new, len(number))).tolist() if len(number) else []
-        out = []
-        for s, o, k in zip(number[new].tolist(), offset[new].tolist(), n) if len(number) else ():
-            out.extend((held[s][0], m, p + o, k) for m, p in held[s][1])
-            if len(out) > 100_000:
-                yield answer(out)
-                out = []
-        yield answer(out)
+                for ranges in held.add(data, n, doc, mark, place):
+                    yield answer(ranges)
+        if held.parts:
+            yield answer(held.fold())
+            yield answer(held.repeats())
     return run
 
 
@@ -430,7 +540,7 @@ def dedupe(documents: DataFrame, key: str = "doc_id", text: str = "text", width:
     """
     if not 1 <= gram <= width:
         raise ValueError("gram must lie between 1 and width")
-    wd.small_batches(documents.sparkSession)
+    wd.small_batches(documents.sparkSession, BATCH_BYTES)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _doc(key).alias("doc"),
                             F.xxhash64(body).alias("mark"), body.alias("text"))
@@ -462,7 +572,7 @@ def dedupe(documents: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 def apply(documents: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """``documents`` without the removed bytes; where a cut splits a character, its rest becomes U+FFFD."""
-    wd.small_batches(documents.sparkSession)
+    wd.small_batches(documents.sparkSession, BATCH_BYTES)
     width = limits.get("width", WIDTH)
     keyed = documents.withColumns({"__llm_doc": _doc(key), "__llm_mark": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
     rows = keyed.select(F.col("__llm_doc").alias("doc"), F.col("__llm_mark").alias("mark"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

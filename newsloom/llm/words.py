@@ -30,10 +30,10 @@ _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Rows per Arrow batch small enough that very long texts fit a worker."""
+def small_batches(spark: SparkSession, most: int = 32 << 20) -> SparkSession:
+    """Rows per Arrow batch small enough that very long texts fit a worker; ``most`` bytes, or one row."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return spark
 
 
