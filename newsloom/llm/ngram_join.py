@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import words as wd
 from newsloom.llm.components import components
-from newsloom.session import cut
+from newsloom.session import cut, release
 
 N = 5
 LOWEST = -(1 << 63)
@@ -205,7 +205,7 @@ def _verify(n: int):
 
 
 def verify(rows: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
-    """Those of ``pairs`` (``a, b``, documents of ``rows``) that are similar enough.
+    """Those of ``pairs`` (``a, b``, documents of ``rows``) that are similar enough, as a written table.
 
     Packed texts are dealt by document once, at any size of the input; then
     only those of documents in pairs go on.
@@ -214,8 +214,10 @@ def verify(rows: DataFrame, pairs: DataFrame, n: int = N) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     packed = cut(rows.mapInArrow(_pack_text, "doc long, packed binary").join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
     side = lambda one, name: packed.select(F.col("doc").alias(one), F.col("packed").alias(name))
-    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
-        _verify(n), "a long, b long")
+    links = cut(pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
+        _verify(n), "a long, b long"))
+    release(pairs, packed)
+    return links
 
 
 # --- candidates -----------------------------------------------------------------
@@ -263,8 +265,10 @@ def _pack(buckets: int):
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[b]:cuts[b + 1]]
                 own, number = np.unique(owner[mine], return_inverse=True)
-                rows.append((int(b), keys[mine].tobytes(), number.astype(np.uint16).tobytes(), _planes(place[mine]), doc[own].tobytes(),
-                             root[own].tobytes(), n[own].astype(np.uint32).tobytes(), need[own].astype(np.uint8).tobytes()))
+                # Steps between documents, and how far each is from its root: mostly small numbers.
+                rows.append((int(b), keys[mine].tobytes(), _planes(number.astype(np.uint32)), _planes(place[mine]),
+                             _planes(np.diff(doc[own], prepend=0)), _planes(doc[own] - root[own]),
+                             _planes(n[own].astype(np.uint32)), need[own].astype(np.uint8).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))],
@@ -282,15 +286,17 @@ def _meet(buckets: int):
     """
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {c: [] for c in ("keys", "places", "docs", "roots", "sizes", "needs")}
-        kinds = {"docs": np.int64, "roots": np.int64, "sizes": np.uint32, "needs": np.uint8}
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in (*parts, "owners")}
             for i in range(batch.num_rows):
-                owner = np.frombuffer(columns["owners"][i], np.uint16)
+                owner = _values(columns["owners"][i], np.uint32)
+                own = np.cumsum(_values(columns["docs"][i], np.int64))
                 parts["keys"].append(np.frombuffer(columns["keys"][i], np.uint32))
                 parts["places"].append(_values(columns["places"][i], np.uint32))
-                for c, kind in kinds.items():
-                    parts[c].append(np.frombuffer(columns[c][i], kind)[owner])
+                parts["docs"].append(own[owner])
+                parts["roots"].append((own - _values(columns["roots"][i], np.int64))[owner])
+                parts["sizes"].append(_values(columns["sizes"][i], np.uint32)[owner])
+                parts["needs"].append(np.frombuffer(columns["needs"][i], np.uint8)[owner])
         keys, place, doc, root, n, need = (np.concatenate(parts[c]) for c in parts)
         order = np.argsort(keys, kind="stable")
         keys, place, doc, root, n, need = (x[order] for x in (keys, place, doc, root, n, need))
@@ -303,52 +309,60 @@ def _meet(buckets: int):
         ends = np.searchsorted(run_of, run_of, side="right")
         names, number = np.unique(doc, return_inverse=True)
         found, held = [], 0
-
-        total: dict[str, np.ndarray] = {"codes": np.zeros(0, np.int64), "counts": np.zeros(0, np.int64)}
+        none = np.zeros(0, np.int64)
+        total = none, none, none             # pair, matches, most shingles behind one in both sets
 
         def fold():
-            codes = np.concatenate([total["codes"], *found])
-            counts = np.concatenate([total["counts"], np.ones(len(codes) - len(total["codes"]), np.int64)])
-            total["codes"], at = np.unique(codes, return_inverse=True)
-            total["counts"] = np.bincount(at, weights=counts, minlength=len(total["codes"])).astype(np.int64)
+            codes, rest = (np.concatenate([total[i], *(f[i // 2] for f in found)]) for i in (0, 2))
+            counts = np.concatenate([total[1], np.ones(len(codes) - len(total[0]), np.int64)])
+            order = np.argsort(codes, kind="stable")
+            codes = codes[order]
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
             found.clear()
+            return codes[starts], np.add.reduceat(counts[order], starts), np.maximum.reduceat(rest[order], starts)
 
         at, step = np.arange(len(doc)), 1
         while len(at := at[at + step < ends[at]]):
             to = at + step
             overlap = (4 * (n[at] + n[to]) + 8) // 9
-            good = (root[at] != root[to]) & (doc[at] != doc[to]) & (
-                np.minimum(need[at], need[to]) + np.minimum(after[at], after[to]) >= overlap)
+            rest = np.minimum(after[at], after[to])
+            good = (root[at] != root[to]) & (doc[at] != doc[to]) & (np.minimum(need[at], need[to]) + rest >= overlap)
             if good.any():
                 x, y = number[at[good]], number[to[good]]
-                found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+                found.append((np.minimum(x, y) * len(names) + np.maximum(x, y), rest[good]))
                 held += len(x)
                 if held > PAIRS_AT_ONCE:
-                    fold()
-                    held = 0
+                    total, held = fold(), 0
             step += 1
         if found:
-            fold()
-        codes, shared = total["codes"], total["counts"]
+            total = fold()
+        codes, shared, rest = total
         x, y = codes // max(len(names), 1), codes % max(len(names), 1)
-        needs = np.zeros(len(names), np.int32)
-        needs[number] = need
+        needs, sizes = np.zeros(len(names), np.int32), np.zeros(len(names), np.int64)
+        needs[number], sizes[number] = need, n
         need = np.minimum(needs[x], needs[y])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[x]), pa.array(names[y]), pa.array(shared), pa.array(need)], ["a", "b", "shared", "need"]
-        ).filter(pa.array(shared * buckets >= need))
+            [pa.array(names[x]), pa.array(names[y]), pa.array(shared), pa.array(need), pa.array(rest),
+             pa.array((4 * (sizes[x] + sizes[y]) + 8) // 9)], ["a", "b", "shared", "need", "rest", "overlap"]
+        ).filter(pa.array((shared * buckets >= need) & ((rest + 1 >= (4 * (sizes[x] + sizes[y]) + 8) // 9) | (buckets > 1))))
     return run
 
 
 def prefix_pairs(units: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of different components that share enough prefix shingles; ``units`` with ``root``."""
+    """Pairs of different components that share enough prefix shingles; ``units`` with ``root``.
+
+    All that a pair shares stands behind its first match in both sets, or is
+    that match. If all buckets tell of a pair, its first match is known, and the
+    pair goes if too little stands behind it.
+    """
     met = units.mapInArrow(_pack(buckets), PACKED).groupBy("bucket").applyInArrow(
-        _meet(buckets), "a long, b long, shared long, need int")
+        _meet(buckets), "a long, b long, shared long, need int, rest long, overlap long")
     part = F.ceil(F.col("need") / F.lit(buckets))          # buckets that keep silent share less than this
     most = F.col("shared") + (F.lit(buckets) - F.col("told")) * (part - 1)
     return met.groupBy("a", "b").agg(
-        F.sum("shared").alias("shared"), F.count("*").alias("told"), F.max("need").alias("need")
-    ).filter(most >= F.col("need")).select("a", "b")
+        F.sum("shared").alias("shared"), F.count("*").alias("told"), F.max("need").alias("need"),
+        F.max("rest").alias("rest"), F.max("overlap").alias("overlap")
+    ).filter(most >= F.col("need")).filter((F.col("told") < buckets) | (F.col("rest") + 1 >= F.col("overlap"))).select("a", "b")
 
 
 def _doc(key: str) -> Column:

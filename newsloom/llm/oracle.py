@@ -37,10 +37,10 @@ WITH d AS (
          trim(regexp_replace(translate(raw, '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line
   FROM line
 ), texts AS (
-  SELECT host, count(DISTINCT body) AS texts FROM d GROUP BY host
+  SELECT host, count(DISTINCT doc_id) AS texts FROM d GROUP BY host
 ), common AS (
   SELECT host, line FROM (
-    SELECT host, line, count(DISTINCT body) AS n_docs FROM norm WHERE line <> '' GROUP BY host, line
+    SELECT host, line, count(DISTINCT doc_id) AS n_docs FROM norm WHERE line <> '' GROUP BY host, line
   ) JOIN texts USING (host)
   WHERE n_docs > greatest(10, floor(texts / 1000))
 ), lost AS (

@@ -14,28 +14,37 @@ The range is split into two residues, ``left`` below ``a`` and ``right`` below
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.once import compute_once
 
 ROUNDS = 8
-KINDS = ("card", "date", "ip", "phone", "ssn")
+KINDS = ("card", "date", "iban", "ip", "phone", "ssn")
 FIRST_DAY, DAYS = "1900-01-01", 73_049      # up to 2099-12-31; 229 * 319 days
 DAY_PARTS = (229, 319)
+FIRST_YEAR, YEARS = 1900, 200
+# Days from the 13th on of a year without a leap day: how many stand before each month's.
+LATE_DAYS = tuple(accumulate((n - 12 for n in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)), initial=0))
+FIRST_LEAP, LEAP_PARTS = 1904, (7, 7)        # 49 leap days up to 2096
 
 ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-SLASHED = r"[0-9]{2}/[0-9]{2}/[0-9]{4}"     # day first
+SLASHED = r"[0-9]{2}/[0-9]{2}/[0-9]{4}"     # day first; month first where only that is a date
+YEAR_SLASHED = r"[0-9]{4}/[0-9]{2}/[0-9]{2}"
+NAMED = r"[0-9]{2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [0-9]{4}"
 DOTTED = r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"    # day first
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = (r"(?:\+[0-9]{1,3}[ -])?(?:\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})"
+PHONE = (r"(?:\+[0-9]{1,3}[ -]|1-)?(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})"
          r"|\+[0-9]{1,3} [0-9]{3} [0-9]{3} [0-9]{4}|\+[0-9]{11,13}")
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-CARD = r"[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19}"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+CARD = r"[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19}"
 # Dates and addresses also stand in timestamps, paths, file names, URLs and before prefix lengths.
 ANY = (rf"(?<![0-9A-Za-z_+]|[^A-Za-z][.-]|^[.-]){ISO}(?=T[0-9]|(?![0-9A-Za-z_]|[.-][0-9]))"
        rf"|(?<![0-9A-Za-z_.+]|[^A-Za-z]-|^-){IP}(?![0-9A-Za-z_]|[.-][0-9])"
-       rf"|(?<![0-9A-Za-z_.+/-])(?:{SLASHED}|{DOTTED}|{SSN}|{PHONE}|{CARD})(?![0-9A-Za-z_]|[./-][0-9])")
+       rf"|(?<![0-9A-Za-z_.+/-])(?:{SLASHED}|{YEAR_SLASHED}|{NAMED}|{DOTTED}|{IBAN}|{SSN}|{PHONE}|{CARD})(?![0-9A-Za-z_]|[./-][0-9])")
 
 
 def _digits(text: Column) -> Column:
@@ -166,11 +175,71 @@ def _date(h: Column, key: Column, back: bool, shape: str, pattern: str) -> tuple
         F.date_add(F.lit(FIRST_DAY).cast("date"), (p["left"] * b + p["right"]).cast("int")), pattern))[0]
 
 
+def _month_first(h: Column, key: Column, back: bool) -> tuple[Column, Column]:
+    """MM/dd/yyyy with a day above 12, permuted among such dates; a leap day among leap days."""
+    month, day, year = (_long(F.substring(h, p, n)) for p, n in ((1, 2), (4, 2), (7, 4)))
+    real = F.try_to_date(h, "MM/dd/yyyy").isNotNull()
+    valid = h.rlike(_full(SLASHED)) & real & (day > 12) & year.between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+    offsets = F.array(*[F.lit(n) for n in LATE_DAYS[:-1]])
+    place = F.get(offsets, (month - 1).cast("int")) + day - 13
+    pair = feistel(year - FIRST_YEAR, place, F.lit(YEARS), F.lit(LATE_DAYS[-1]), key, "late", back)
+
+    def show(p: Column) -> Column:
+        m = F.size(F.filter(offsets, lambda o: o <= p["right"]))
+        return F.concat_ws("/", _pad(m, 2), _pad(p["right"] - F.get(offsets, m - 1) + 13, 2), _pad(p["left"] + FIRST_YEAR, 4))
+
+    a, b = LEAP_PARTS
+    leap = F.floor((year - FIRST_LEAP) / 4)
+    leaps = feistel(F.floor(leap / b), leap % b, F.lit(a), F.lit(b), key, "leap", back)
+    late = F.transform(F.array(pair), show)[0]
+    leap_day = F.transform(F.array(leaps), lambda p: F.concat(F.lit("02/29/"), _pad((p["left"] * b + p["right"]) * 4 + FIRST_LEAP, 4)))[0]
+    return valid, F.when((month == 2) & (day == 29), leap_day).otherwise(late)
+
+
+def mod97(text: Column) -> Column:
+    """A text of digits and capitals, A as 10 to Z as 35, as a number modulo 97."""
+    def add(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban(h: Column, key: Column, back: bool) -> tuple[Column, Column]:
+    """Up to 18 last digits of the account are permuted, the check digits follow; letters and blanks stay."""
+    plain = F.replace(h, F.lit(" "), F.lit(""))
+    country, check, body = F.substring(plain, 1, 2), F.substring(plain, 3, 2), F.substring(plain, F.lit(5), F.length(plain))
+    digits = _digits(body)
+    n = F.least(F.length(digits), F.lit(18))
+    valid = h.rlike(_full(IBAN)) & F.length(plain).between(15, 34) & (n >= 2) & check.between("02", "98") & (
+        mod97(F.concat(body, country, check)) == 1)
+    last = F.substring(digits, F.length(digits) - n + 1, n)
+    new = _permuted_digits(last, n, key, "iban", back)
+    filled = F.transform(F.array(F.concat(F.substring(digits, F.lit(1), F.length(digits) - n), new)), lambda d: _fill(body, d))[0]
+
+    def show(b: Column) -> Column:
+        return _fill_all(h, F.concat(country, _pad(98 - mod97(F.concat(b, country, F.lit("00"))), 2), b))
+
+    return valid, F.transform(F.array(filled), show)[0]
+
+
+def _fill_all(mask: Column, plain: Column) -> Column:
+    """``plain`` with blanks where ``mask`` has them."""
+    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
+
+    def put(acc: Column, c: Column) -> Column:
+        return F.struct((acc["i"] + (c != " ").cast("int")).alias("i"),
+                        F.concat(acc["out"], F.when(c == " ", c).otherwise(F.substring(plain, acc["i"] + 1, F.lit(1)))).alias("out"))
+
+    return F.aggregate(F.split(mask, ""), start, put, lambda acc: acc["out"])
+
+
 def _changed(h: Column, key: Column, back: bool) -> Column:
     """``(kind, new)`` of a match; the kind is null where it does not validate."""
     options = [
         ("date", *_date(h, key, back, ISO, "yyyy-MM-dd")), ("date", *_date(h, key, back, SLASHED, "dd/MM/yyyy")),
-        ("date", *_date(h, key, back, DOTTED, "dd.MM.yyyy")), ("ssn", *_ssn(h, key, back)),
+        ("date", *_month_first(h, key, back)), ("date", *_date(h, key, back, YEAR_SLASHED, "yyyy/MM/dd")),
+        ("date", *_date(h, key, back, NAMED, "dd MMM yyyy")),
+        ("date", *_date(h, key, back, DOTTED, "dd.MM.yyyy")), ("iban", *_iban(h, key, back)), ("ssn", *_ssn(h, key, back)),
         ("phone", *_phone(h, key, back)), ("ip", *_ip(h, key, back)), ("card", *_card(h, key, back)),
     ]
     chain = F
@@ -184,12 +253,13 @@ def _count(kind: str) -> Column:
 
 
 def pseudonymize(rows: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
-    """Replace valid numbers and dates in ``text``; add ``n_card, n_date, n_ip, n_phone, n_ssn``.
+    """Replace valid numbers and dates in ``text``; add ``n_card, n_date, n_iban, n_ip, n_phone, n_ssn``.
 
     ``key`` is the secret; ``back=True`` restores the originals. All columns
     stay; null texts stay null with counts of 0; empty and very long texts need
     no care, as each text is handled as a whole in its row; repeated rows get
-    equal results; input columns named like the counts are replaced.
+    equal results; input columns named like the counts are replaced, other columns
+    may have any name that does not begin with ``__llm_``; an empty table stays empty.
     """
     body = F.col(f"`{text}`")
     names = [f"n_{kind}" for kind in KINDS]

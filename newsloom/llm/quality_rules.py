@@ -1,10 +1,11 @@
 """Quality rules: figures of a text, and lines that many documents of a host share.
 
 Cross-document line frequency: normalised lines are hashed, each line counts
-the distinct documents (texts) of its host that hold it, lines above the host's
-limit are taken out, and a document that loses more than half of its words to
-that is rejected. Only DataFrame functions; all per-text work is done on arrays
-inside the row, and only hashes and counts are shuffled.
+the documents of its host that hold it, lines above the host's limit are
+taken out, and a document that loses more than half of its words to that is
+rejected. Only DataFrame functions; all per-text work is done on arrays inside
+the row, and only hashes and counts are shuffled. Equal texts of a host are
+combined before the lines are counted, each with the number of its documents.
 """
 
 from __future__ import annotations
@@ -81,13 +82,13 @@ def _host(host: str) -> Column:
 
 
 def shared_lines(rows: DataFrame, host: str = "source", text: str = "text",
-                 min_documents: int = MIN_DOCUMENTS, per_mille: int = HOST_PER_MILLE) -> tuple[DataFrame, DataFrame]:
-    """Lines of each distinct text (``_host, _text, _line, _words``) and those above their
-    host's limit (``_host, _line, n_docs``).
+                 min_documents: int = MIN_DOCUMENTS, per_mille: int = HOST_PER_MILLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of each distinct text (``_host, _text, _line, _words``), those above their
+    host's limit (``_host, _line, n_docs``), and the documents of each text (``_copies``).
 
     ``__llm_words`` sums over all rows with that host and text; a line without a
-    word is no line. Exact copies are one document, so a text is not taken for
-    boilerplate because it was crawled often.
+    word is no line. Every row is a document, copies too, so the lines of a page
+    that was crawled often are common lines.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text"),
@@ -96,12 +97,14 @@ def shared_lines(rows: DataFrame, host: str = "source", text: str = "text",
         "__llm_host", "__llm_text", F.xxhash64("__llm_norm").alias("__llm_line"),
         (F.length("__llm_norm") - F.length(F.translate("__llm_norm", " ", "")) + 1).cast("long").alias("__llm_n"))
     table = cut(lines.groupBy("__llm_host", "__llm_text", "__llm_line").agg(F.sum("__llm_n").alias("__llm_words")))
-    hosts = rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text")).groupBy("__llm_host", "__llm_text").agg(
-        F.lit(1)).groupBy("__llm_host").agg(F.count("*").alias("__llm_texts"))
-    limit = F.greatest(F.lit(min_documents), F.floor(F.col("__llm_texts") * per_mille / F.lit(1000)))
-    common = table.groupBy("__llm_host", "__llm_line").agg(F.count("*").alias("n_docs")).filter(
+    copies = cut(rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text")).groupBy(
+        "__llm_host", "__llm_text").agg(F.count("*").alias("__llm_copies")))
+    hosts = copies.groupBy("__llm_host").agg(F.sum("__llm_copies").alias("__llm_docs"))
+    limit = F.greatest(F.lit(min_documents), F.floor(F.col("__llm_docs") * per_mille / F.lit(1000)))
+    common = table.join(copies, ["__llm_host", "__llm_text"]).groupBy("__llm_host", "__llm_line").agg(
+        F.sum("__llm_copies").alias("n_docs")).filter(
         F.col("n_docs") > min_documents).join(hosts, "__llm_host").filter(F.col("n_docs") > limit)
-    return table, common.select("__llm_host", "__llm_line", "n_docs")
+    return table, common.select("__llm_host", "__llm_line", "n_docs"), copies
 
 
 def judge(rows: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
@@ -115,11 +118,9 @@ def judge(rows: DataFrame, host: str = "source", text: str = "text", **limits) -
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                "base_failed", "removed_words", "kept"]
     plain = rows.drop(*results)
-    table, common = shared_lines(plain, host, text, **limits)
+    table, common, copies = shared_lines(plain, host, text, **limits)
     lost = table.join(common, ["__llm_host", "__llm_line"]).groupBy("__llm_host", "__llm_text").agg(F.sum("__llm_words").alias("__llm_lost"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    copies = plain.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text")).groupBy(
-        "__llm_host", "__llm_text").agg(F.count("*").alias("__llm_copies"))
     lost = lost.join(copies, ["__llm_host", "__llm_text"]).select(
         "__llm_host", "__llm_text", F.expr("__llm_lost div __llm_copies").alias("removed_words"))
     keyed = figures(plain.withColumns({"__llm_host": _host(host), "__llm_text": F.xxhash64(body)}), text).drop(text)
@@ -140,7 +141,7 @@ def apply(rows: DataFrame, host: str = "source", text: str = "text", **limits) -
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.split(body, "\n")
-    _, common = shared_lines(rows, host, text, **limits)
+    _, common, _ = shared_lines(rows, host, text, **limits)
     named = rows.select(_host(host).alias("__llm_host"), F.xxhash64(body).alias("__llm_text"), F.posexplode(lines).alias("__llm_pos", "__llm_raw"))
     placed = compute_once(named, __llm_line=F.xxhash64(normalised(F.col("__llm_raw")))).drop("__llm_raw")
     out = placed.join(common, ["__llm_host", "__llm_line"]).groupBy("__llm_host", "__llm_text").agg(

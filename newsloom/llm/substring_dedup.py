@@ -31,6 +31,7 @@ from newsloom.session import cut
 WINDOW = 50
 LOWEST = -(1 << 63)
 BUCKET_BYTES = 12 << 20      # text whose windows make one bucket
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 ANCHORS, PROBES, PLACES = range(3)
 
 PACKED = "bucket int, kind int, keys binary, docs binary, at binary"
@@ -61,7 +62,7 @@ def _pack(block: int, buckets: int):
         return bucket, kind, keys.tobytes(), docs, at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wd.slices(batches):
+        for batch in wd.slices(batches, limit=SLICE_BYTES):
             text = wd.Words(batch.column("text"), wd.NOT_SPACE, lower=False)
             at, per_text = text.windows(block)
             if not len(at):
@@ -205,7 +206,7 @@ def _windows(window: int):
     block = window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wd.slices(batches):
+        for batch in wd.slices(batches, limit=SLICE_BYTES):
             text = wd.Words(batch.column("text"), wd.NOT_SPACE, lower=False)
             hits = batch.column("hits").to_pylist()
             owner = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
@@ -259,7 +260,7 @@ def dedupe(documents: DataFrame, key: str = "doc_id", text: str = "text", window
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    wd.small_batches(documents.sparkSession)
+    wd.small_batches(documents.sparkSession, BATCH_BYTES)
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _doc(key).alias("doc"),
                             F.col(f"`{text}`").alias("text"))
     hits = anchors(rows.select("doc", "text"), window, bucket_bytes).groupBy("doc").agg(F.collect_set("pos").alias("hits"))

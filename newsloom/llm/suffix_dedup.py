@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +70,19 @@ def gram_hashes(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``k`` bytes from each place on, by differences of one running sum; which of them repeat after two bytes."""
     up, down = _Powers.of(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up, out=total[1:])
-    h = (total[k:] - total[:-k]) * down[:len(data) - k + 1]
+    np.multiply(_BYTE[data], up, out=total[1:])
+    np.cumsum(total, out=total)
+    h = total[k:] - total[:-k]
+    h *= down[:len(h)]
     plain = np.zeros(len(h), bool)
     if k > 2:
-        inner = (total[k - 2:] - total[:-(k - 2)]) * down[:len(data) - k + 3]
+        inner = total[k - 2:] - total[:-(k - 2)]
+        inner *= down[:len(inner)]
         plain = inner[:-2] == inner[2:]
-    return wd.mix(h), plain
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_BASE)
+    h ^= h >> np.uint64(29)
+    return h, plain
 
 
 def _least(values: np.ndarray, w: int) -> np.ndarray:
@@ -99,14 +106,19 @@ def minimizer_runs(data: np.ndarray, bounds: np.ndarray, width: int, gram: int)
     if not per_piece.any():
         return none, none, none.view(np.uint64), none
     h, plain = gram_hashes(data, gram)
-    least = _least(np.where(plain, h | _TOP, h >> np.uint64(1)), width - gram + 1)
-    at = np.arange(per_piece.sum()) + np.repeat(bounds[:-1] - (np.cumsum(per_piece) - per_piece), per_piece)
-    piece = np.repeat(np.arange(len(per_piece)), per_piece)
-    least = least[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])
+    h >>= np.uint64(1)
+    h[plain] |= _TOP
+    least = _least(h, width - gram + 1)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    edge = np.concatenate((bounds[:-1], bounds[:-1] + per_piece))      # where a piece's windows begin and end
+    new[edge[edge < len(new)]] = True
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at))), wd.mix(least[first] + np.uint64(gram)), piece[first]
+    n = np.diff(np.append(first, len(new)))
+    piece = np.searchsorted(bounds, first, side="right") - 1
+    inside = first - bounds[piece] < per_piece[piece]
+    first, n, piece = first[inside], n[inside], piece[inside]
+    return first, n, wd.mix(least[first] + np.uint64(gram)), piece
 
 
 def pieces(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -511,18 +523,30 @@ def repeats(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket_bytes:
     return segments.groupBy("bucket").applyInArrow(_find(width), GONE).unionByName(copies)
 
 
-def _removed(size: int, ranges: list | None, width: int) -> np.ndarray:
-    """Bounds of the maximal removed runs of a text of ``size`` bytes, as rows (from, to)."""
-    if not ranges or size < width:
-        return np.zeros((0, 2), np.int64)
-    start, n = (np.array([r[c] for r in ranges], np.int64) for c in ("start", "n"))
-    if (n == WHOLE).any():
-        return np.array([[0, size]])
-    order = np.argsort(start)
-    start, end = start[order], np.maximum.accumulate((start + n + width - 1)[order])
-    new = np.append(True, start[1:] > end[:-1])
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)
-    return np.stack((start[new], end[last]), axis=1)
+class Ranges:
+    """The ranges of a column of texts; those of one text as bounds of the maximal removed runs, rows (from, to)."""
+
+    def __init__(self, column: pa.Array, width: int):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        self.width = width
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        self.first = np.concatenate(([0], np.cumsum(size)))
+        flat = column.flatten()
+        self.start, self.n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+
+    def of(self, row: int, size: int) -> np.ndarray:
+        own = slice(self.first[row], self.first[row + 1])
+        start, n = self.start[own], self.n[own]
+        if not len(start) or size < self.width:
+            return np.zeros((0, 2), np.int64)
+        if (n == WHOLE).any():
+            return np.array([[0, size]])
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate((start + n + self.width - 1)[order])
+        new = np.append(True, start[1:] > end[:-1])
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)
+        return np.stack((start[new], end[last]), axis=1)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
@@ -549,22 +573,24 @@ def dedupe(documents: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, lost, spans, sha = [], [], [], []
-            for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist()):
-                cuts = _removed(len(text), ranges, width).tolist()
+            ranges, n, sha, cuts = Ranges(batch.column("ranges"), width), [], [], []
+            for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                cuts.append(ranges.of(row, len(text)))
                 digest, at = hashlib.sha256(), 0
-                for first, last in cuts:
+                for first, last in cuts[-1].tolist():
                     digest.update(text[at:first])
                     at = last
                 digest.update(text[at:])
                 n.append(len(text))
-                lost.append(sum(b - a for a, b in cuts))
-                spans.append([{"first": a, "last": b - 1} for a, b in cuts])
                 sha.append(digest.hexdigest())
+            flat = np.concatenate(cuts) if cuts else np.zeros((0, 2), np.int64)
+            bounds = np.concatenate(([0], np.cumsum([len(c) for c in cuts])))
+            total = np.concatenate(([0], np.cumsum(flat[:, 1] - flat[:, 0])))
+            spans = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(
+                [pa.array(flat[:, 0].copy()), pa.array(flat[:, 1] - 1)], ["first", "last"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()),
-                 pa.array([len(s) for s in spans], pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total[bounds[1:]] - total[bounds[:-1]]),
+                 pa.array(np.diff(bounds).astype(np.int64)), pa.array(sha, pa.string()), spans],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return rows.join(gone, ["doc", "mark"], "left").select("doc_id", "text", "ranges").mapInArrow(finish, DIGEST)
@@ -582,11 +608,13 @@ def apply(documents: DataFrame, key: str = "doc_id", text: str = "text", **limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, texts = batch.schema.get_field_index(text), []
-            for t, ranges in zip(batch.column(at).to_pylist(), batch.column("__llm_ranges").to_pylist()):
-                if ranges and t:
-                    raw, kept, end = t.encode(), [], 0
-                    for first, last in _removed(len(raw), ranges, width).tolist():
+            at, texts, ranges = batch.schema.get_field_index(text), [], Ranges(batch.column("__llm_ranges"), width)
+            for row, t in enumerate(batch.column(at).to_pylist()):
+                raw = (t or "").encode()
+                cuts = ranges.of(row, len(raw)).tolist()
+                if cuts:
+                    kept, end = [], 0
+                    for first, last in cuts:
                         kept.append(raw[end:first])
                         end = last
                     t = b"".join([*kept, raw[end:]]).decode(errors="replace")

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from newsloom.llm import decontamination, license_scan, pii, quality_lm, quality_rules
 from newsloom.llm import words as wd
@@ -102,14 +104,38 @@ def test_remove_contaminated(rows, crowded, none, monkeypatch):
     want = sorted(d for d, w in wanted_hits([r for r in corpus() if len(r[1] or "") < 4000], items).items() if d and not w[4])
     big = {r[0] for r in corpus() if len(r[1] or "") >= 4000}
     for limit in (decontamination.BLOCK_WORDS, 100):
-        monkeypatch.setattr(decontamination, "BLOCK_WORDS", limit)
-        out = decontamination.remove(crowded, bench)
+        out = decontamination.remove(crowded, bench, block_words=limit)
         assert out.columns == crowded.columns
         assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] and r["doc_id"] not in big) == want
     assert decontamination.remove(none, bench).collect() == []
     assert decontamination.remove(crowded, bench.limit(0)).count() == crowded.count()
 
 
+def test_rows_with_equal_or_null_ids_stay(rows):
+    passage, other = prose(900, 70), prose(901, 70)
+    table = [(1, f"x {passage}"), (1, "clean text"), (None, f"y {other}"), (None, None)]
+    docs, bench = rows("row_id long, text string", table), rows("item_id long, text string", [(1, passage), (2, other)])
+    want = sorted([(1, 71, 70, True), (1, 2, 0, False), (None, 71, 70, True), (None, 0, 0, False)], key=str)
+    for limit in (500_000, 40):
+        got = decontamination.judge(docs, bench, block_words=limit).collect()
+        assert sorted([(r["row_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in got], key=str) == want
+        assert sorted(r["text"] for r in decontamination.remove(docs, bench, block_words=limit).collect() if r["text"]) == ["clean text"]
+
+
+def test_repeats_on_both_sides_stay_small():
+    import tracemalloc
+    bench = decontamination.Benchmark(pa.table({"item_id": ["7", "8"], "text": ["a " * 2000, "b a a " * 300]}), 13)
+    batch = pa.RecordBatch.from_pydict({"row_id": [1, 2], "text": ["a " * 200_000, "x " + "b a a " * 500]})
+    tracemalloc.start()
+    (found,) = decontamination._search(bench)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = found.to_pylist()
+    assert [r["n_words"] for r in rows] == [200_000, 1501] and [r["longest"] for r in rows] == [2000, 900]
+    assert set(rows[0]["item_ids"]) == {"7"} and set(rows[1]["item_ids"]) == {"8"}
+    assert peak < 1 << 30
+
+
 def test_suffix_array_is_sorted_and_searched():
     rng = np.random.default_rng(1)
     hashes = rng.choice(rng.integers(0, 2**64, 6, dtype=np.uint64), 400)
@@ -180,8 +206,17 @@ def test_shared_lines_reject(rows):
     shared = prose(99, 70)
     table = [(i, "h", f"{t}\n{shared}") for i, t in enumerate(own)] + [(50 + i, "h", own[0]) for i in range(8)] + [(90, "other", f"{own[1]}\n{shared}"), (91, None, own[2])]
     got = {r["doc_id"]: r for r in quality_rules.judge(rows("doc_id long, source string, text string", table), min_documents=5).collect()}
-    assert all(not got[i]["kept"] and got[i]["removed_words"] == 70 for i in range(8))
-    assert all(got[i]["kept"] and got[i]["removed_words"] == 0 for i in (*range(50, 58), 90, 91))
+    assert all(not got[i]["kept"] and got[i]["removed_words"] == 70 for i in range(1, 8))
+    # The first text stands in nine documents, so its own line is a common one too.
+    assert got[0]["removed_words"] == 130
+    assert all(not got[i]["kept"] and got[i]["removed_words"] == 60 for i in range(50, 58))
+    assert all(got[i]["kept"] and got[i]["removed_words"] == 0 for i in (90, 91))
+
+
+def test_a_page_crawled_often_is_boilerplate(rows):
+    table = [(i, "h", prose(7, 80)) for i in range(3000)] + [(5000 + i, "h", prose(100 + i, 80)) for i in range(40)]
+    got = quality_rules.judge(rows("doc_id long, source string, text string", table)).collect()
+    assert {(r["doc_id"] < 5000, r["kept"], r["removed_words"]) for r in got} == {(True, False, 80), (False, True, 0)}
 
 
 def test_shared_lines_are_taken_out(rows):
@@ -218,13 +253,55 @@ def test_pseudonyms_keep_format_and_go_back(rows):
     assert out[5:10] == texts[5:10] and "300.1.1.1" in out[2] and "01.2.3.4" in out[2] and "10.0.0.1" not in out[2]
     assert "2023-02-30" in out[3] and "1899-12-31" in out[3] and "666-12-3456" in out[4]
     assert [tuple(got[i][f"n_{k}"] for k in pii.KINDS) for i in (0, 1, 2, 3, 4, 6)] == [
-        (3, 0, 0, 0, 0), (0, 0, 0, 2, 0), (0, 0, 1, 0, 0), (0, 3, 0, 0, 0), (0, 0, 0, 0, 1), (0, 0, 0, 0, 0)]
+        (3, 0, 0, 0, 0, 0), (0, 0, 0, 0, 2, 0), (0, 0, 0, 1, 0, 0), (0, 3, 0, 0, 0, 0), (0, 0, 0, 0, 0, 1), (0, 0, 0, 0, 0, 0)]
     back = pii.pseudonymize(new, "secret", back=True)
     assert [r["text"] for r in back.orderBy("id").collect()] == texts
     other = pii.pseudonymize(table, "another").orderBy("id").collect()
     assert other[0]["text"] != out[0]
 
 
+def feistel(left, right, a, b, key, kind):
+    """The permutation by its definition."""
+    for i in range(1, pii.ROUNDS + 1):
+        value, modulus = (right, a) if i % 2 else (left, b)
+        mac = hashlib.sha256("|".join((key, kind, str(i), str(value), key)).encode()).hexdigest()
+        moved = int(mac[:15], 16) % modulus
+        left, right = ((left + moved) % a, right) if i % 2 else (left, (right + moved) % b)
+    return left, right
+
+
+def iban_ok(text):
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_more_formats(rows):
+    texts = ["01/31/2024 12/25/1990 02/29/2024 02/29/1999", "2024/01/31 2024/13/01", "31 Jan 2024 and 30 Feb 2024",
+             "3782 822463 10005 and 378282246310005", "212.555.0100, 1-800-555-0199 (212)555-0100",
+             "DE89 3704 0044 0532 0130 00 DE89370400440532013000 GB82WEST12345698765432 DE88370400440532013000"]
+    table = rows("id int, text string", list(enumerate(texts)))
+    new = pii.pseudonymize(table, "secret")
+    got = new.orderBy("id").collect()
+    out = [r["text"] for r in got]
+    assert [tuple(r[f"n_{k}"] for k in ("date", "card", "phone", "iban")) for r in got] == [
+        (3, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 0), (0, 2, 0, 0), (0, 0, 3, 0), (0, 0, 0, 3)]
+    months = [d.split("/") for d in out[0].split()]
+    assert all(int(m) <= 12 < int(d) for m, d, _ in months) and out[0].split()[3] == "02/29/1999"
+    assert months[2][:2] == ["02", "29"] and int(months[2][2]) % 4 == 0
+    cards = re.findall("[0-9 ]{15,}", out[3].replace(" and ", ";"))
+    assert cards[0].replace(" ", "") == cards[1] != "378282246310005" and luhn(cards[1])
+    ibans = re.findall(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4})+(?: ?[A-Z0-9]{2})?", out[5])
+    assert ibans[0].replace(" ", "") == ibans[1] != "DE89370400440532013000" and all(map(iban_ok, ibans[:3])) and ibans[2][4:8] == "WEST"
+    assert out[5].endswith("DE88370400440532013000")
+    assert [r["text"] for r in pii.pseudonymize(new, "secret", back=True).orderBy("id").collect()] == texts
+    first, days = date(1900, 1, 1), [0, 5, 45_321, 73_048]
+    moved = [feistel(n // 319, n % 319, 229, 319, "secret", "date") for n in days]
+    one = pii.pseudonymize(rows("text string", [(" ".join((first + timedelta(n)).isoformat() for n in days),)]), "secret").head()
+    assert one["text"].split() == [(first + timedelta(a * 319 + b)).isoformat() for a, b in moved]
+    empty = pii.pseudonymize(table.limit(0), "secret")
+    assert empty.collect() == [] and empty.columns == new.columns
+
+
 def test_pseudonyms_in_timestamps_urls_and_paths(rows):
     texts = ["2024-01-31T10:00:00Z and 2024-01-31", "http://10.0.0.1/x 10.0.0.1", "10.0.0.1/24 10.0.0.1/2024", "/logs/2024-01-31/a-2024-01-31.txt 2024-01-31/2024-02-01",
              "ip-10.0.0.1", "2024-01-31Tx 12-2024-01-31 1.2024-01-31 -2024-01-31 1.10.0.0.1 10.0.0.1-5 v.1.2.3.4"]
