@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,28 +49,54 @@ def _code_point(reference: Column) -> Column:
     )
 
 
-def _named(reference: Column, names: Column) -> Column:
-    """The text of a named reference; of one without an end the longest known beginning counts."""
-    name = F.substring(reference, F.lit(2), F.length(reference))
-    known = F.filter(
-        F.transform(F.sequence(F.length(name), F.lit(1), F.lit(-1)), lambda n: F.substring(name, F.lit(1), n)),
-        lambda part: F.map_contains_key(names, part))
-    best = F.get(known, 0)
-    rest = F.substring(name, F.length(best) + 1, F.length(name))
-    return F.when(best.isNull(), reference).otherwise(F.concat(F.try_element_at(names, best), rest))
+NAME_TABLES = 1024           # a map is searched from its start, so the names are dealt to small ones
+_OLD = 6                     # letters of the longest name that is known without its semicolon
+
+
+def _name_tables() -> Column:
+    """The table of HTML 5 (of the standard library), dealt by the checksum of a name."""
+    tables: list[dict[str, str]] = [{} for _ in range(NAME_TABLES)]
+    for name, characters in html5.items():
+        tables[crc32(name.encode()) % NAME_TABLES][name] = characters
+    return F.from_json(F.lit(json.dumps(tables)), "array<map<string,string>>")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _named(reference: Column, tables: Column) -> Column:
+    """The text of a named reference. Without a known end, the longest old name that it begins with counts."""
+    def look_up(name: Column) -> Column:
+        slot = F.pmod(F.crc32(name.cast("binary")), F.lit(NAME_TABLES)).cast("int")
+        return F.try_element_at(F.get(tables, slot), name)
+
+    def beginning(n: int) -> Column:
+        end = F.lit(n + 1)
+        return F.when(F.length(reference) >= end, F.concat(
+            look_up(F.substring(reference, F.lit(2), F.lit(n))), F.substring(reference, end + 1, F.length(reference))))
+
+    whole = F.when(F.endswith(reference, F.lit(";")), look_up(F.substring(reference, F.lit(2), F.length(reference))))
+    return F.coalesce(whole, *[beginning(n) for n in range(_OLD, 1, -1)], reference)
 
 
 def decode_entities(col: Column) -> Column:
-    """Character references decoded once, by the table of HTML 5 (of the standard library).
+    """Character references decoded once.
 
     References are taken out of the text, decoded, and put back between its
     other parts; texts without an ampersand are left alone.
     """
-    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
-    found = F.regexp_extract_all(col, F.lit(_REFERENCE), F.lit(0))
-    decoded = F.transform(found, lambda r: F.when(F.startswith(r, F.lit("&#")), _code_point(r)).otherwise(_named(r, names)))
-    parts = F.zip_with(F.split(col, _REFERENCE, -1), decoded, lambda t, d: F.concat(t, F.coalesce(d, F.lit(""))))
-    return F.when(F.contains(col, F.lit("&")), F.array_join(parts, "")).otherwise(col)
+    tables = _name_tables()
+
+    def decode(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+        decoded = F.transform(
+            found, lambda r: F.when(F.startswith(r, F.lit("&#")), _code_point(r)).otherwise(_named(r, tables)))
+        parts = F.zip_with(F.split(text, _REFERENCE, -1), decoded, lambda t, d: F.concat(t, F.coalesce(d, F.lit(""))))
+        return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+    return _let(col, decode)
 
 
 def clean_html(col: Column) -> Column:

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import lexicon as lx
 from newsloom.functions import text as tx
 from newsloom.functions import values as vl
-
-
-def union_feeds(*feeds: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
+from newsloom.functions.once import compute_once
 
 
 def first_per_feed(entries: DataFrame, limit: int | None = lx.ITEMS_PER_FEED) -> DataFrame:
@@ -35,23 +30,21 @@ def first_per_feed(entries: DataFrame, limit: int | None = lx.ITEMS_PER_FEED) ->
 def news_items(
     entries: DataFrame, fetched_at: Column, limit: int | None = lx.ITEMS_PER_FEED
 ) -> DataFrame:
-    """News rows of the entries; entries without a headline are dropped."""
-    cut = first_per_feed(entries, limit)
-    return (
-        cut.withColumn("headline", tx.clean_html(F.col("title")))
-        .filter(F.col("headline") != "")
-        .select(
-            vl.stable_id(F.col("source"), F.col("link"), F.col("id"), F.col("title")).alias(
-                "news_id"
-            ),
-            "source",
-            "headline",
-            tx.full_text(F.col("headline"), tx.clean_html(F.col("summary"))).alias("full_text"),
-            F.coalesce("link", F.lit("")).alias("url"),
-            vl.entry_time(F.col("published"), F.col("updated")).alias("published_at"),
-            fetched_at.alias("fetched_at"),
-            "pos",
-        )
+    """News rows of the entries; entries without a headline are dropped.
+
+    Each cleaning is one generated row, so that nothing above repeats it.
+    """
+    named = compute_once(first_per_feed(entries, limit), headline=tx.clean_html(F.col("title"))).filter(F.col("headline") != "")
+    cleaned = compute_once(named, _summary=tx.clean_html(F.col("summary")))
+    return compute_once(cleaned, full_text=tx.full_text(F.col("headline"), F.col("_summary"))).select(
+        vl.stable_id(F.col("source"), F.col("link"), F.col("id"), F.col("title")).alias("news_id"),
+        "source",
+        "headline",
+        "full_text",
+        F.coalesce("link", F.lit("")).alias("url"),
+        vl.entry_time(F.col("published"), F.col("updated")).alias("published_at"),
+        fetched_at.alias("fetched_at"),
+        "pos",
     )
 
 

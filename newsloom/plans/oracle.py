@@ -128,7 +128,7 @@ def sql(body: str, *needs: str, recursive: bool = False) -> str:
         return body
     word = "WITH RECURSIVE" if recursive else "WITH"
     # The recursion reads "late" in each of its steps: compute it once.
-    kind = {"late": "AS MATERIALIZED"}
+    kind = dict.fromkeys(("late", "late2", "late3"), "AS MATERIALIZED")
     return f"{word} " + ",\n".join(
         f"{n} {kind.get(n, 'AS')} ({CTE[n][1]})" for n in order
     ) + "\n" + body
@@ -454,20 +454,20 @@ cte("near", """
     HAVING count(*) * 182 >= 82 * (a.n + b.n)""", "words")
 
 
-def greedy(pairs: str) -> None:
+def greedy(pairs: str, mark: str = "") -> None:
     """CTEs that walk through the pair table; ``dropped`` is the last state."""
-    cte("late", f"""
+    cte(f"late{mark}", f"""
     SELECT id, list(other) AS others, row_number() OVER (ORDER BY id) AS step
     FROM {pairs} GROUP BY id""", pairs)
-    cte("walk", """
+    cte(f"walk{mark}", f"""
     SELECT 0::BIGINT AS step, []::BIGINT[] AS dropped
     UNION ALL
     SELECT l.step,
-      CASE WHEN len(list_filter(l.others, lambda o: NOT list_contains(walk.dropped, o))) > 0
-           THEN list_append(walk.dropped, l.id) ELSE walk.dropped END
-    FROM walk JOIN late l ON l.step = walk.step + 1""", "late")
-    cte("dropped", "SELECT unnest(dropped) AS id FROM walk WHERE step = (SELECT max(step) FROM walk)",
-        "walk")
+      CASE WHEN len(list_filter(l.others, lambda o: NOT list_contains(walk{mark}.dropped, o))) > 0
+           THEN list_append(walk{mark}.dropped, l.id) ELSE walk{mark}.dropped END
+    FROM walk{mark} JOIN late{mark} l ON l.step = walk{mark}.step + 1""", f"late{mark}")
+    cte(f"dropped{mark}", f"SELECT unnest(dropped) AS id FROM walk{mark} WHERE step = (SELECT max(step) FROM walk{mark})",
+        f"walk{mark}")
 
 
 greedy("near")
@@ -478,6 +478,17 @@ cte("doc_flags", """
       doc_id NOT IN (SELECT id FROM dropped) AS kept
     FROM docwords""", "docwords", "dropped")
 ORACLE["lexical_dedup_kept"] = sql("SELECT * FROM doc_flags", "doc_flags", recursive=True)
+
+# Two runs: the place of a document is its rank with the labelled ones first.
+cte("places", """
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id NOT IN (SELECT doc_id FROM labels), doc_id) AS place FROM documents""")
+cte("near2", """
+    SELECT greatest(a.place, b.place) AS id, least(a.place, b.place) AS other
+    FROM near n JOIN places a ON a.doc_id = n.id JOIN places b ON b.doc_id = n.other""", "near", "places")
+greedy("near2", "2")
+ORACLE["incremental_dedup_kept"] = sql(
+    """SELECT doc_id, len(fp) AS fp_size, place NOT IN (SELECT id FROM dropped2) AS kept
+    FROM docwords JOIN places USING (doc_id)""", "docwords", "places", "dropped2", recursive=True)
 cte("left_over", "SELECT * FROM signals WHERE doc_id IN (SELECT doc_id FROM doc_flags WHERE kept)",
     "signals", "doc_flags")
 ORACLE["deduped_signal_counts"] = sql(counts("left_over", DIMS), "left_over", recursive=True)
@@ -490,6 +501,14 @@ greedy("close_vectors")
 ORACLE["vector_dedup_kept"] = sql(
     "SELECT vec_id, vec_id NOT IN (SELECT id FROM dropped) AS kept FROM embeddings",
     "dropped", recursive=True)
+cte("vec_places", "SELECT vec_id, row_number() OVER (ORDER BY label % 2, vec_id) AS place FROM embeddings")
+cte("close3", """
+    SELECT greatest(a.place, b.place) AS id, least(a.place, b.place) AS other
+    FROM close_vectors c JOIN vec_places a ON a.vec_id = c.id JOIN vec_places b ON b.vec_id = c.other""",
+    "close_vectors", "vec_places")
+greedy("close3", "3")
+ORACLE["incremental_vectors_kept"] = sql(
+    "SELECT vec_id, place NOT IN (SELECT id FROM dropped3) AS kept FROM vec_places", "vec_places", "dropped3", recursive=True)
 
 cte("raw_tickers", f"""
     SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS n
@@ -509,6 +528,11 @@ ORACLE["keyword_hits"] = sql(
     f"""SELECT keyword, count(*) AS n
     FROM (SELECT lower(full_text) AS low FROM news), (SELECT unnest({array(ALL_KEYWORDS)}) AS keyword)
     WHERE contains(low, keyword) GROUP BY 1""", "news")
+ORACLE["keyword_table_hits"] = """
+WITH keywords AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{7,}')) AS keyword FROM documents)
+SELECT keyword, count(*) AS n FROM keywords JOIN (SELECT lower(text) AS low FROM documents) ON contains(low, keyword)
+GROUP BY keyword"""
 ORACLE["freshness"] = sql(
     "SELECT news_id, fresh AS score, fresh_reason AS reason FROM signals", "signals")
 ORACLE["specificity_language"] = sql(
@@ -642,7 +666,7 @@ ORACLE["price_at_signal"] = sql(
       WHERE i <= 4 GROUP BY news_id) p ON p.news_id = s.news_id""", "rsignals", "quotes")
 
 cte("new_rows", """SELECT news_id, suggestion, confidence, doc_id::DOUBLE AS price_at_signal
-    FROM signals""", "signals")
+    FROM signals WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 1)""", "signals")
 cte("old_rows", """
     SELECT news_id, 'WATCH' AS suggestion, 0.5::DOUBLE AS confidence,
       CASE WHEN toxic = 0 THEN 1.25::DOUBLE END AS price_at_signal
@@ -653,11 +677,13 @@ ORACLE["upsert_ignore"] = sql(
     "old_rows", "new_rows")
 ORACLE["upsert_last"] = sql(
     """SELECT news_id, suggestion, 0.35::DOUBLE AS confidence, price_at_signal, 2 AS version
-    FROM new_rows""", "new_rows")
+    FROM new_rows
+    UNION ALL SELECT *, 0 FROM old_rows WHERE news_id NOT IN (SELECT news_id FROM new_rows)""", "new_rows", "old_rows")
 ORACLE["upsert_first_price"] = sql(
     """SELECT n.news_id, n.suggestion, n.confidence,
       coalesce(o.price_at_signal, n.price_at_signal) AS price_at_signal
-    FROM new_rows n LEFT JOIN old_rows o USING (news_id)""", "new_rows", "old_rows")
+    FROM new_rows n LEFT JOIN old_rows o USING (news_id)
+    UNION ALL SELECT * FROM old_rows WHERE news_id NOT IN (SELECT news_id FROM new_rows)""", "new_rows", "old_rows")
 ORACLE["referenced_signals"] = sql(
     "SELECT news_id, suggestion FROM signals WHERE doc_id IN (SELECT doc_id FROM labels)",
     "signals")
@@ -709,12 +735,68 @@ ORACLE["alert_log_top"] = sql(
 
 ORACLE["run_stats"] = sql(
     """SELECT 2 * count(*) AS fetched, count(DISTINCT news_id) AS inserted,
-      2 * count(*) - count(DISTINCT news_id) AS duplicates,
-      count(DISTINCT news_id) AS processed, 0 AS errors FROM items""", "items")
+      2 * count(*) - count(*) FILTER (pos % 31 = 0) - count(DISTINCT news_id) AS duplicates,
+      count(DISTINCT news_id) AS processed, count(*) FILTER (pos % 31 = 0) AS errors, 'ok' AS status FROM items""", "items")
+ORACLE["run_twice"] = sql(
+    """SELECT news_id, arg_min(source, pos) AS source, arg_min(headline, pos) AS headline,
+      arg_min(full_text, pos) AS full_text, arg_min(url, pos) AS url,
+      arg_min(row(published_at), pos)[1] AS published_at, 1 AS n_signals, 1 AS n_keys
+    FROM items GROUP BY news_id""", "items")
+ORACLE["alerts_outbox"] = sql(
+    """SELECT news_id, 'webhook' AS channel, 'sent' AS status, 1 AS n_handed FROM due
+    UNION ALL SELECT news_id, 'telegram', 'unconfirmed', 1 FROM due""", "due")
 ORACLE["stream_signals"] = sql(
     """SELECT news_id, array_to_string(stocks, '|') AS stocks, suggestion, confidence,
       signal_score, priority FROM signals""", "signals")
-ORACLE["stream_alerts_once"] = sql(f"SELECT news_id, {MESSAGE} FROM due", "due")
+ORACLE["stream_alerts_once"] = ORACLE["stream_alerts_expiring"] = sql(f"SELECT news_id, {MESSAGE} FROM due", "due")
+
+
+# --- result documents: JSON texts in which a missing value leaves its field out ---
+
+SIGNAL_FIELDS = {
+    **{c: c for c in ("news_id", "source", "headline", "full_text", "url", "published_at", "fetched_at", "stocks", "event_type",
+                      "sentiment", "impact_horizon", "suggestion")},
+    "confidence": "confidence::DOUBLE", "signal_score": "signal_score",
+    **{c: c for c in ("priority", "risk_level", "confidence_reasons", "reasoning", "model_name")},
+    "processed_at": f"'{samples.AS_OF.replace(' ', 'T')}.000Z'",
+}
+SIGNAL_JSON = ("json_merge_patch('{}', json_object(" + ", ".join(f"'{k}', {v}" for k, v in SIGNAL_FIELDS.items()) + "))::VARCHAR")
+
+
+def listed(rows: str, value: str, order: str) -> str:
+    return f"(SELECT '[' || coalesce(string_agg({value}, ',' ORDER BY {order}), '') || ']' FROM {rows})"
+
+
+def counted(rows: str, column: str) -> str:
+    return (f"(SELECT '{{' || coalesce(string_agg(to_json({column})::VARCHAR || ':' || n, ',' ORDER BY {column}), '') || '}}' "
+            f"FROM (SELECT {column}, count(*) AS n FROM {rows} GROUP BY {column}))")
+
+
+def document(rows: str, ticker: str | None = None) -> str:
+    """The document of the CTE ``rows``, which has ``feed_pos``."""
+    mentions(f"{rows}_mentions", rows)
+    cte(f"{rows}_top", f"SELECT * FROM {rows}_mentions ORDER BY n DESC, first_seen LIMIT 8", f"{rows}_mentions")
+    cte(f"{rows}_queue", f"""SELECT * FROM {rows} WHERE suggestion IN ('BUY', 'SELL')
+    ORDER BY priority = 'HIGH' DESC, abs(signal_score) DESC, confidence DESC, feed_pos LIMIT 6""", rows)
+    kinds = {k: f"count(*) FILTER (suggestion = '{k.upper()}')" for k in ("buy", "sell", "watch", "hold")}
+    totals = {
+        "total": "count(*)", **kinds, "avg_confidence": f"coalesce({mean(SUM_CONF, 2)}, 0.0)",
+        "avg_score": f"coalesce({mean('10 * ' + SUM_SCORE, 1)}, 0.0)", "high_priority": "count(*) FILTER (priority = 'HIGH')"}
+    parts = [f"""'"{k}":' || (SELECT to_json({v})::VARCHAR FROM {rows})""" for k, v in totals.items()]
+    parts += [f"""'"{k}":' || {counted(rows, v)}""" for k, v in DIMS.items()]
+    parts += [
+        f"""'"top_stocks":' || {listed(f"{rows}_top", "json_object('ticker', ticker, 'n', n)::VARCHAR", "n DESC, first_seen")}""",
+        f"""'"action_queue":' || {listed(f"{rows}_queue", SIGNAL_JSON, "priority = 'HIGH' DESC, abs(signal_score) DESC, confidence DESC, feed_pos")}""",
+        f"""'"generated_at":"{samples.AS_OF.replace(' ', 'T')}"'"""]
+    head = f"""'"ticker":"{ticker}",' || """ if ticker else ""
+    summary = " || ',' || ".join(parts)
+    return f"""SELECT '{{' || {head}'"signals":' || {listed(rows, SIGNAL_JSON, "feed_pos")} || ',"summary":{{' || {summary} || '}}}}' AS document"""
+
+
+cte("stock_rows", f"""SELECT *, row_number() OVER (ORDER BY {NEWEST}) AS feed_pos
+    {top("array_to_string(stocks, ',') || ',' ILIKE '%TCS.NS%'")}""", "signals")
+ORACLE["result_document"] = sql(document("feed"), "feed", "feed_mentions", "feed_top", "feed_queue")
+ORACLE["stock_document"] = sql(document("stock_rows", "TCS.NS"), "stock_rows", "stock_rows_mentions", "stock_rows_top", "stock_rows_queue")
 
 # Regular expressions must not see doubled backslashes.
 assert not any(re.search(r"\\\\p\{", text) for text in ORACLE.values())

@@ -18,10 +18,11 @@ from newsloom import schemas
 from newsloom.functions import text as tx
 from newsloom.functions import values as vl
 from newsloom.operators import (
-    alerts, dedup, extract, feed, ingest, prices, scoring, summary,
+    alerts, dedup, extract, feed, ingest, keywords, prices, scoring, summary,
 )
-from newsloom.session import pin, use_checkpoint_dir
-from newsloom.sources import samples, tables
+from newsloom.plans import outbox, run
+from newsloom.session import cut, pin, use_checkpoint_dir
+from newsloom.sources import known, samples, tables, vectors
 from newsloom.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +33,11 @@ VECTOR_THRESHOLD = 1.25     # the supplied vectors have no pair below 0.18
 
 def query(fn: Query) -> Query:
     @wraps(fn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(pin(spark), sf_dir)
 
-    QUERIES[fn.__name__] = run
-    return run
+    QUERIES[fn.__name__] = pinned
+    return pinned
 
 
 def joined(name: str) -> Column:
@@ -199,10 +200,30 @@ def lexical_dedup_kept(spark, sf):
     return _document_flags(spark, sf).select("doc_id", big("fp_size"), "exact_copy", "kept")
 
 
+@query
+def incremental_dedup_kept(spark, sf):
+    """Documents in two runs over one store, the labelled ones first."""
+    store = tables.Store(spark, _run_folder(spark)).create("fingerprints", "postings", "word_order")
+    docs, first = samples.table(spark, sf, "documents"), samples.stored_docs(spark, sf).select("doc_id")
+    runs = [docs.join(first, "doc_id", how).select("doc_id", "text") for how in ("left_semi", "left_anti")]
+    flags = [known.lexical_run(store, rows, f"run-{i}", "doc_id", "text", "doc_id")[0] for i, rows in enumerate(runs)]
+    return flags[0].unionByName(flags[1]).select("doc_id", big("fp_size"), "kept")
+
+
 @query
 def vector_dedup_kept(spark, sf):
-    vectors = samples.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return dedup.vector_dedup(vectors, "vec_id", "vec_id", threshold=VECTOR_THRESHOLD)
+    rows = samples.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return dedup.vector_dedup(rows, "vec_id", "vec_id", threshold=VECTOR_THRESHOLD)
+
+
+@query
+def incremental_vectors_kept(spark, sf):
+    """Vectors in two runs over one store, those of even labels first."""
+    store = tables.Store(spark, _run_folder(spark)).create("embeddings", "vector_pivots", "vector_cells")
+    rows = samples.table(spark, sf, "embeddings")
+    runs = [rows.filter(F.pmod("label", F.lit(2)) == i).select("vec_id", "embedding") for i in (0, 1)]
+    flags = [vectors.semantic_run(store, r, f"run-{i}", "vec_id", "vec_id", VECTOR_THRESHOLD, cell_rows=64)[0] for i, r in enumerate(runs)]
+    return flags[0].unionByName(flags[1])
 
 
 @query
@@ -264,6 +285,14 @@ def keyword_hits(spark, sf):
     return extract.keyword_hits(samples.news(spark, sf), "full_text", ALL_KEYWORDS)
 
 
+@query
+def keyword_table_hits(spark, sf):
+    """Documents that hold each long word of any document, as a substring."""
+    docs = samples.table(spark, sf, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{7,}"), F.lit(0))).alias("keyword"))
+    return keywords.keyword_counts(docs, words, "doc_id", "text")
+
+
 @query
 def freshness(spark, sf):
     f = scoring.freshness(F.col("published_at"), F.col("fetched_at"), samples.as_of())
@@ -377,13 +406,13 @@ def date_custom(spark, sf):
 
 
 def _sorted_query(mode: str) -> None:
-    def run(spark, sf):
+    def ranked(spark, sf):
         shown = feed.explore(positioned_feed(spark, sf), samples.as_of(), sort=mode)
         rank = F.row_number().over(feed.Window.orderBy(*feed.sort_keys(mode)))
         return brief(shown.withColumn("rank", rank), big("rank"))
 
-    run.__name__ = f"feed_sorted_{mode}"
-    query(run)
+    ranked.__name__ = f"feed_sorted_{mode}"
+    query(ranked)
 
 
 for _mode in ("newest", "oldest", "score", "confidence", "priority"):
@@ -519,18 +548,17 @@ def price_at_signal(spark, sf):
 
 def _old_and_new(spark, sf):
     """Stored signals (labelled documents; the price is missing where the label
-    says toxic) and the new signals of all documents."""
-    new = rule_signals(spark, sf, "doc_id").withColumn(
+    says toxic) and new signals of all documents but those labelled as bad."""
+    every = rule_signals(spark, sf, "doc_id").withColumn(
         "price_at_signal", F.col("doc_id").cast("double")
-    )
-    labels = samples.stored_docs(spark, sf)
-    old = new.join(labels, "doc_id").select(
+    ).join(samples.stored_docs(spark, sf), "doc_id", "left")
+    old = every.filter("quality is not null").select(
         "news_id",
         F.lit("WATCH").alias("suggestion"),
         F.lit(0.5).alias("confidence"),
         F.when(F.col("toxic") == 0, F.lit(1.25)).alias("price_at_signal"),
     )
-    return old, new.select(*old.columns)
+    return old, every.filter("quality is null or quality = 1").select(*old.columns)
 
 
 @query
@@ -599,11 +627,41 @@ def _log_rows(rows):
 @query
 def alerts_new(spark, sf):
     """Due on two channels, of which the log knows one."""
-    due, log = response_signals(spark, sf), _alert_log(spark, sf)
+    due = cut(response_signals(spark, sf).filter(alerts.should_alert()))
+    log = _alert_log(spark, sf)
     rows = [alerts.new_alerts(due, log, samples.as_of(), channel) for channel in ("local", "webhook")]
     return rows[0].unionByName(rows[1]).select("news_id", "channel", "status")
 
 
+@query
+def alerts_outbox(spark, sf):
+    """Alerts of one batch on two channels, delivered twice; one hook dies after it has sent."""
+    folder = _run_folder(spark)
+    store = tables.Store(spark, folder).create("alert_log", "outbox")
+    due = cut(response_signals(spark, sf).filter(alerts.should_alert()))
+    none = spark.createDataFrame([], schemas.ALERTS)
+    handed = f"{folder}/handed"
+    none.select("news_id", "channel").write.parquet(handed)
+
+    def hook(dies: bool):
+        def send(rows):
+            rows.select("news_id", "channel").write.mode("append").parquet(handed)
+            if dies:
+                raise ConnectionError("no answer")
+            return rows.withColumn("status", F.lit("sent"))
+        return send
+
+    for channel, dies in (("webhook", False), ("telegram", True)):
+        rows = alerts.new_alerts(due, none, samples.as_of(), channel)
+        for _ in range(2):
+            try:
+                outbox.deliver_once(store, rows, channel, hook(dies), "batch")
+            except ConnectionError:
+                pass
+    got = spark.read.parquet(handed).groupBy("news_id", "channel").agg(F.count("*").alias("n_handed"))
+    return store.read("alert_log").join(got, ["news_id", "channel"], "left").select("news_id", "channel", "status", "n_handed")
+
+
 @query
 def alert_messages(spark, sf):
     none = spark.createDataFrame([], schemas.ALERTS)
@@ -624,38 +682,43 @@ def alert_log_top(spark, sf):
 
 # --- runs ------------------------------------------------------------------------------
 
+def _feed_run(spark, sf, store, times: int = 1) -> None:
+    """One batch over all feed entries, run ``times`` times. Each page is delivered twice,
+    the second time some come without a source."""
+    entries = samples.feed_entries(spark, sf)
+    nameless = F.when(F.pmod("pos", F.lit(31)) == 0, F.lit(None)).otherwise(F.col("source"))
+    again = entries.withColumn("source", nameless).withColumn("pos", F.col("pos") + 1_000_000_000)
+    settings = run.Settings(feeds=samples.feeds(spark), bars=samples.prices(spark, sf), limit=None)
+    for _ in range(times):
+        run.run_batch(spark, store, entries.unionByName(again), settings, samples.as_of(), "feed-batch")
+
+
 @query
 def run_stats(spark, sf):
-    """Counts of a run over all feed entries, each page delivered twice."""
-    entries = samples.feed_entries(spark, sf)
-    twice = entries.unionByName(entries.withColumn("pos", F.col("pos") + 1_000_000_000))
-    items = ingest.news_items(twice, F.lit(samples.FETCHED), limit=None)
-    rank = feed.Window.partitionBy("news_id").orderBy("pos")
-    outcome = (
-        F.when(F.col("news_id").isNull(), "error")
-        .when(F.row_number().over(rank) > 1, "duplicate")
-        .otherwise("processed")
-    )
-    done = items.select("news_id", outcome.alias("outcome"))
+    """What a run logs about itself."""
+    store = tables.Store(spark, _run_folder(spark)).create()
+    _feed_run(spark, sf, store)
+    return store.read("run_log").select(*run.COUNTS, "status")
 
-    def how_many(value):
-        return F.count_if(F.col("outcome") == value)
 
-    return done.agg(
-        F.count("*").alias("fetched"),
-        how_many("processed").alias("inserted"),
-        how_many("duplicate").alias("duplicates"),
-        how_many("processed").alias("processed"),
-        how_many("error").alias("errors"),
-    )
+@query
+def run_twice(spark, sf):
+    """The news of a batch that was run twice, with what other tables hold of each."""
+    store = tables.Store(spark, _run_folder(spark)).create()
+    _feed_run(spark, sf, store, times=2)
+    rows = store.read("news_raw")
+    for name, column in (("signals", "n_signals"), ("news_keys", "n_keys")):
+        rows = rows.join(store.read(name).groupBy("news_id").agg(F.count("*").alias(column)), "news_id", "left")
+    return rows.select("news_id", "source", "headline", "full_text", "url", "published_at", "n_signals", "n_keys")
 
 
-def _documents_stream(spark, sf):
-    schema = samples.table(spark, sf, "documents").schema
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-        .option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
+def _documents_stream(spark, sf, folder):
+    """The documents as four landed files, one per micro-batch; the last brings the labelled ones again."""
+    docs = samples.table(spark, sf, "documents")
+    docs.repartition(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{folder}/landed")
+    known = samples.stored_docs(spark, sf).select("doc_id")
+    docs.join(known, "doc_id", "left_semi").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
 
 
 def _run_folder(spark) -> str:
@@ -686,22 +749,35 @@ def stream_signals(spark, sf):
         store.add_keys(rows, batch_id)
 
     refresh.each_batch(
-        _documents_stream(spark, sf), each, f"{folder}/checkpoint", once=True
+        _documents_stream(spark, sf, folder), each, f"{folder}/checkpoint", once=True
     ).awaitTermination()
     return store.read("signals").select(
         "news_id", joined("stocks"), "suggestion", "confidence", "signal_score", "priority"
     )
 
 
+def _scored_stream(spark, sf, folder):
+    news = samples.with_response(samples.news_of(_documents_stream(spark, sf, folder), "doc_id"))
+    rows = extract.normalize_responses(news).drop("raw_response", "origin", "doc_id")
+    return scoring.score_signals(extract.settle_tickers(rows), samples.as_of(), "responses")
+
+
 @query
 def stream_alerts_once(spark, sf):
     """Streaming alert rule with each id announced a single time."""
     folder = _run_folder(spark)
-    news = samples.with_response(samples.news_of(_documents_stream(spark, sf), "doc_id"))
-    rows = extract.normalize_responses(news).drop("raw_response", "origin", "doc_id")
-    rows = scoring.score_signals(extract.settle_tickers(rows), samples.as_of(), "responses")
+    rows = _scored_stream(spark, sf, folder)
     time = F.coalesce(vl.feed_time(F.col("published_at"), F.col("fetched_at")), samples.as_of())
     once = refresh.announce_once(rows.withColumn("seen_at", time), "seen_at", "60 days").select(
         "news_id", alerts.alert_message().alias("message"))
     refresh.to_files(once, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
     return spark.read.schema("news_id string, message string").parquet(f"{folder}/out")
+
+
+@query
+def stream_alerts_expiring(spark, sf):
+    """The same with a state that forgets an id after a day."""
+    folder = _run_folder(spark)
+    once = refresh.announce_while(_scored_stream(spark, sf, folder), alerts.alert_message(), 86400)
+    refresh.to_files(once, f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema("news_id string, message string").parquet(f"{folder}/out")

@@ -8,6 +8,8 @@ first ran at, so running it again gives the same tables.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,9 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import lexicon as lx
-from newsloom.functions import text as tx
-from newsloom.operators import alerts, dedup, extract, feed, ingest, prices, scoring
+from newsloom.operators import alerts, extract, feed, ingest, prices, scoring
+from newsloom.plans.outbox import deliver_once
 from newsloom.session import cut, release
+from newsloom.sources import known
+from newsloom.sources import vectors as stored_vectors
 from newsloom.sources.tables import Deliver, Store, news_day
 
 DEDUP_MODES = ("id", "lexical", "semantic")
@@ -41,6 +45,9 @@ class Settings:
     title: str = "New Signal"
 
 
+COUNTS = ("fetched", "inserted", "duplicates", "processed", "errors")
+
+
 @dataclass
 class Result:
     fetched: int = 0
@@ -48,6 +55,7 @@ class Result:
     duplicates: int = 0
     processed: int = 0
     errors: int = 0
+    status: str = "ok"
 
 
 def run_batch(
@@ -58,19 +66,35 @@ def run_batch(
     as_of: Column,
     batch_id: str,
     reason: str = "manual",
+    wait_seconds: float = 0,
+    stale_seconds: float | None = None,
 ) -> Result:
     """Process ``entries`` and log the run; a failure is logged and raised.
 
-    ``as_of`` is evaluated once, when the batch id is first seen.
+    ``as_of`` is evaluated once, when the batch id is first seen. One run works
+    on a store at a time: while another one does, this one waits for
+    ``wait_seconds``, then logs ``busy`` and changes nothing else.
     """
-    as_of = F.lit(store.pin_time(batch_id, as_of)).cast("timestamp")
+    if store.is_compacted(batch_id):
+        raise ValueError(f"batch {batch_id} was compacted and cannot be repeated")
+    end = time.monotonic() + wait_seconds
+    while not store.acquire(batch_id, stale_seconds):
+        if time.monotonic() >= end:
+            result = Result(status="busy")
+            log_run(store, f"{batch_id}-busy-{uuid.uuid4()}", "busy", reason, as_of, result, f"{store.holder()} is running")
+            return result
+        time.sleep(min(1.0, max(end - time.monotonic(), 0)))
     try:
-        result = _run(spark, store, entries, settings, as_of, batch_id)
-    except Exception as error:
-        log_run(store, batch_id, "error", reason, as_of, Result(errors=1), str(error))
-        raise
-    log_run(store, batch_id, "ok", reason, as_of, result)
-    return result
+        as_of = F.lit(store.pin_time(batch_id, as_of)).cast("timestamp")
+        try:
+            result = _run(spark, store, entries, settings, as_of, batch_id)
+        except Exception as error:
+            log_run(store, batch_id, "error", reason, as_of, Result(errors=1), str(error))
+            raise
+        log_run(store, batch_id, "ok", reason, as_of, result)
+        return result
+    finally:
+        store.free(batch_id)
 
 
 def log_run(
@@ -79,7 +103,7 @@ def log_run(
 ) -> None:
     row = store.spark.range(1).select(
         F.lit(status).alias("status"), F.lit(reason).alias("reason"), as_of.alias("ran_at"),
-        *[F.lit(getattr(result, n)).cast("bigint").alias(n) for n in result.__dataclass_fields__],
+        *[F.lit(getattr(result, n)).cast("bigint").alias(n) for n in COUNTS],
         F.lit(message).alias("message"),
     )
     store.write("run_log", row, batch_id)
@@ -112,7 +136,9 @@ def _run(spark, store, entries, settings, as_of, batch_id) -> Result:
 
     # Entries -> items, staged once.
     items = ingest.news_items(entries.withColumn("pos", pos), stamp, settings.limit)
-    store.write("items", items.join(feed_no, "source", "left"), batch_id)
+    every = F.count(F.lit(1))
+    seen = store.write("items", items.join(feed_no, "source", "left"), batch_id,
+                       n=every, bad=F.count_if(F.col("news_id").isNull()))
     items = store.read("items", batch_id)
     _write_health(store, settings, entries, as_of)
 
@@ -123,36 +149,34 @@ def _run(spark, store, entries, settings, as_of, batch_id) -> Result:
         errors = errors.unionByName(unreadable.select(
             F.coalesce("title", F.lit("")).alias("headline"), F.concat(F.lit("unreadable item: "), "corrupt").alias("error")))
     good = items.filter(F.col("news_id").isNotNull())
-    known = store.known_keys(good, batch_id)
-    new = ingest.unseen(ingest.first_per_id(good, "feed_no", "pos"), known)
+    stored = store.known_keys(good, batch_id)
+    new = ingest.unseen(ingest.first_per_id(good, "feed_no", "pos"), stored)
     day = news_day(F.col("published_at"), F.col("fetched_at"))
-    store.write("news_raw", new.withColumn("day", day), batch_id)
+    added = store.write("news_raw", new.withColumn("day", day), batch_id, n=every)["n"]
 
     # Similar news keep their raw row, but give no signal.
     raw = store.read("news_raw", batch_id)
     order = items.select("news_id", "feed_no", "pos")
-    fresh, failed = _drop_similar(store, settings, raw, order, batch_id)
+    fresh, failed, left = _drop_similar(store, settings, raw, order, batch_id)
+    inserted = added if left is None else left
     extracted, asked = _extract(fresh, settings)
-    for part in (failed, asked):
+    errors = errors.withColumn("lost", F.lit(False))
+    for part, lost in ((failed, True), (asked, False)):
         if part is not None:
-            errors = errors.unionByName(part)
-    store.write("errors", errors, batch_id)
+            errors = errors.unionByName(part.withColumn("lost", F.lit(lost)))
+    noted = store.write("errors", errors, batch_id, n=every, lost=F.count_if("lost"))
     scored = scoring.score_signals(extract.settle_tickers(extracted), as_of, settings.model_name)
     priced = prices.price_signals(scored, settings.bars, as_of)
-    store.write("signals", priced, batch_id)
+    processed = store.write("signals", priced, batch_id, n=every)["n"]
 
     _alert(store, settings, as_of, batch_id)
     store.add_keys(raw, batch_id)
-
-    n_items, n_errors = items.count(), store.read("errors", batch_id).count()
-    n_failed = failed.count() if failed is not None else 0
-    inserted = fresh.count()
     return Result(
-        fetched=n_items,
+        fetched=seen["n"],
         inserted=inserted,
-        duplicates=n_items - bad.count() - n_failed - inserted,
-        processed=store.read("signals", batch_id).count(),
-        errors=n_errors,
+        duplicates=seen["n"] - seen["bad"] - noted["lost"] - inserted,
+        processed=processed,
+        errors=noted["n"],
     )
 
 
@@ -165,29 +189,24 @@ def _write_health(store, settings, entries, as_of) -> None:
     release(known)
 
 
-def _drop_similar(store, settings, raw, order, batch_id) -> tuple[DataFrame, DataFrame | None]:
-    """News that go on, and errors of those that could not be compared."""
+def _drop_similar(store, settings, raw, order, batch_id) -> tuple[DataFrame, DataFrame | None, int | None]:
+    """News that go on, errors of those that could not be compared, and how many go on (none: all)."""
     if settings.dedup == "id":
-        return raw, None
+        return raw, None, None
     place = order.groupBy("news_id").agg(F.min(F.struct("feed_no", "pos")).alias("ord"))
     placed = raw.join(place, "news_id")
     if settings.dedup == "lexical":
-        flags = dedup.lexical_dedup(
-            placed, stored=store.read("fingerprints", before=batch_id), order_by_rarity=False)
-        prints = raw.join(flags.filter("kept").select("news_id"), "news_id", "left_semi").select(
-            "news_id", tx.fingerprint(F.col("full_text")).alias("fp"))
-        store.write("fingerprints", prints, batch_id)
+        _, left = known.lexical_run(store, placed, batch_id)
         kept = store.read("fingerprints", batch_id).select("news_id")
-        return raw.join(kept, "news_id", "left_semi"), None
+        return raw.join(kept, "news_id", "left_semi"), None, left
     if settings.encode is None:
         raise ValueError("semantic dedup needs settings.encode")
     vectors = cut(extract.add_embeddings(raw, settings.encode))
     failed = vectors.filter("error is not null").join(raw.select("news_id", "headline"), "news_id").select("headline", "error")
     vectors = vectors.filter("error is null").drop("error")
-    flags = dedup.vector_dedup(vectors.join(place, "news_id"), stored=store.read("embeddings", before=batch_id))
-    store.write("embeddings", vectors.join(flags.filter("kept").select("news_id"), "news_id", "left_semi"), batch_id)
+    _, left = stored_vectors.semantic_run(store, vectors.join(place, "news_id"), batch_id)
     kept = store.read("embeddings", batch_id).select("news_id")
-    return raw.join(kept, "news_id", "left_semi"), failed
+    return raw.join(kept, "news_id", "left_semi"), failed, left
 
 
 def _extract(news: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
@@ -223,15 +242,10 @@ def reprocess(
 
 
 def _alert(store, settings, as_of, batch_id) -> None:
-    """Build, deliver and log what this run has to announce, per channel.
-
-    What a channel's hook returns is checkpointed before it is logged, so the
-    hook does not run again when the log is written.
-    """
+    """Build, deliver and log what this run has to announce, per channel; each row once (see ``outbox``)."""
     view = feed.load_signals(
         store.read("news_raw", batch_id), store.read("signals", batch_id), limit=None
     )
-    rows = None
     for channel in settings.channels:
         if channel != "local" and channel not in settings.deliver:
             continue                    # not configured: nothing is sent or logged
@@ -240,11 +254,7 @@ def _alert(store, settings, as_of, batch_id) -> None:
             due = alerts.new_alerts(view, log, as_of, channel)
         else:
             due = alerts.new_notifications(view, log, as_of, channel, title=settings.title)
-        if channel in settings.deliver:
-            due = cut(settings.deliver[channel](due))
-        rows = due if rows is None else rows.unionByName(due)
-    if rows is not None:
-        store.write("alert_log", rows, batch_id)
+        deliver_once(store, due, channel, settings.deliver.get(channel), batch_id)
 
 
 def notify_one(

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Lists of ids up to this length reach the files as they are (see ``Store.known_keys``).
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 

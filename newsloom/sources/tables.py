@@ -10,17 +10,23 @@ table          inside a batch by   because
 news_raw       day                 feeds read the newest days
 signals        day                 same day as its news
 news_keys      id_bucket           a run looks its ids up in their buckets only
+fingerprints   id_bucket           word sets are fetched by id
+postings       bucket              a run looks its words up in their buckets only
+vector_cells   top (and gen)       a run looks its vectors up around their pivots only
 alert_log      channel             looked up per channel
+outbox         channel             what hooks were handed, per channel
 source_health  (by source, no batch)  one partition is one key: writing is the upsert
 others         -
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -29,6 +35,7 @@ from newsloom.functions import values as vl
 from newsloom.session import cut, release
 
 ID_BUCKETS = 64
+FEW_IDS = 1000          # ids of a run that are looked up one by one
 
 # Columns of a signal that keep the stored value when there is one.
 FIRST_KEPT = ("price_at_signal",)
@@ -107,8 +114,18 @@ class Store:
             schemas.struct("news_id string, id_bucket int, batch_id string"),
             ("batch_id", "id_bucket"),
         ),
-        "fingerprints": (_plus(schemas.FINGERPRINTS, "batch_id string"), ("batch_id",)),
+        "fingerprints": (_plus(schemas.FINGERPRINTS, "id_bucket int, batch_id string"), ("batch_id", "id_bucket")),
+        "postings": (
+            schemas.struct("word string, p int, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, news_id string, bucket int, batch_id string"),
+            ("batch_id", "bucket"),
+        ),
+        "word_order": (schemas.struct("cell int, step int, batch_id string"), ("batch_id",)),
         "embeddings": (_plus(schemas.EMBEDDINGS, "batch_id string"), ("batch_id",)),
+        "vector_pivots": (schemas.struct("place int, rows bigint, vector array<float>, gen int"), ("gen",)),
+        "vector_cells": (
+            schemas.struct("news_id string, embedding array<float>, cell int, gen int, batch_id string, top int"),
+            ("gen", "batch_id", "top"),
+        ),
         "alert_log": (
             StructType(
                 [f for f in schemas.ALERTS.fields if f.name != "channel"]
@@ -116,6 +133,11 @@ class Store:
             ),
             ("batch_id", "channel"),
         ),
+        "outbox": (
+            schemas.struct("news_id string, claimed_at timestamp, channel string, batch_id string"),
+            ("batch_id", "channel"),
+        ),
+        "compacted": (schemas.struct("old string, batch_id string"), ("batch_id",)),
         "source_health": (
             StructType(
                 [f for f in schemas.HEALTH.fields if f.name != "source"]
@@ -176,13 +198,17 @@ class Store:
     def _folder(self, name: str, batch_id: str) -> str:
         return f"{self.path(name)}/batch_id={quote(batch_id, safe='')}"
 
-    def write(self, name: str, rows: DataFrame, batch_id: str | None = None) -> None:
+    def write(self, name: str, rows: DataFrame, batch_id: str | None = None, **totals: Column) -> dict[str, int]:
         """Write rows: with ``batch_id`` as all the run has in this table, else by
         replacing the partitions that the rows name.
 
         Rows are rebalanced by day or bucket, so that a partition gets few files,
-        yet one that holds most rows is split over tasks.
+        yet one that holds most rows is split over tasks. ``totals`` are
+        aggregates of the rows, observed while they are written and returned.
         """
+        watch = Observation()
+        if totals:
+            rows = rows.observe(watch, *[c.alias(k) for k, c in totals.items()])
         schema, parts = self.TABLES[name]
         inner = [p for p in parts if p != "batch_id"]
         fields = [f for f in schema.fields if batch_id is None or f.name != "batch_id"]
@@ -195,6 +221,65 @@ class Store:
             writer, path = rows.write.option("partitionOverwriteMode", "static"), self._folder(name, batch_id)
             writer = writer.partitionBy(*inner) if inner else writer
         writer.mode("overwrite").parquet(path)
+        return self._observed(watch, path, totals) if totals else {}
+
+    def _observed(self, watch: Observation, path: str, totals: dict[str, Column]) -> dict[str, int]:
+        try:
+            return {k: v or 0 for k, v in watch.get.items()}
+        except Py4JJavaError:
+            # Rows that the optimizer finds to be none are not observed.
+            if self.spark.read.schema("news_id string").parquet(path).head() is not None:
+                raise
+            return dict.fromkeys(totals, 0)
+
+    # --- one run at a time ---
+
+    def acquire(self, owner: str, stale_seconds: float | None = None) -> bool:
+        """Take the store for ``owner``; false while somebody else has it.
+
+        The marker is a file that is only created if it does not exist, which
+        the file system must do atomically (HDFS and local disks do). It is
+        taken over by the same owner, as a repeat after a crash is, and when it
+        is older than ``stale_seconds``.
+        """
+        fs, hadoop = self._fs("")
+        path = hadoop.Path(f"{self.root}/_running")
+        try:
+            out = fs.create(path, False)
+            out.write(bytearray(owner.encode()))
+            out.close()
+            return True
+        except Py4JJavaError:
+            if not fs.exists(path):
+                raise
+        holder = self.holder()
+        if holder == owner:
+            return True
+        if stale_seconds is None or holder is None:
+            return False
+        age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+        if age > stale_seconds:
+            self.free(holder)
+            return self.acquire(owner)
+        return False
+
+    def holder(self) -> str | None:
+        """Who has the store."""
+        fs, hadoop = self._fs("")
+        path = hadoop.Path(f"{self.root}/_running")
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def free(self, owner: str) -> None:
+        """Give the store back; without effect if ``owner`` does not have it."""
+        if self.holder() == owner:
+            fs, hadoop = self._fs("")
+            fs.delete(hadoop.Path(f"{self.root}/_running"), False)
 
     def pin_time(self, batch_id: str, as_of: Column) -> str:
         """The run's time, fixed when the batch is first seen and used again by its repeats."""
@@ -204,16 +289,29 @@ class Store:
             stored = self.read("batches", batch_id).select(F.col("as_of").cast("string")).head()
         return stored[0]
 
-    def compact(self, name: str, batch_ids: list[str], into: str) -> None:
-        """Join the folders of finished batches into one batch ``into`` of the same table.
+    #: Tables whose rows belong to a batch; ``compact`` joins all of them.
+    OF_BATCHES = ("items", "news_raw", "signals", "news_keys", "fingerprints", "postings", "word_order", "embeddings", "alert_log", "outbox", "batches", "errors", "run_log")
+
+    def compact(self, batch_ids: list[str], into: str) -> None:
+        """Join the folders of finished batches into one batch ``into``, in all tables.
 
-        The joined folder is complete, under a name that readers skip, before
-        the old ones go; a compaction that broke off is finished by repeating it.
+        What was joined is noted first, and a joined batch is refused from then
+        on: its rows could not be replaced any more. A joined folder is complete,
+        under a name that readers skip, before the old ones go; a compaction
+        that broke off is finished by repeating it with the same names.
         """
+        batch_ids = [b for b in batch_ids if b != into]
+        self.write("compacted", self.spark.createDataFrame([(b,) for b in batch_ids], "old string"), into)
+        for name in self.OF_BATCHES:
+            self._compact(name, batch_ids, into)
+
+    def _compact(self, name: str, batch_ids: list[str], into: str) -> None:
         fs, hadoop = self._fs(name)
         ready = hadoop.Path(f"{self.path(name)}/_compact-{quote(into, safe='')}")
         done = hadoop.Path(self._folder(name, into))
         marker = hadoop.Path(ready, "_SUCCESS")
+        if fs.exists(done) and not fs.exists(ready):
+            return
         if not fs.exists(marker):
             _, parts = self.TABLES[name]
             inner = [p for p in parts if p != "batch_id"]
@@ -225,6 +323,9 @@ class Store:
             fs.delete(hadoop.Path(self._folder(name, batch_id)), True)
         fs.rename(ready, done)
 
+    def is_compacted(self, batch_id: str) -> bool:
+        return self.read("compacted").filter(F.col("old") == batch_id).head() is not None
+
     def _fs(self, name: str):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         return hadoop.Path(self.path(name)).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
@@ -233,16 +334,29 @@ class Store:
         return F.pmod(F.xxhash64(news_id), F.lit(self.id_buckets)).cast("int")
 
     def add_keys(self, ids: DataFrame, batch_id: str) -> None:
+        """Note the ids of a run: sorted, and with a Bloom filter per row group, so that a look-up skips what cannot hold an id."""
         rows = ids.select("news_id", self.bucket_of(F.col("news_id")).alias("id_bucket"))
-        self.write("news_keys", rows, batch_id)
+        rows.hint("rebalance", "id_bucket").sortWithinPartitions("id_bucket", "news_id").write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").option("parquet.bloom.filter.enabled#news_id", "true").option(
+            "parquet.bloom.filter.adaptive.enabled", "true").partitionBy("id_bucket").parquet(
+            self._folder("news_keys", batch_id))
 
     def known_keys(self, ids: DataFrame, batch_id: str) -> DataFrame:
-        """Stored ids that could equal one of ``ids``: only their buckets are
-        read. The bucket list has at most ``id_buckets`` entries."""
-        touched = ids.select(self.bucket_of(F.col("news_id")).alias("b")).distinct().collect()
-        return self.read("news_keys", before=batch_id).filter(
-            F.col("id_bucket").isin([r["b"] for r in touched])
-        )
+        """Stored ids that could equal one of ``ids``.
+
+        Few ids are pushed down to the files, where sorting and Bloom filters
+        skip nearly all row groups. Of many, only the buckets are pushed, of
+        which there are at most ``id_buckets``.
+        """
+        stored = self.read("news_keys", before=batch_id)
+        few = [r["news_id"] for r in ids.select("news_id").distinct().limit(FEW_IDS + 1).collect()]
+        if len(few) <= FEW_IDS:
+            named = self.spark.createDataFrame([(i,) for i in few], "news_id string")
+            touched = named.select(self.bucket_of(F.col("news_id")).alias("b")).distinct().collect()
+            stored = stored.filter(F.col("news_id").isin(few))
+        else:
+            touched = ids.select(self.bucket_of(F.col("news_id")).alias("b")).distinct().collect()
+        return stored.filter(F.col("id_bucket").isin([r["b"] for r in touched]))
 
     def merge_signals(self, new: DataFrame, batch_id: str) -> None:
         """Write signals again. Stored rows are found by ``news_id``, wherever they lie; a known
@@ -257,6 +371,24 @@ class Store:
         self.write("signals", merged)
         release(new, merged)
 
+    def delete_news(self, ids: DataFrame) -> None:
+        """Delete news rows; their signals go with them. Only partitions that hold such rows are rewritten."""
+        gone = cut(ids.select("news_id").distinct())
+        for name in ("news_raw", "signals"):
+            rows = self.read(name)
+            places = cut(rows.join(gone, "news_id", "left_semi").select("batch_id", "day").distinct())
+            same = rows["batch_id"].eqNullSafe(places["batch_id"]) & rows["day"].eqNullSafe(places["day"])
+            left = cut(rows.join(places, same, "left_semi").join(gone, "news_id", "left_anti"))
+            kept = left.select("batch_id", "day").distinct()
+            fs, hadoop = self._fs(name)
+            empty = places.join(kept, places["batch_id"].eqNullSafe(kept["batch_id"]) & places["day"].eqNullSafe(kept["day"]), "left_anti")
+            self.write(name, left)
+            for row in empty.collect():          # one row per emptied partition of the deleted news
+                day = "__HIVE_DEFAULT_PARTITION__" if row["day"] is None else row["day"].isoformat()
+                fs.delete(hadoop.Path(f"{self._folder(name, row['batch_id'])}/day={day}"), True)
+            release(places, left)
+        release(gone)
+
     def log_manual(self, row: DataFrame, news_id: str) -> None:
         """Record a manual notification; a later one for the same news replaces
         it, as both go to the same partition."""

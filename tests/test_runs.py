@@ -1,6 +1,7 @@
 """Feed files to tables: one run, repeated runs, streams."""
 
 import os
+import time
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import ingest
-from newsloom.plans import run, views
+from newsloom.plans import outbox, run, views
 from newsloom.sources import feeds, tables
 from newsloom.streaming import refresh
 
@@ -152,10 +153,28 @@ def test_runs_and_repeats(spark, tmp_path, settings, as_of):
     assert run.reprocess(spark, store, settings, as_of, "again") == 6
     assert store.read("signals").count() == 6
 
-    before = sorted(map(str, store.read("signals").drop("batch_id").collect()))
-    store.compact("signals", ["b1", "b2"], "old")
-    assert sorted(map(str, store.read("signals").drop("batch_id").collect())) == before
-    assert [r[0] for r in store.read("signals").select("batch_id").distinct().collect()] == ["old"]
+    def plain():
+        return {name: sorted(map(str, store.read(name).drop("batch_id").collect())) for name in store.OF_BATCHES}
+
+    before = plain()
+    store.compact(["b1", "b2"], "old")
+    assert plain() == before
+    store.compact(["b1", "b2"], "old")                       # a repeat changes nothing
+    assert plain() == before
+    for name in ("signals", "news_raw", "news_keys"):
+        assert [r[0] for r in store.read(name).select("batch_id").distinct().collect()] == ["old"], name
+    with pytest.raises(ValueError, match="compacted"):
+        run.run_batch(spark, store, entries, settings, as_of, "b1")
+    assert run.run_batch(spark, store, entries, settings, as_of, "b5").inserted == 0
+
+    # Deleting news deletes their signals, and only those.
+    gone = store.read("news_raw").filter(F.col("headline").isin("TCS crash", "Quiet day")).select("news_id")
+    gone = spark.createDataFrame(gone.collect())
+    store.delete_news(gone)
+    assert headlines(store) == ["INFY surge, stake buy", "ITC gain", "RELIANCE & record profit upgrade", "SBIN rally on order"]
+    assert store.read("signals").count() == 4 == views.signals(store).count()
+    store.delete_news(store.read("news_raw").select("news_id"))
+    assert store.read("signals").count() == store.read("news_raw").count() == 0
 
     store.reset()
     assert all(store.read(name).count() == 0 for name in store.TABLES)
@@ -220,6 +239,120 @@ def contents(store):
     return {name: sorted(map(str, store.read(name).collect())) for name in store.TABLES if name != "run_log"}
 
 
+def test_two_streams_and_a_new_checkpoint_keep_all_rows(spark, tmp_path, settings):
+    """RSS, Atom and a second checkpoint over one store."""
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create()
+    settings.channels = ("local",)
+    land(f"{tmp_path}/rss", DROPS[:2])
+    os.makedirs(tmp_path / "atom" / "NSEIndia")
+    for i in range(3):
+        (tmp_path / "atom" / "NSEIndia" / f"{i}.xml").write_text(
+            f"<feed><entry><title>INFY gain {i}</title><link href='http://x/{i}'/><id>i{i}</id><summary>s</summary>"
+            "<updated>2024-01-01T00:00:00Z</updated></entry></feed>")
+
+    def go(folder, checkpoint, **kind):
+        query = refresh.refresh(spark, f"{tmp_path}/{folder}", store, settings, f"{tmp_path}/{checkpoint}", once=True,
+                                as_of=lambda: F.lit(AS_OF).cast("timestamp"), **kind)
+        query.awaitTermination()
+        return query.name
+
+    first = go("rss", "one")
+    rss_rows = headlines(store)
+    assert len(rss_rows) == 4
+    second = go("atom", "two", atom=True)
+    assert headlines(store) == sorted([*rss_rows, "INFY gain 0", "INFY gain 1", "INFY gain 2"])
+    assert first != second and go("rss", "one") == first
+    go("rss", "three")                                      # all over again: nothing new, nothing lost
+    assert len(headlines(store)) == 7 == store.read("signals").count()
+
+
+def test_hooks_get_a_row_once(spark, rows, tmp_path, settings, as_of):
+    """A repeated batch, also one that died between delivery and log."""
+    entries = rows(ENTRY, [("LiveMint", 1, "a", "", "RELIANCE upgrade", "", "", ""), ("LiveMint", 2, "b", "", "TCS crash", "", "", "")])
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create()
+    got = []
+
+    def hook(due):
+        got.append(due.count())
+        return due.withColumn("status", F.lit("sent"))
+
+    settings.channels, settings.deliver = ("telegram",), {"telegram": hook}
+    run.run_batch(spark, store, entries, settings, as_of, "b")
+    run.run_batch(spark, store, entries, settings, as_of, "b")
+    assert got == [2] and [r["status"] for r in store.read("alert_log").collect()] == ["sent"] * 2
+
+    def dies(due):
+        got.append(due.count())
+        raise RuntimeError("gone")
+
+    more = entries.withColumn("link", F.concat("link", F.lit("2")))
+    settings.deliver = {"telegram": dies}
+    with pytest.raises(RuntimeError):
+        run.run_batch(spark, store, more, settings, as_of, "c")
+    settings.deliver = {"telegram": hook}
+    run.run_batch(spark, store, more, settings, as_of, "c")
+    assert got == [2, 2]
+    assert sorted(r["status"] for r in store.read("alert_log").collect()) == ["sent"] * 2 + ["unconfirmed"] * 2
+    outbox.claim_again(store, "telegram", "c")
+    run.run_batch(spark, store, more, settings, as_of, "c")
+    assert got == [2, 2, 2]
+    assert sorted(r["status"] for r in store.read("alert_log").collect()) == ["sent"] * 4
+    run.run_batch(spark, store, more, settings, as_of, "d")
+    assert got == [2, 2, 2]
+
+
+def test_one_run_at_a_time(spark, rows, tmp_path, settings, as_of):
+    entries = rows(ENTRY, [("LiveMint", 1, "a", "", "RELIANCE upgrade", "", "", "")])
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create()
+    inside = []
+
+    def hook(due):
+        """While this run delivers, another one finds the store busy."""
+        other = tables.Store(spark, f"{tmp_path}/db", 2)
+        inside.append(run.run_batch(spark, other, entries, run.Settings(settings.feeds, settings.bars), as_of, "second"))
+        return due.withColumn("status", F.lit("sent"))
+
+    settings.channels, settings.deliver = ("telegram",), {"telegram": hook}
+    first = run.run_batch(spark, store, entries, settings, as_of, "first")
+    assert first.status == "ok" and [r.status for r in inside] == ["busy"]
+    log = {r["status"]: r for r in store.read("run_log").collect()}
+    assert set(log) == {"ok", "busy"} and log["busy"]["message"] == "first is running"
+    assert store.read("news_raw").filter("batch_id = 'second'").count() == 0
+    assert store.holder() is None
+
+    assert store.acquire("x") and store.acquire("x") and not store.acquire("y")
+    assert run.run_batch(spark, store, entries, settings, as_of, "third", wait_seconds=2).status == "busy"
+    assert store.acquire("y", stale_seconds=-1)             # left behind by a dead run
+    store.free("x")
+    assert store.holder() == "y"
+    store.free("y")
+    with pytest.raises(ValueError):
+        run.run_batch(spark, store, entries, run.Settings(settings.feeds, settings.bars, dedup="no"), as_of, "bad")
+    assert store.holder() is None
+    assert {r["status"] for r in store.read("run_log").collect()} == {"ok", "busy", "error"}
+
+
+def test_progress_in_the_run_log(spark, tmp_path, settings):
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create()
+    settings.channels = ("local",)
+    land(f"{tmp_path}/in", DROPS[:1])
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "100")
+    query = refresh.refresh(spark, f"{tmp_path}/in", store, settings, f"{tmp_path}/cp", seconds=1)
+    listener = refresh.log_progress(store, query)
+    try:
+        for _ in range(90):
+            log = store.read("run_log").filter("reason = 'progress'").collect()
+            if {r["status"] for r in log} == {"ok", "idle"}:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+        spark.streams.removeListener(listener)
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+    assert {(r["status"], r["fetched"]) for r in log} == {("ok", 3), ("idle", 0)}
+    assert '"numInputRows" : 3' in next(r["message"] for r in log if r["status"] == "ok")
+
+
 def test_a_repeated_batch_replaces_all_it_wrote(spark, rows, tmp_path, settings):
     """Across midnight, with fewer rows, and after a crash behind any write."""
     two = rows(ENTRY, [("LiveMint", 1, "a", "", "RELIANCE upgrade", "", "", ""), ("LiveMint", 2, "b", "", "TCS crash", "", "", "")])
