@@ -33,9 +33,9 @@ LOWEST = -(1 << 63)
 CELL_BITS, BLOCK_BITS = 22, 16       # frequency cells; cells in one row of the table
 MATCHES = (1, 2, 4, 8)               # the m to choose from
 VERIFY_COST = 20                     # of a candidate, in postings
-HEAD_TOKENS, SKETCH = 4, 16
+HEAD_TOKENS, SKETCH, ALIKE = 4, 16, 12    # smallest hashes with heads, in a sketch, and shared sixteenths of it
 FEW, MORE_HEADS = 16, 18              # documents of a hash, and heads of one with more
-BUCKET_BYTES = 48 << 20              # text whose prefixes make one bucket
+BUCKET_BYTES = 64 << 20              # text whose prefixes make one bucket
 PAIRS_AT_ONCE = 4_000_000
 
 
@@ -238,7 +238,7 @@ def head_pairs(units: DataFrame) -> DataFrame:
     many = met.filter(F.col("c") > FEW).select("token", "doc", "n", "sketch")
     more = many.groupBy("token").agg(F.array_distinct(F.array(*[head(s) for s in range(1, MORE_HEADS)])).alias("heads"))
     small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
-    alike = F.size(F.array_intersect("sketch", "head.sketch")) * 2 >= F.least(F.lit(SKETCH), small)
+    alike = F.size(F.array_intersect("sketch", "head.sketch")) * 16 >= F.least(F.lit(SKETCH), small) * ALIKE
     columns = ("doc", "n", "sketch", "head")
     pairs = met.select(*columns).unionByName(
         many.join(more, "token").withColumn("head", F.explode("heads")).select(*columns))
@@ -279,10 +279,11 @@ def _pack(buckets: int):
 def _meet(buckets: int):
     """Pairs of a bucket that share prefix shingles, are in different components and near in size.
 
-    A shared shingle counts where it stands in the prefixes that the sizes of
-    this very pair ask for, which are shorter than those that any partner asks for.
-    A pair that shares enough over all ``buckets`` has its part of that in one of
-    them at least, so a bucket with less than that part says nothing.
+    Of a match, its places in the two prefixes say how often the pair can meet
+    at most, before, here and behind; where that is too little the match does
+    not count, as the pair cannot be similar. A pair that meets often enough
+    over all ``buckets`` has its part of that in one of them at least, so a
+    bucket with less than that part says nothing.
     """
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {c: [] for c in ("keys", "places", "docs", "roots", "sizes", "needs")}
@@ -300,69 +301,64 @@ def _meet(buckets: int):
         keys, place, doc, root, n, need = (np.concatenate(parts[c]) for c in parts)
         order = np.argsort(keys, kind="stable")
         keys, place, doc, root, n, need = (x[order] for x in (keys, place, doc, root, n, need))
-        n, need, after = n.astype(np.int64), need.astype(np.int64), n.astype(np.int64) - place - 1
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        behind = least_overlap(n) - need                       # shingles behind the prefix
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         use = several[run_of]
-        doc, root, n, need, after, run_of = doc[use], root[use], n[use], need[use], after[use], run_of[use]
+        doc, root, n, place, behind, run_of = doc[use], root[use], n[use], place[use], behind[use], run_of[use]
         ends = np.searchsorted(run_of, run_of, side="right")
         names, number = np.unique(doc, return_inverse=True)
         found, held = [], 0
         none = np.zeros(0, np.int64)
-        total = none, none, none             # pair, matches, most shingles behind one in both sets
+        total = none, none                   # pair, matches
 
         def fold():
-            codes, rest = (np.concatenate([total[i], *(f[i // 2] for f in found)]) for i in (0, 2))
+            codes = np.concatenate([total[0], *found])
             counts = np.concatenate([total[1], np.ones(len(codes) - len(total[0]), np.int64)])
-            order = np.argsort(codes, kind="stable")
-            codes = codes[order]
-            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            codes, at = np.unique(codes, return_inverse=True)
             found.clear()
-            return codes[starts], np.add.reduceat(counts[order], starts), np.maximum.reduceat(rest[order], starts)
+            return codes, np.bincount(at, weights=counts, minlength=len(codes)).astype(np.int64)
 
         at, step = np.arange(len(doc)), 1
         while len(at := at[at + step < ends[at]]):
             to = at + step
             overlap = (4 * (n[at] + n[to]) + 8) // 9
-            rest = np.minimum(after[at], after[to])
-            good = (root[at] != root[to]) & (doc[at] != doc[to]) & (np.minimum(need[at], need[to]) + rest >= overlap)
+            least = np.maximum(overlap - np.maximum(behind[at], behind[to]), 1)
+            most = 1 + np.minimum(place[at], place[to])         # up to this match
+            rest = np.minimum(n[at] - place[at], n[to] - place[to]) - 1
+            in_prefix = np.minimum(n[at] - behind[at] - place[at], n[to] - behind[to] - place[to]) - 1
+            good = (root[at] != root[to]) & (doc[at] != doc[to]) & (most + rest >= overlap) & (most + in_prefix >= least)
             if good.any():
                 x, y = number[at[good]], number[to[good]]
-                found.append((np.minimum(x, y) * len(names) + np.maximum(x, y), rest[good]))
+                found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
                 held += len(x)
                 if held > PAIRS_AT_ONCE:
                     total, held = fold(), 0
             step += 1
         if found:
             total = fold()
-        codes, shared, rest = total
+        codes, shared = total
         x, y = codes // max(len(names), 1), codes % max(len(names), 1)
-        needs, sizes = np.zeros(len(names), np.int32), np.zeros(len(names), np.int64)
-        needs[number], sizes[number] = need, n
-        need = np.minimum(needs[x], needs[y])
+        sizes, rests = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        sizes[number], rests[number] = n, behind
+        need = np.maximum((4 * (sizes[x] + sizes[y]) + 8) // 9 - np.maximum(rests[x], rests[y]), 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[x]), pa.array(names[y]), pa.array(shared), pa.array(need), pa.array(rest),
-             pa.array((4 * (sizes[x] + sizes[y]) + 8) // 9)], ["a", "b", "shared", "need", "rest", "overlap"]
-        ).filter(pa.array((shared * buckets >= need) & ((rest + 1 >= (4 * (sizes[x] + sizes[y]) + 8) // 9) | (buckets > 1))))
+            [pa.array(names[x]), pa.array(names[y]), pa.array(shared), pa.array(need.astype(np.int32))], ["a", "b", "shared", "need"]
+        ).filter(pa.array(shared * buckets >= need))
     return run
 
 
 def prefix_pairs(units: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of different components that share enough prefix shingles; ``units`` with ``root``.
-
-    All that a pair shares stands behind its first match in both sets, or is
-    that match. If all buckets tell of a pair, its first match is known, and the
-    pair goes if too little stands behind it.
-    """
+    """Pairs of different components that share enough prefix shingles; ``units`` with ``root``."""
     met = units.mapInArrow(_pack(buckets), PACKED).groupBy("bucket").applyInArrow(
-        _meet(buckets), "a long, b long, shared long, need int, rest long, overlap long")
+        _meet(buckets), "a long, b long, shared long, need int")
     part = F.ceil(F.col("need") / F.lit(buckets))          # buckets that keep silent share less than this
     most = F.col("shared") + (F.lit(buckets) - F.col("told")) * (part - 1)
     return met.groupBy("a", "b").agg(
-        F.sum("shared").alias("shared"), F.count("*").alias("told"), F.max("need").alias("need"),
-        F.max("rest").alias("rest"), F.max("overlap").alias("overlap")
-    ).filter(most >= F.col("need")).filter((F.col("told") < buckets) | (F.col("rest") + 1 >= F.col("overlap"))).select("a", "b")
+        F.sum("shared").alias("shared"), F.count("*").alias("told"), F.max("need").alias("need")
+    ).filter(most >= F.col("need")).select("a", "b")
 
 
 def _doc(key: str) -> Column:
