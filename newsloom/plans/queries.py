@@ -18,7 +18,7 @@ from newsloom import schemas
 from newsloom.functions import text as tx
 from newsloom.functions import values as vl
 from newsloom.operators import (
-    alerts, dedup, extract, feed, ingest, keywords, prices, scoring, summary,
+    alerts, approximate, dedup, extract, feed, ingest, keywords, prices, scoring, summary,
 )
 from newsloom.plans import outbox, run
 from newsloom.session import cut, pin, use_checkpoint_dir
@@ -216,6 +216,24 @@ def vector_dedup_kept(spark, sf):
     return dedup.vector_dedup(rows, "vec_id", "vec_id", threshold=VECTOR_THRESHOLD)
 
 
+@query
+def lexical_dedup_lsh(spark, sf):
+    """The approximate option beside the exact decision."""
+    docs = samples.table(spark, sf, "documents").select("doc_id", "text")
+    exact = _document_flags(spark, sf).select("doc_id", "kept")
+    found = approximate.lexical_dedup_lsh(docs, "doc_id", "text", "doc_id").withColumnRenamed("kept", "kept_lsh")
+    return exact.join(found, "doc_id")
+
+
+@query
+def vector_dedup_lsh(spark, sf):
+    """The same for vectors."""
+    rows = samples.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    exact = dedup.vector_dedup(rows, "vec_id", "vec_id", threshold=VECTOR_THRESHOLD)
+    found = approximate.vector_dedup_lsh(rows, "vec_id", "vec_id", VECTOR_THRESHOLD).withColumnRenamed("kept", "kept_lsh")
+    return exact.join(found, "vec_id")
+
+
 @query
 def incremental_vectors_kept(spark, sf):
     """Vectors in two runs over one store, those of even labels first."""

@@ -164,9 +164,12 @@ def announce_while(signals: DataFrame, message: Column, life_seconds: float) ->
     The state of an id expires by itself, so it follows the ids of that time,
     not those of all time. It lies in RocksDB, on the executors' disks and in
     the checkpoint folder. Of several rows of an id in one micro-batch the one
-    with the smallest message goes out.
+    with the smallest message goes out. The session runs no batches without
+    data from then on: they would follow each other forever, as there is always
+    state that expires next, and what is over is not read anyhow.
     """
     signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    signals.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     due = signals.filter(alerts.should_alert()).select("news_id", message.alias("message"))
     return due.groupBy("news_id").transformWithStateInPandas(
         Announced(life_seconds), due.schema, "Append", "ProcessingTime")
