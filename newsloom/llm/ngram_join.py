@@ -36,7 +36,7 @@ VERIFY_COST = 20                     # of a candidate, in postings
 HEAD_TOKENS, SKETCH, ALIKE = 4, 16, 12    # smallest hashes with heads, in a sketch, and shared sixteenths of it
 FEW, MORE_HEADS = 16, 18              # documents of a hash, and heads of one with more
 BUCKET_BYTES = 64 << 20              # text whose prefixes make one bucket
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE, PLACES_AT_ONCE = 2_000_000, 250_000
 
 
 def shingles(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,18 +298,24 @@ def _meet(buckets: int):
                 parts["roots"].append((own - _values(columns["roots"][i], np.int64))[owner])
                 parts["sizes"].append(_values(columns["sizes"][i], np.uint32)[owner])
                 parts["needs"].append(np.frombuffer(columns["needs"][i], np.uint8)[owner])
-        keys, place, doc, root, n, need = (np.concatenate(parts[c]) for c in parts)
+        columns = None
+        keys = np.concatenate(parts.pop("keys"))
         order = np.argsort(keys, kind="stable")
-        keys, place, doc, root, n, need = (x[order] for x in (keys, place, doc, root, n, need))
-        n, place = n.astype(np.int64), place.astype(np.int64)
-        behind = least_overlap(n) - need                       # shingles behind the prefix
+        keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        run_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+        run_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(keys))))
+        del keys
+        # Documents and roots as numbers: all that the loop holds are small integers.
+        names, number = np.unique(np.concatenate(parts.pop("docs")), return_inverse=True)
+        number = number.astype(np.int32)[order]
+        root = np.unique(np.concatenate(parts.pop("roots")), return_inverse=True)[1].astype(np.int32)[order]
+        n, place, need = (np.concatenate(parts.pop(c)).astype(np.int32)[order] for c in ("sizes", "places", "needs"))
+        behind = (least_overlap(n) - need).astype(np.int32)     # shingles behind the prefix
         several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         use = several[run_of]
-        doc, root, n, place, behind, run_of = doc[use], root[use], n[use], place[use], behind[use], run_of[use]
-        ends = np.searchsorted(run_of, run_of, side="right")
-        names, number = np.unique(doc, return_inverse=True)
+        number, root, n, place, behind, run_of = (x[use] for x in (number, root, n, place, behind, run_of))
+        ends = np.searchsorted(run_of, run_of, side="right").astype(np.int32)
+        del order, need, run_of, use
         found, held = [], 0
         none = np.zeros(0, np.int64)
         total = none, none                   # pair, matches
@@ -321,21 +327,22 @@ def _meet(buckets: int):
             found.clear()
             return codes, np.bincount(at, weights=counts, minlength=len(codes)).astype(np.int64)
 
-        at, step = np.arange(len(doc)), 1
-        while len(at := at[at + step < ends[at]]):
-            to = at + step
-            overlap = (4 * (n[at] + n[to]) + 8) // 9
-            least = np.maximum(overlap - np.maximum(behind[at], behind[to]), 1)
-            most = 1 + np.minimum(place[at], place[to])         # up to this match
-            rest = np.minimum(n[at] - place[at], n[to] - place[to]) - 1
-            in_prefix = np.minimum(n[at] - behind[at] - place[at], n[to] - behind[to] - place[to]) - 1
-            good = (root[at] != root[to]) & (doc[at] != doc[to]) & (most + rest >= overlap) & (most + in_prefix >= least)
-            if good.any():
-                x, y = number[at[good]], number[to[good]]
-                found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
-                held += len(x)
-                if held > PAIRS_AT_ONCE:
-                    total, held = fold(), 0
+        open_, step = np.arange(len(number), dtype=np.int32), 1
+        while len(open_ := open_[open_ + step < ends[open_]]):
+            for at in np.array_split(open_, len(open_) // PLACES_AT_ONCE + 1):
+                to = at + step
+                overlap = (4 * (n[at] + n[to]) + 8) // 9
+                least = np.maximum(overlap - np.maximum(behind[at], behind[to]), 1)
+                most = 1 + np.minimum(place[at], place[to])         # up to this match
+                rest = np.minimum(n[at] - place[at], n[to] - place[to]) - 1
+                in_prefix = np.minimum(n[at] - behind[at] - place[at], n[to] - behind[to] - place[to]) - 1
+                good = (root[at] != root[to]) & (number[at] != number[to]) & (most + rest >= overlap) & (most + in_prefix >= least)
+                if good.any():
+                    x, y = number[at[good]].astype(np.int64), number[to[good]].astype(np.int64)
+                    found.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+                    held += len(x)
+                    if held > PAIRS_AT_ONCE:
+                        total, held = fold(), 0
             step += 1
         if found:
             total = fold()
