@@ -372,9 +372,10 @@ def test_a_repeated_batch_replaces_all_it_wrote(spark, rows, tmp_path, settings)
     write = store.write
     for stop in ("items", "news_raw", "errors", "signals", "alert_log"):
         def failing(name, *args, **kwargs):
-            write(name, *args, **kwargs)
+            totals = write(name, *args, **kwargs)
             if name == stop:
                 raise RuntimeError("lost")
+            return totals
         store.write = failing
         with pytest.raises(RuntimeError):
             run.run_batch(spark, store, two, settings, early, "b/1:x")
