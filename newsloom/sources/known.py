@@ -10,6 +10,8 @@ writes one folder per table with its own rows only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,32 +26,38 @@ def bucket_of(store: Store, word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(store.id_buckets)).cast("int")
 
 
-def word_order(store: Store, prints: DataFrame, batch_id: str) -> list[int]:
+OLD_CELLS = 16384         # of orders without a row that tells their size
+SIZE = -1                 # in that row, instead of a cell; the step is the size's logarithm
+
+
+def word_order(store: Store, prints: DataFrame, batch_id: str) -> np.ndarray:
     """The frozen order of words: a table of fixed size, made by the first run that has words."""
-    def read() -> list[int] | None:
-        rows = store.read("word_order").collect()
-        if not rows:
+    def read() -> np.ndarray | None:
+        rows = store.read("word_order").select("cell", "step").toArrow()
+        cells, steps = rows["cell"].to_numpy(), rows["step"].to_numpy()
+        if not len(cells):
             return None
-        order = [0] * dedup.CELLS
-        for row in rows:
-            order[row["cell"]] = row["step"]
+        order = np.zeros(1 << int(steps[cells == SIZE][0]) if (cells == SIZE).any() else OLD_CELLS, np.uint8)
+        order[cells[cells != SIZE]] = steps[cells != SIZE]
         return order
 
     order = read()
     if order is None:
-        ranks = dedup.word_ranks(prints)
-        rows = store.spark.createDataFrame(list(enumerate(ranks)), "cell int, step int")
-        store.write("word_order", rows.coalesce(1), batch_id)
-        order = ranks
+        order = dedup.word_ranks(prints)
+        used = np.flatnonzero(order)
+        if len(used):
+            rows = pa.table({"cell": np.append(used, SIZE).astype(np.int32),
+                             "step": np.append(order[used], dedup.CELLS.bit_length() - 1).astype(np.int32)})
+            store.write("word_order", store.spark.createDataFrame(rows).coalesce(1), batch_id)
     return order
 
 
-def keys_of(prints: DataFrame, order: list[int], percent: int) -> DataFrame:
+def keys_of(prints: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
     """``id, n, s0.., p, word``: a row per prefix word of the word sets ``id, fp``."""
-    signed = dedup.signed(prints)
-    return signed.filter(F.size("fp") > 0).select(
+    signed = dedup.signed(prints).filter(F.size("fp") > 0)
+    return dedup.prefixes(signed, order, percent).select(
         "id", F.size("fp").alias("n"), *[f"s{i}" for i in range(dedup.SIGNATURE)],
-        F.posexplode(dedup.prefix(F.col("fp"), order, percent)).alias("p", "word"))
+        F.posexplode("prefix").alias("p", "_word")).withColumn("word", F.col("_word.w")).drop("_word")
 
 
 def _values(rows: DataFrame, bucket: Column) -> list[int]:
