@@ -277,3 +277,15 @@ def test_vectors_that_reach_most_cells_are_compared_in_blocks(spark, rows, tmp_p
         if not any(((np.float32(v) - np.float32(k)) ** 2).sum() < 4.0 for k in kept):
             kept.append(v)
     assert [got[i] for i in range(80)] == [v in kept for v in given]
+
+
+def test_an_order_tells_its_size(spark, rows, tmp_path):
+    """Stores made before the order had a size go on with theirs."""
+    store = tables.Store(spark, f"{tmp_path}/db", 2).create("word_order")
+    prints = rows("id string, fp array<string>", [("a", ["word", "other"]), ("b", ["word"])])
+    made = known.word_order(store, prints, "b0")
+    assert len(made) == dedup.CELLS > known.OLD_CELLS and sorted(made[made > 0]) == [1, 4]
+    assert (known.word_order(store, prints.limit(0), "b1") == made).all()
+    old = tables.Store(spark, f"{tmp_path}/old", 2).create("word_order")
+    old.write("word_order", rows("cell int, step int", [(i, i % 5) for i in range(known.OLD_CELLS)]), "b0")
+    assert (known.word_order(old, prints, "b1") == np.arange(known.OLD_CELLS) % 5).all()
