@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from newsloom.session import cut
 
-GRAM = 5                              # at most 7: a gram and its length fit into one long
-CELL_BITS, BLOCK_BITS = 20, 14        # gram counts, and how many make one row
+GRAM = 7                              # at most 7: a gram and its length fit into one long
+CELL_BITS, BLOCK_BITS = 22, 14        # gram counts, and how many make one row
 SLICE_BYTES = 2 << 20
 
 
@@ -83,7 +83,7 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
     total = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
     for row in rows.collect():             # at most one row per block of the table
         total[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    return total.ravel()
+    return np.minimum(total.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _anchor(counts: np.ndarray):

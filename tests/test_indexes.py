@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,14 @@ def test_an_order_tells_its_size(spark, rows, tmp_path):
     old = tables.Store(spark, f"{tmp_path}/old", 2).create("word_order")
     old.write("word_order", rows("cell int, step int", [(i, i % 5) for i in range(known.OLD_CELLS)]), "b0")
     assert (known.word_order(old, prints, "b1") == np.arange(known.OLD_CELLS) % 5).all()
+
+
+def test_an_anchor_leaves_few_texts_to_verify(spark, rows):
+    """Texts share any five bytes of the keyword with it, but not seven."""
+    words = rows("keyword string", [("abcdefghi",), ("abc",)])
+    texts = rows("text string", [("abcdef cdefgh efghi",)] * 3 + [("abcdefghi",)])
+    counts = keywords.gram_counts(texts)
+    grams = {r["keyword"]: r["gram"] for r in words.mapInArrow(keywords._anchor(counts), "keyword string, gram long").collect()}
+    met = [{g for _, g in zip(*(x.tolist() for x in keywords.grams(pa.array([t]), 7)))} for t in ("abcdef cdefgh efghi", "abcdefghi")]
+    assert [grams["abcdefghi"] in m for m in met] == [False, True]
+    assert grams["abc"] == int.from_bytes(b"\x03abc")
