@@ -142,8 +142,74 @@ def keyword_matches(texts: DataFrame, keywords: DataFrame, id_col: str, text_col
     id_type = rows.schema["id"].dataType.simpleString()
     hits = rows.mapInArrow(_candidates(sizes, np.packbits(bits)), f"id {id_type}, gram long")
     pairs = hits.join(anchored, "gram").groupBy("id").agg(F.collect_set("keyword").alias("_keywords"))
-    held = F.filter("_keywords", lambda k: F.contains(F.col("text"), k))
-    return rows.join(pairs, "id").select("id", F.explode(held).alias("keyword"))
+    return rows.join(pairs, "id").select("id", "text", "_keywords").mapInArrow(_held, f"id {id_type}, keyword string")
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins (and the last ends)."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if bounds[0] < bounds[-1] else np.zeros(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def _mixed(owner: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + owner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _stands(texts: pa.Array, owner: np.ndarray, words: pa.Array, gram: int = GRAM) -> np.ndarray:
+    """Whether each word, of ``gram`` bytes at least, stands in the text ``owner``: its bytes are compared
+    where the text has the word's first gram, so long texts are not searched for each word anew."""
+    raw, bounds = _bytes(texts)
+    word_raw, word_bounds = _bytes(words)
+    number = np.full(len(words), gram, np.int64)
+    for k in range(gram):
+        number = (number << 8) | word_raw[word_bounds[:-1] + k]
+    of, grammed = grams(texts, gram)
+    per_text = np.maximum(np.diff(bounds) - gram + 1, 0)
+    place = np.arange(len(of)) + np.repeat(bounds[:-1] - (np.cumsum(per_text) - per_text), per_text)
+    keys = _mixed(of, grammed)
+    order = np.argsort(keys, kind="stable")
+    keys, asked = keys[order], _mixed(owner, number)
+    first = np.searchsorted(keys, asked, "left")
+    n = np.searchsorted(keys, asked, "right") - first
+    out, size = np.zeros(len(words), bool), np.diff(word_bounds)
+    for low, high in _spans(n):
+        some = n[low:high]
+        word = np.repeat(np.arange(low, high), some)
+        at = order[np.arange(some.sum()) + np.repeat(first[low:high] - (np.cumsum(some) - some), some)]
+        begin = place[at]
+        fit = (of[at] == owner[word]) & (begin + size[word] <= bounds[owner[word] + 1])
+        word, begin, k = word[fit], begin[fit], 0
+        while len(word):
+            done = size[word] == k
+            out[word[done]] = True
+            word, begin = word[~done], begin[~done]
+            same = raw[begin + k] == word_raw[word_bounds[word] + k]
+            word, begin, k = word[same], begin[same], k + 1
+    return out
+
+
+def _spans(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of words with some million places together, or one word."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // SLICE_BYTES)) + 1
+    yield from zip(np.append(0, cuts).tolist(), np.append(cuts, len(n)).tolist())
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keywords that stand in each text."""
+    for batch in _slices(batches, "text"):
+        lists = batch.column("_keywords")
+        words = lists.flatten()
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        gram = np.minimum(pc.binary_length(words).to_numpy(zero_copy_only=False), GRAM)
+        held = np.zeros(len(words), bool)
+        for size in np.unique(gram):
+            mine = np.flatnonzero(gram == size)
+            held[mine] = _stands(batch.column("text"), owner[mine], words.take(pa.array(mine)), int(size))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(pa.array(owner[held])), words.filter(pa.array(held))], ["id", "keyword"])
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

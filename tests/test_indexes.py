@@ -301,3 +301,14 @@ def test_an_anchor_leaves_few_texts_to_verify(spark, rows):
     met = [{g for _, g in zip(*(x.tolist() for x in keywords.grams(pa.array([t]), 7)))} for t in ("abcdef cdefgh efghi", "abcdefghi")]
     assert [grams["abcdefghi"] in m for m in met] == [False, True]
     assert grams["abc"] == int.from_bytes(b"\x03abc")
+
+
+def test_keywords_are_found_by_place(rows):
+    """As a search finds them, in texts that hold the first bytes of a keyword many times."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé"[:1 + i % 3]) for _ in range(20 * i)) for i in range(8)]
+    asked = [(i, w) for i, t in enumerate(texts) for w in
+             [t[j:j + 9] for j in range(0, len(t), 7)] + ["".join(rng.choice("ab") for _ in range(10)) for _ in range(9)] + ["a" * 40]
+             if len(w.encode()) > keywords.GRAM]
+    got = keywords._stands(pa.array(texts), np.array([i for i, _ in asked]), pa.array([w for _, w in asked]))
+    assert got.tolist() == [w in texts[i] for i, w in asked] and 10 < got.sum() < len(asked)
