@@ -312,3 +312,16 @@ def test_keywords_are_found_by_place(rows):
              if len(w.encode()) > keywords.GRAM]
     got = keywords._stands(pa.array(texts), np.array([i for i, _ in asked]), pa.array([w for _, w in asked]))
     assert got.tolist() == [w in texts[i] for i, w in asked] and 10 < got.sum() < len(asked)
+
+
+def test_upserts_evaluate_the_signals_once(spark, rows, monkeypatch):
+    from newsloom.plans import queries
+
+    signals = rows("doc_id bigint, news_id string, suggestion string, confidence double", [(i, f"n{i}", "BUY", 0.7) for i in range(4)])
+    labels = rows("doc_id bigint, quality int, toxic int", [(0, 1, 0), (1, 0, 1)])
+    monkeypatch.setattr(queries, "rule_signals", lambda *args: signals)
+    monkeypatch.setattr(queries.samples, "stored_docs", lambda *args: labels)
+    for name in ("upsert_ignore", "upsert_last"):
+        got = queries.QUERIES[name](spark, "")
+        assert "ExistingRDD" not in plan_of(got) and "LocalTableScan" not in plan_of(got)
+        assert sorted(r["news_id"] for r in got.collect()) == ["n0", "n1", "n2", "n3"]
