@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import lexicon as lx
-from newsloom.functions import text as tx
 from newsloom.operators import dedup
 from newsloom.session import cut, release
 from newsloom.sources.tables import Store
@@ -81,11 +80,9 @@ def matching(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.J
     met = cut(met)
     sets = store.read("fingerprints", before=batch_id).filter(
         F.col("id_bucket").isin(_values(met, store.bucket_of(F.col("other")))))
-    hits = met.join(prints.select("id", F.col("fp").alias("fp_a")), "id").join(
-        sets.select(F.col("news_id").alias("other"), F.col("fp").alias("fp_b")), "other").filter(
-        tx.jaccard_at_least(F.col("fp_a"), F.col("fp_b"), percent))
-    found = cut(hits.select("id").distinct())
-    release(keys, met)
+    confirm, scratch = dedup.confirm_overlap(prints.select("id", "fp"), percent, sets.select(F.col("news_id").alias("id"), "fp"))
+    found = cut(confirm(met).select("id").distinct())
+    release(keys, met, *scratch)
     return found
 
 
@@ -101,13 +98,16 @@ def remember(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.J
 def lexical_run(store: Store, news: DataFrame, batch_id: str, id_col: str = "news_id", text_col: str = "full_text",
                 ord_col: str = "ord", percent: int = lx.JACCARD_PERCENT) -> tuple[DataFrame, int]:
     """Flags of ``lexical_dedup`` against all earlier runs of the store and within this one; the kept rows are remembered."""
-    prints = cut(dedup.fingerprints(news.withColumn(id_col, F.col(id_col).cast("string")), id_col, text_col, ord_col).drop("ord"))
-    old = matching(store, prints, batch_id, percent)
-    rest = news.join(old, F.col(id_col).cast("string") == old["id"], "left_anti")
-    flags = cut(dedup.lexical_dedup(rest, id_col, text_col, ord_col, percent))
+    prints = cut(dedup.fingerprints(news, id_col, text_col, ord_col))
+    named = prints.select(F.col("id").cast("string").alias("id"), "fp")
+    old = matching(store, named, batch_id, percent)
+    is_old = prints["id"].cast("string") == old["id"]
+    rest = prints.join(old, is_old, "left_anti").withColumn("fixed", F.lit(False))
+    decided, scratch = dedup.first_of_sets(rest, percent)
+    flags = cut(decided.withColumnRenamed("id", id_col))
+    release(*scratch)
     kept = flags.filter("kept").select(F.col(id_col).cast("string").alias("id"))
-    n = remember(store, prints.join(kept, "id", "left_semi"), batch_id, percent)
-    dropped = prints.join(old, "id", "left_semi").select(
-        F.col("id").cast(news.schema[id_col].dataType).alias(id_col), F.size("fp").alias("fp_size"),
-        F.lit(False).alias("exact_copy"), F.lit(False).alias("kept"))
+    n = remember(store, named.join(kept, "id", "left_semi"), batch_id, percent)
+    dropped = prints.join(old, is_old, "left_semi").select(
+        F.col("id").alias(id_col), F.size("fp").alias("fp_size"), F.lit(False).alias("exact_copy"), F.lit(False).alias("kept"))
     return flags.unionByName(dropped), n

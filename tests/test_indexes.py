@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import session
 from newsloom.functions import text as tx
 from newsloom.operators import approximate, dedup, ingest, keywords
 from newsloom.sources import known, tables, vectors
@@ -325,3 +326,43 @@ def test_upserts_evaluate_the_signals_once(spark, rows, monkeypatch):
         got = queries.QUERIES[name](spark, "")
         assert "ExistingRDD" not in plan_of(got) and "LocalTableScan" not in plan_of(got)
         assert sorted(r["news_id"] for r in got.collect()) == ["n0", "n1", "n2", "n3"]
+
+
+def test_only_near_matches_of_stored_rows_bring_their_word_sets(spark, rows, tmp_path, monkeypatch):
+    """Large sets fill a short signature, so those that share rare words are only told apart by a wide one."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{i:06d}" for i in {*rng.sample(range(100), 30), *rng.sample(range(1000, 4000), 1900)}) for _ in range(24)]
+    texts.append(texts[3] + " another")
+    store = tables.Store(spark, f"{tmp_path}/db", 4).create()
+    schema = "news_id int, full_text string"
+    known.lexical_run(store, rows(schema, list(enumerate(texts))[:12]), "b0", ord_col="news_id")
+    exact = tx.jaccard_at_least
+
+    def noted(a, b, percent):
+        tell = F.udf(lambda n: not open(f"{tmp_path}/verified", "a").write("x\n") or True, "boolean").asNondeterministic()
+        return tell(F.size(a)) & exact(a, b, percent)
+
+    monkeypatch.setattr(tx, "jaccard_at_least", noted)
+    late = rows(schema, list(enumerate(texts))[12:])
+    prints = dedup.fingerprints(late, "news_id", "full_text", "news_id").select(F.col("id").cast("string"), "fp")
+    keys = known.keys_of(prints, known.word_order(store, prints, "b1"), 82)
+    pairs = keys.alias("a").join(known.postings_of(store, keys, "b1").alias("b"), (F.col("a.word") == F.col("b.word")) & dedup.may_overlap(82))
+    met = pairs.select("a.id", "b.news_id").distinct().count()
+    found = known.matching(store, prints, "b1")
+    assert [r["id"] for r in found.collect()] == ["24"]
+    with open(f"{tmp_path}/verified") as f:
+        assert len(f.readlines()) <= 2 < 50 < met
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    def left():
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in local for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    before, setting = left(), spark.conf.get(session.CLEAN_UP)
+    table = session.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and table.count() == 7 and spark.conf.get(session.CLEAN_UP) == setting
