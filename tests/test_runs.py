@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import ingest
-from newsloom.plans import outbox, run, views
+from newsloom.plans import outbox, queries, run, views
 from newsloom.sources import feeds, tables
 from newsloom.streaming import refresh
 
@@ -436,3 +436,18 @@ def test_old_bars_give_no_price(rows, as_of):
         ("OLD.NS", "2015-01-01", 9.0, 1), ("NEW.NS", "2023-12-28", 5.0, 1), ("NEW.NS", "2023-12-27", 4.0, 1)]
     ).withColumn("day", F.col("day").cast("date"))
     assert [r["ticker"] for r in prices.quotes(bars, as_of).collect()] == ["NEW.NS"]
+
+
+def test_a_drop_of_documents_is_landed_by_all_cores(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"),
+                                    F.lit("src1").alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    docs.filter("doc_id % 4 = 0").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/sf/labels.parquet")
+    drops = []
+    stream = queries._documents_stream(spark, f"{tmp_path}/sf", f"{tmp_path}/run")
+    refresh.each_batch(stream, lambda batch, n: drops.append(sorted(r[0] for r in batch.select("doc_id").collect())),
+                       f"{tmp_path}/cp", once=True).awaitTermination()
+    assert len(drops) == 4 and sorted(sum(drops[:3], [])) == list(range(2000)) and drops[3] == list(range(0, 2000, 4))
+    files = spark.read.parquet(f"{tmp_path}/run/landed").groupBy(F.input_file_name()).count().collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(files) == 4 * cores and max(r["count"] for r in files) <= 2 * 2000 / 3 / cores
