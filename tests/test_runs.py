@@ -451,3 +451,13 @@ def test_a_drop_of_documents_is_landed_by_all_cores(spark, tmp_path):
     files = spark.read.parquet(f"{tmp_path}/run/landed").groupBy(F.input_file_name()).count().collect()
     cores = spark.sparkContext.defaultParallelism
     assert len(files) == 4 * cores and max(r["count"] for r in files) <= 2 * 2000 / 3 / cores
+
+
+def test_a_stream_deals_its_state_to_the_parts_it_is_told(spark, tmp_path):
+    spark.range(20).select(F.concat(F.lit("n"), "id").alias("news_id")).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    ids = spark.readStream.schema("news_id string").parquet(f"{tmp_path}/in").dropDuplicates(["news_id"])
+    refresh.to_files(ids, f"{tmp_path}/out", f"{tmp_path}/cp", once=True, state_parts=3).awaitTermination()
+    assert spark.read.schema("news_id string").parquet(f"{tmp_path}/out").count() == 20
+    parts = [p for p in os.listdir(f"{tmp_path}/cp/state/0") if p.isdigit()]
+    assert len(parts) == 3 and spark.conf.get("spark.sql.shuffle.partitions") == before
