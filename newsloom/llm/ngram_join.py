@@ -16,6 +16,7 @@ prefix join looks at all pairs of documents in different components.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,9 @@ VERIFY_COST = 20                     # of a candidate, in postings
 HEAD_TOKENS, SKETCH, ALIKE = 4, 16, 12    # smallest hashes with heads, in a sketch, and shared sixteenths of it
 FEW, MORE_HEADS = 16, 18              # documents of a hash, and heads of one with more
 BUCKET_BYTES = 64 << 20              # text whose prefixes make one bucket
-PAIRS_AT_ONCE, PLACES_AT_ONCE = 2_000_000, 250_000
+PAIRS_AT_ONCE, PLACES_AT_ONCE = 500_000, 100_000
+SETS_AT_ONCE = 20_000                 # distinct sets that a task remembers to link copies at once
+TEXT_BYTES, BATCH_BYTES = 2 << 20, 8 << 20       # text whose shingles a task holds; of an Arrow batch
 
 
 def shingles(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +78,7 @@ def _values(planes: bytes, kind: type) -> np.ndarray:
 def _cells(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int32)
-        for batch in wd.slices(batches):
+        for batch in wd.slices(batches, limit=TEXT_BYTES):
             text = wd.Words(batch.column("text"), wd.NOT_SPACE, lower=True)
             at, _ = text.windows(n)
             h = wd.mix(wd.chain(text.hashes(), n)[at] + np.uint64(n))
@@ -130,10 +133,11 @@ def _units(n_words: int, table: np.ndarray):
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[taken].astype(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wd.slices(batches):
+        seen = {}
+        for batch in wd.slices(batches, limit=TEXT_BYTES):
             owner, h, bounds = shingles(batch.column("text"), n_words)
             docs, size = batch.column("doc").to_numpy(), np.diff(bounds)
-            # Equal sets in this slice go on as one; the others are linked to it.
+            # Equal sets in this slice, or among the last ones, go on as one; the others are linked to it.
             sums = [np.concatenate(([np.uint64(0)], np.cumsum(wd.mix(h + np.uint64(s))))) for s in (1, 2)]
             marks = [s[bounds[1:]] - s[bounds[:-1]] for s in sums]
             by = np.lexsort((docs, marks[1], marks[0], size))
@@ -144,6 +148,12 @@ def _units(n_words: int, table: np.ndarray):
             first = np.zeros(len(by), bool)
             first[by] = new
             copy = ~first & (size > 0)
+            for i in np.flatnonzero(first & (size > 0)).tolist():
+                mark = int(marks[0][i]), int(marks[1][i]), int(size[i])
+                if (before := seen.setdefault(mark, int(docs[i]))) != docs[i]:
+                    head[i], copy[i] = before, True
+            if len(seen) > SETS_AT_ONCE:
+                seen.clear()
             # Rare first; the prefix and its m by cost.
             each = cost[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
             order = np.lexsort((h, each, owner))
@@ -183,15 +193,14 @@ def _verify(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("left", "right"))
-            texts = [(unpack.decompress(a), unpack.decompress(b)) for a, b in zip(left, right)]
             first = 0
-            while first < len(texts):      # a few MB at once, or one pair
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < wd.SLICE_BYTES):
-                    size += len(texts[last][0]) + len(texts[last][1])
+            while first < batch.num_rows:  # a few MB at once, or one pair
+                last, size, both = first, 0, []
+                while last < batch.num_rows and (last == first or size < TEXT_BYTES):
+                    pair = [unpack.decompress(batch.column(c)[last].as_py()) for c in ("left", "right")]
+                    size += len(pair[0]) + len(pair[1])
+                    both.extend(t.decode() for t in pair)
                     last += 1
-                both = [t.decode() for pair in texts[first:last] for t in pair]
                 owner, h, bounds = shingles(pa.array(both, pa.string()), n)
                 sizes = np.diff(bounds)
                 pair = owner // 2
@@ -276,6 +285,53 @@ def _pack(buckets: int):
     return run
 
 
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, with its counts added up."""
+    at = np.argsort(codes)
+    codes = codes[at]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else at
+    return codes[first], np.add.reduceat(counts[at], first) if len(codes) else counts
+
+
+class _Runs:
+    """Sorted runs of codes and counts in a nameless file of the task."""
+
+    def __init__(self):
+        self.file, self.runs = None, []
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        self.runs.append((self.file.seek(0, 2), len(codes)))
+        self.file.write(codes.tobytes() + counts.astype(np.int32).tobytes())
+
+    def _read(self, run: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        begin, size = self.runs[run]
+        out = []
+        for at, kind in ((begin, np.int64), (begin + 8 * size, np.int32)):
+            width = np.dtype(kind).itemsize
+            self.file.seek(at + first * width)
+            out.append(np.frombuffer(self.file.read((last - first) * width), kind))
+        return tuple(out)
+
+    def merged(self, codes: np.ndarray, counts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All runs and one more, each code once, in parts of about ``most`` codes."""
+        if not self.runs:
+            yield codes, counts
+            return
+        self.add(codes, counts)
+        at, block = [0] * len(self.runs), max(most // len(self.runs), 1)
+        while any(a < size for a, (_, size) in zip(at, self.runs)):
+            parts = {r: self._read(r, a, min(a + block, size)) for r, (a, (_, size)) in enumerate(zip(at, self.runs)) if a < size}
+            # Behind the least of the blocks' last codes, a run may hold more than what is read.
+            upto = min(part[0][-1] for part in parts.values())
+            for r, (c, n) in parts.items():
+                k = int(np.searchsorted(c, upto, side="right"))
+                parts[r] = c[:k], n[:k]
+                at[r] += k
+            yield _summed(*(np.concatenate(x) for x in zip(*parts.values())))
+        self.file.close()
+
+
 def _meet(buckets: int):
     """Pairs of a bucket that share prefix shingles, are in different components and near in size.
 
@@ -283,53 +339,75 @@ def _meet(buckets: int):
     at most, before, here and behind; where that is too little the match does
     not count, as the pair cannot be similar. A pair that meets often enough
     over all ``buckets`` has its part of that in one of them at least, so a
-    bucket with less than that part says nothing.
+    bucket with less than that part says nothing. Pairs are held up to a bound:
+    beyond it, sorted runs of them wait in a file that ends with the task.
     """
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = {c: [] for c in ("keys", "places", "docs", "roots", "sizes", "needs")}
+        # By posting: key, place and entry. By entry, a document of a row: all else.
+        keys, places, entries, docs, roots, sizes, needs = ([] for _ in range(7))
+        n_entries = 0
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in (*parts, "owners")}
-            for i in range(batch.num_rows):
-                owner = _values(columns["owners"][i], np.uint32)
-                own = np.cumsum(_values(columns["docs"][i], np.int64))
-                parts["keys"].append(np.frombuffer(columns["keys"][i], np.uint32))
-                parts["places"].append(_values(columns["places"][i], np.uint32))
-                parts["docs"].append(own[owner])
-                parts["roots"].append((own - _values(columns["roots"][i], np.int64))[owner])
-                parts["sizes"].append(_values(columns["sizes"][i], np.uint32)[owner])
-                parts["needs"].append(np.frombuffer(columns["needs"][i], np.uint8)[owner])
-        columns = None
-        keys = np.concatenate(parts.pop("keys"))
-        order = np.argsort(keys, kind="stable")
+            for row in batch.to_pylist():
+                own = np.cumsum(_values(row["docs"], np.int64))
+                keys.append(np.frombuffer(row["keys"], np.uint32))
+                places.append(_values(row["places"], np.uint32).view(np.int32))
+                entries.append(_values(row["owners"], np.uint32).astype(np.int32) + np.int32(n_entries))
+                docs.append(own)
+                roots.append(own - _values(row["roots"], np.int64))
+                sizes.append(_values(row["sizes"], np.uint32).view(np.int32))
+                needs.append(np.frombuffer(row["needs"], np.uint8))
+                n_entries += len(own)
+        batch = row = None
+        # Documents and roots as numbers: all that the loop holds are small integers.
+        names, number = np.unique(np.concatenate(docs), return_inverse=True)
+        del docs
+        number = number.astype(np.int32)
+        root = np.unique(np.concatenate(roots), return_inverse=True)[1].astype(np.int32)
+        del roots
+        n = np.concatenate(sizes)
+        behind = (least_overlap(n) - np.concatenate(needs)).astype(np.int32)       # shingles behind the prefix
+        size_of, behind_of = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
+        size_of[number], behind_of[number] = n, behind
+        del sizes, needs
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable").astype(np.int32)
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        run_of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(keys))))
+        length = np.diff(np.append(starts, len(keys))).astype(np.int32)
         del keys
-        # Documents and roots as numbers: all that the loop holds are small integers.
-        names, number = np.unique(np.concatenate(parts.pop("docs")), return_inverse=True)
-        number = number.astype(np.int32)[order]
-        root = np.unique(np.concatenate(parts.pop("roots")), return_inverse=True)[1].astype(np.int32)[order]
-        n, place, need = (np.concatenate(parts.pop(c)).astype(np.int32)[order] for c in ("sizes", "places", "needs"))
-        behind = (least_overlap(n) - need).astype(np.int32)     # shingles behind the prefix
-        several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        use = several[run_of]
-        number, root, n, place, behind, run_of = (x[use] for x in (number, root, n, place, behind, run_of))
-        ends = np.searchsorted(run_of, run_of, side="right").astype(np.int32)
-        del order, need, run_of, use
+        entry = np.concatenate(entries)[order]
+        del entries
+        rooted = root[entry]
+        several = np.minimum.reduceat(rooted, starts) != np.maximum.reduceat(rooted, starts)
+        del rooted
+        use = np.repeat(several, length)
+        entry, order, length = entry[use], order[use], length[several]
+        place = np.concatenate(places)[order]
+        ends = np.repeat(np.cumsum(length, dtype=np.int32), length)
+        del order, places, starts, several, use
+        number, root, n, behind = number[entry], root[entry], n[entry], behind[entry]
+        del entry
         found, held = [], 0
-        none = np.zeros(0, np.int64)
-        total = none, none                   # pair, matches
+        total = np.zeros(0, np.int64), np.zeros(0, np.int32)      # pair, matches
+        runs = _Runs()
 
         def fold():
             codes = np.concatenate([total[0], *found])
-            counts = np.concatenate([total[1], np.ones(len(codes) - len(total[0]), np.int64)])
-            codes, at = np.unique(codes, return_inverse=True)
+            counts = np.concatenate([total[1], np.ones(len(codes) - len(total[0]), np.int32)])
             found.clear()
-            return codes, np.bincount(at, weights=counts, minlength=len(codes)).astype(np.int64)
+            return _summed(codes, counts)
+
+        def told(codes, shared):
+            x, y = codes // max(len(names), 1), codes % max(len(names), 1)
+            need = np.maximum((4 * (size_of[x] + size_of[y]) + 8) // 9 - np.maximum(behind_of[x], behind_of[y]), 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names[x]), pa.array(names[y]), pa.array(shared.astype(np.int64)), pa.array(need.astype(np.int32))],
+                ["a", "b", "shared", "need"]).filter(pa.array(shared * np.int64(buckets) >= need))
 
         open_, step = np.arange(len(number), dtype=np.int32), 1
         while len(open_ := open_[open_ + step < ends[open_]]):
-            for at in np.array_split(open_, len(open_) // PLACES_AT_ONCE + 1):
+            for first in range(0, len(open_), PLACES_AT_ONCE):
+                at = open_[first:first + PLACES_AT_ONCE]
                 to = at + step
                 overlap = (4 * (n[at] + n[to]) + 8) // 9
                 least = np.maximum(overlap - np.maximum(behind[at], behind[to]), 1)
@@ -343,17 +421,14 @@ def _meet(buckets: int):
                     held += len(x)
                     if held > PAIRS_AT_ONCE:
                         total, held = fold(), 0
+                        if len(total[0]) > PAIRS_AT_ONCE:
+                            runs.add(*total)
+                            total = total[0][:0], total[1][:0]
             step += 1
         if found:
             total = fold()
-        codes, shared = total
-        x, y = codes // max(len(names), 1), codes % max(len(names), 1)
-        sizes, rests = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        sizes[number], rests[number] = n, behind
-        need = np.maximum((4 * (sizes[x] + sizes[y]) + 8) // 9 - np.maximum(rests[x], rests[y]), 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[x]), pa.array(names[y]), pa.array(shared), pa.array(need.astype(np.int32))], ["a", "b", "shared", "need"]
-        ).filter(pa.array(shared * buckets >= need))
+        for part in runs.merged(*total, PAIRS_AT_ONCE):
+            yield told(*part)
     return run
 
 
@@ -387,7 +462,7 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", n: in
     text; a row with a null key links with nothing and has no component; an
     empty table gives no rows; other columns are ignored.
     """
-    wd.small_batches(documents.sparkSession)
+    wd.small_batches(documents.sparkSession, BATCH_BYTES)
     rows = documents.select(_doc(key).alias("doc"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     nameless = rows.filter(F.col("doc") == LOWEST)

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from newsloom.llm import components, line_dedup, ngram_join, runs, substring_dedup
 
@@ -58,6 +60,31 @@ def test_any_prefix_lengths_are_exact(docs, monkeypatch, matches):
     assert got == wanted_classes(corpus())
 
 
+def test_pairs_held_in_a_bucket_are_bounded(monkeypatch):
+    """60 documents that all meet in three shingles: 1,770 pairs, each told once, some dozens at a time."""
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(ngram_join, "PLACES_AT_ONCE", 40)
+    doc, prefix = np.arange(60), np.array([3, 5, 9], np.uint64).tobytes()
+    units = pa.RecordBatch.from_arrays(
+        [pa.array(doc), pa.array(doc), pa.array(np.full(60, 3)), pa.array(np.full(60, 1, np.int32)), pa.array([prefix] * 60, pa.binary())],
+        ["doc", "root", "n", "need", "prefix"])
+    told = list(ngram_join._meet(1)((pa.scalar(0),), ngram_join._pack(1)(iter([units]))))
+    assert max(batch.num_rows for batch in told) <= 50 + 40
+    rows = [row for batch in told for row in batch.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in rows) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    assert {r["shared"] for r in rows} == {3}
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 30, 3000])
+def test_bounded_buckets_find_all_links(docs, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 2)
+    monkeypatch.setattr(ngram_join, "PLACES_AT_ONCE", 3)
+    monkeypatch.setattr(ngram_join, "head_pairs", lambda units: units.select(
+        units.doc.alias("a"), units.doc.alias("b")).limit(0))
+    got = sorted(tuple(r) for r in ngram_join.classes(docs, bucket_bytes=bucket_bytes).collect() if r[0] is not None)
+    assert got == wanted_classes(corpus())
+
+
 def test_threshold_is_inclusive(rows):
     """Sets of 9 and 9 that share 8 are at exactly 0.8."""
     a = [f"t{i}" for i in range(13)]
