@@ -46,6 +46,35 @@ def test_keyword_table_stays_out_of_the_plan(spark, rows):
     assert keywords.keyword_counts(texts.limit(0), table, "id", "text").collect() == []
 
 
+def test_texts_and_their_grams_are_not_shuffled(rows, monkeypatch):
+    """Words verified a few at a time; what leaves a task are the keywords that it found."""
+    monkeypatch.setattr(keywords, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(keywords, "PLACES_AT_ONCE", 5)
+    rng = random.Random(3)
+    texts = [(i if i else None, " ".join(f"word{rng.randrange(40)}x{rng.randrange(3)}" for _ in range(30))) for i in range(40)]
+    words = sorted({w[:n] for _, t in texts for w in t.split() for n in (3, 6, 7, 8, 20)}) + ["x0 word1", "word1x0 word1x1", "wordless"]
+    got = keywords.keyword_counts(
+        rows("id int, text string", texts).repartition(3), rows("keyword string", [(w,) for w in words]), "id", "text")
+    plan = plan_of(got)
+    assert "Join" not in plan and "hashpartitioning(id" not in plan
+    want = {w: sum(w in t for i, t in texts if i is not None) for w in words}
+    assert {r["keyword"]: r["n"] for r in got.collect()} == {w: n for w, n in want.items() if n}
+
+
+def test_tables_of_many_parts_are_not_shuffled(spark, rows, tmp_path):
+    from newsloom.sources import samples
+
+    spark.range(4000).repartition(40).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        many, one = (samples.table(spark, str(tmp_path), name) for name in ("many", "one"))
+        assert "Exchange" not in plan_of(many) and "Exchange" in plan_of(one)
+        assert many.count() == one.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 # --- stored posting index ------------------------------------------------------------
 
 def word_sets(n, seed):
