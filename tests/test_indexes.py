@@ -217,6 +217,26 @@ def test_cells_miss_no_match(rows, count):
 
 # --- approximate options ------------------------------------------------------------------
 
+def test_rows_of_a_min_hash_do_not_all_meet(rows, monkeypatch):
+    """A word of all texts is the min-hash of many; rows meet by words that few have."""
+    from newsloom.operators import approximate
+
+    seen, keep_first = [], dedup.keep_first
+
+    def spy(ids, keys, *args, **kwargs):
+        seen.append(keys.groupBy("key").count().agg(F.max("count")).first()[0])
+        return keep_first(ids, keys, *args, **kwargs)
+
+    monkeypatch.setattr(approximate.dedup, "keep_first", spy)
+    texts = [(i, "everywhere " + " ".join(f"rare{i}word{j}" for j in range(6))) for i in range(150)]
+    texts += [(1000 + i, texts[i][1]) for i in range(3)] + [(2000 + i, texts[i][1] + " " + " ".join(f"rare{i}word{j}" for j in range(3))) for i in range(3)]
+    long = " ".join(f"shared{j}word" for j in range(30))
+    texts += [(3000, long), (3001, long + " another"), (3003, "")]
+    got = approximate.lexical_dedup_lsh(rows("news_id int, full_text string", texts), ord_col="news_id")
+    assert {r["news_id"] for r in got.filter("kept").collect()} == {*range(150), 3000, 3003}
+    assert seen and (seen[0] or 0) <= 2
+
+
 def test_lsh_options_find_most(rows):
     data = points(400, 12)
     exact = greedy(data, near)
