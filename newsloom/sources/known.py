@@ -70,10 +70,10 @@ def postings_of(store: Store, keys: DataFrame, batch_id: str) -> DataFrame:
     return store.read("postings", before=batch_id).filter(F.col("bucket").isin(touched))
 
 
-def matching(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.JACCARD_PERCENT) -> DataFrame:
-    """``id`` of those word sets (``id, fp``) that a row kept by an earlier run matches."""
-    order = word_order(store, prints, batch_id)
-    keys = cut(keys_of(prints, order, percent))
+def matching(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.JACCARD_PERCENT, keys: DataFrame | None = None) -> DataFrame:
+    """``id`` of those word sets (``id, fp``) that a row kept by an earlier run matches; ``keys`` are theirs, if already written."""
+    own = [] if keys is not None else [cut(keys_of(prints, word_order(store, prints, batch_id), percent))]
+    keys = keys if keys is not None else own[0]
     a, b = keys.alias("a"), postings_of(store, keys, batch_id).alias("b")
     met = a.join(b, (F.col("a.word") == F.col("b.word")) & dedup.may_overlap(percent)).select(
         F.col("a.id").alias("id"), F.col("b.news_id").alias("other")).distinct()
@@ -82,15 +82,16 @@ def matching(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.J
         F.col("id_bucket").isin(_values(met, store.bucket_of(F.col("other")))))
     confirm, scratch = dedup.confirm_overlap(prints.select("id", "fp"), percent, sets.select(F.col("news_id").alias("id"), "fp"))
     found = cut(confirm(met).select("id").distinct())
-    release(keys, met, *scratch)
+    release(*own, met, *scratch)
     return found
 
 
-def remember(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.JACCARD_PERCENT) -> int:
-    """Store the word sets and postings of the rows that a run keeps; returns how many."""
+def remember(store: Store, prints: DataFrame, batch_id: str, percent: int = lx.JACCARD_PERCENT, keys: DataFrame | None = None) -> int:
+    """Store the word sets and postings (``keys``, if already written) of the rows that a run keeps; returns how many."""
     sets = prints.select(F.col("id").alias("news_id"), "fp", store.bucket_of(F.col("id")).alias("id_bucket"))
     n = store.write("fingerprints", sets, batch_id, n=F.count(F.lit(1)))["n"]
-    keys = keys_of(prints, word_order(store, prints, batch_id), percent)
+    if keys is None:
+        keys = keys_of(prints, word_order(store, prints, batch_id), percent)
     store.write("postings", keys.withColumnRenamed("id", "news_id").withColumn("bucket", bucket_of(store, F.col("word"))), batch_id)
     return n
 
@@ -100,14 +101,16 @@ def lexical_run(store: Store, news: DataFrame, batch_id: str, id_col: str = "new
     """Flags of ``lexical_dedup`` against all earlier runs of the store and within this one; the kept rows are remembered."""
     prints = cut(dedup.fingerprints(news, id_col, text_col, ord_col))
     named = prints.select(F.col("id").cast("string").alias("id"), "fp")
-    old = matching(store, named, batch_id, percent)
+    keys = cut(keys_of(named, word_order(store, named, batch_id), percent))
+    old = matching(store, named, batch_id, percent, keys)
     is_old = prints["id"].cast("string") == old["id"]
     rest = prints.join(old, is_old, "left_anti").withColumn("fixed", F.lit(False))
     decided, scratch = dedup.first_of_sets(rest, percent)
     flags = cut(decided.withColumnRenamed("id", id_col))
     release(*scratch)
     kept = flags.filter("kept").select(F.col(id_col).cast("string").alias("id"))
-    n = remember(store, named.join(kept, "id", "left_semi"), batch_id, percent)
+    n = remember(store, named.join(kept, "id", "left_semi"), batch_id, percent, keys.join(kept, "id", "left_semi"))
+    release(keys)
     dropped = prints.join(old, is_old, "left_semi").select(
         F.col("id").alias(id_col), F.size("fp").alias("fp_size"), F.lit(False).alias("exact_copy"), F.lit(False).alias("kept"))
     return flags.unionByName(dropped), n
